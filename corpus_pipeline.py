@@ -1,3 +1,71 @@
-STAGES = []
+"""A training corpus from ``documents``: five stages, each reading what its predecessor wrote.
+
+    toxicity       rows whose toxicity reaches the threshold go
+    exact_dedup    of equal texts the row with the largest id stays
+    near_dedup     one row of each group of near copies stays
+    mixing         each source is brought to its target: rows go or are repeated
+    packing        the rest is packed into sequences
+
+All but the last return the columns of ``documents`` (any others, too). Row
+numbers are places in the scan of the table that the stage was given, so each
+stage must be given a table read from files.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkspan.llm import toxicity
+from inkspan.llm.common import read, save, with_row_id
+from inkspan.llm.exact_dedup import exact_dedup
+from inkspan.llm.mixing import mix
+from inkspan.llm.packing import pack
+from inkspan.llm.simhash import simhash_dedup
+
+#: Near copies: five words a shingle; fingerprints of several hashes, so that pairs of 0.8 similarity and over that miss by one meet by another.
+NEAR_WORDS, NEAR_KINDS = 5, 4
+_ROW = "__corpus_row"
+
+
+def _joined(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of ``docs`` joined to ``decisions`` (rid and what to add) by their place in the scan."""
+    return with_row_id(docs, _ROW).join(decisions.withColumnRenamed("rid", _ROW), _ROW).drop(_ROW)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _joined(docs, exact_dedup(docs).where("kept").select("rid"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _joined(docs, simhash_dedup(docs, words=NEAR_WORDS, kinds=NEAR_KINDS).where("kept").select("rid"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mix(docs).where("copies > 0").select("rid", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__corpus_copy"))
+    return _joined(docs, taken).drop("__corpus_copy")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs).drop("rid")
+
+
+STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+
+#: The learned stage and the draws of the mix have no SQL form; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply STAGES to ``documents``; the last stage's rows."""
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = save(docs, name)
+    return docs
