@@ -22,13 +22,18 @@ from pyspark.sql import functions as F
 from inkspan.llm.common import crc_mod, save, unit_hash
 
 BINS, CENTROIDS, PER_LANGUAGE, SHARPNESS = 1 << 14, 4, 400, 25.0
+_LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
 
 
 def bins_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bins of the whole text's n-grams that occur, and how often."""
-    u = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint32)
+    """Bins of the whole text's n-grams of letters that occur, and how often; what isn't a letter is a blank."""
+    u = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), np.uint16)
+    u = np.where(_LETTER[u], u, np.uint16(32)).astype(np.uint32)
     if len(u) < 2:
         u = np.r_[u, np.full(2, 32, np.uint32)]
+    u = u[np.r_[True, (u[1:] != 32) | (u[:-1] != 32)]]
+    if len(u) < 2:
+        u = np.r_[u, np.uint32(32)]
     two = (u[:-1] * np.uint32(0x9E3779B1) + u[1:]) * np.uint32(0x85EBCA77)
     three = (two[:-1] + u[2:]) * np.uint32(0xC2B2AE3D)
     n = np.bincount(np.concatenate((two, three)) >> np.uint32(18), minlength=BINS)

@@ -81,7 +81,7 @@ def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(u[ok][best] / p[ok][best], 0.05, 0.98))
 
 
-def non_negative_risk(pos: np.ndarray, unl: np.ndarray, prior: float, *, ridge: float = 1e-3, steps: int = 600, rate: float = 0.05) -> np.ndarray:
+def non_negative_risk(pos: np.ndarray, unl: np.ndarray, prior: float, *, ridge: float = 1e-4, steps: int = 1500, rate: float = 0.05) -> np.ndarray:
     """Minimise the risk by Adam; while the negative part is below 0 its own gradient is walked back."""
     p, u = np.c_[pos, np.ones(len(pos))], np.c_[unl, np.ones(len(unl))]
     c = np.zeros(p.shape[1])

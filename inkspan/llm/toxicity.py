@@ -36,7 +36,9 @@ THREATS = "kill hurt destroy beat punch stab shoot burn tuer frapper détruire t
 TARGETS = "you your you're he she they him her them tu toi vous lui elle eux du dich dir ihr sie euch tú usted ustedes él ella ellos".split()
 NEGATORS = "not no never isn't aren't wasn't don't pas jamais nicht kein keine nie nunca ningún".split()
 REPORTERS = "said says wrote claimed quoted called reported dit écrit sagte schrieb dijo escribió".split()
-STEMS = (4, 5, 6)
+#: What a threat gains by the target that follows it.
+AIMED = 0.85
+STEMS = range(3, 9)
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 
@@ -76,6 +78,20 @@ class Emit(Transducer):
         return (1, self.again if state else 1.0) if kind == self.kind else (state, 1.0)
 
 
+@dataclass
+class Follow(Transducer):
+    """A symbol of class ``then`` within ``reach`` tokens after one of class ``first`` scores, elsewhere not."""
+
+    first: str
+    then: str
+    reach: int
+
+    def step(self, state: int, kind: str) -> tuple[int, float]:
+        if kind == self.first:
+            return self.reach, 1.0
+        return max(0, state - 1), (1.0 if state else 0.0) if kind == self.then else 1.0
+
+
 @dataclass
 class Composed:
     """Product of transducers; transitions are worked out once and kept, as the states are few."""
@@ -91,14 +107,13 @@ class Composed:
                 steps = [t.step(s, kind) for t, s in zip(self.parts, state)]
                 self.table[key] = tuple(s for s, _ in steps), math.prod(f for _, f in steps)
             state, factor = self.table[key]
-            if weight:
-                total += weight * factor
+            total += (AIMED if kind == "P" else weight) * factor
         return total
 
 
 def grammar() -> Composed:
     """Insult and threat emitters composed with target, negation and reported-speech windows."""
-    return Composed((Emit("I", 0.6), Emit("T", 0.6), Window("P", 4, 1.5), Window("P", 4, 1.0, 0.15, "T"), Window("N", 3, 0.3), Window("R", 12, 0.5)))
+    return Composed((Emit("I", 0.6), Emit("T", 0.6), Follow("T", "P", 3), Window("P", 4, 1.5), Window("P", 4, 1.0, 0.15, "T"), Window("N", 3, 0.3), Window("R", 12, 0.5)))
 
 
 @dataclass
@@ -138,28 +153,34 @@ class Reader:
         self.seen[token] = out
         return out
 
-    def clauses(self, text: str) -> list[float]:
-        """Scores of the clauses that match; a line's end or closing punctuation ends a clause."""
+    def read(self, text: str) -> tuple[list[float], int, set[str]]:
+        """Scores of the clauses that match, the number of tokens, the tokens that match; a line's end or closing punctuation ends a clause."""
         out: list[float] = []
+        hits: set[str] = set()
+        n = 0
         get, look = self.seen.get, self._class
         miss = object()
         for line in text.lower().split("\n"):
             tokens = line.split()
+            n += len(tokens)
             found = [x if (x := get(t, miss)) is not miss else look(t) for t in tokens]
             if not any(x is not None and x[1] for x in found):
                 continue
             clause: list[tuple[str, float]] = []
-            for x in found:
+            for t, x in zip(tokens, found):
                 clause.append((x[0], x[1]) if x is not None else ("O", 0.0))
+                if x is not None and x[1]:
+                    hits.add(t)
                 if x is not None and x[2]:
                     out.append(self.grammar.clause(clause))
                     clause = []
             out.append(self.grammar.clause(clause))
-        return [s for s in out if s > 0]
+        return [s for s in out if s > 0], n, hits
 
     def features(self, text: str) -> np.ndarray:
-        s = self.clauses(text)
-        return np.array([max(s, default=0.0), math.log1p(sum(s)), math.log1p(len(s)), float(bool(s))])
+        """Of the clause scores: the largest, their sum, number and density; different tokens that match; whether any does."""
+        s, n, hits = self.read(text)
+        return np.array([max(s, default=0.0), math.log1p(sum(s)), math.log1p(len(s)), math.log1p(100 * sum(s) / max(1, n)), math.log1p(len(hits)), float(bool(s))])
 
 
 @dataclass
@@ -173,7 +194,7 @@ class Model:
 
 
 #: Used where the labelled rows hold only one class: a plain match is toxic.
-DEFAULT = np.array([0.5, 1.0, 0.5, 2.0, -3.0])
+DEFAULT = np.array([0.5, 1.0, 0.5, 0.5, 0.5, 1.0, -3.0])
 
 
 def _terms(text: str) -> set[str]:

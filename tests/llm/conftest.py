@@ -7,7 +7,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ke
 
 def table(spark, tmp_path, rows):
     """Write (doc_id, text, lang, source) rows with extra columns of clashing names; read them back."""
-    path = str(tmp_path / "documents.parquet")
+    path = str(tmp_path / f"documents{len(rows)}.parquet")
     full = [(*r, len(r[1] or ""), None, "x", 7, None, 1, 3) for r in rows]
     spark.createDataFrame(full, SCHEMA).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -1,0 +1,137 @@
+"""Toxicity, quality and language: held-out results, grammar and model parts, awkward rows."""
+
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from inkspan.llm import language, quality, toxicity
+from inkspan.llm.learning import logistic
+from inkspan.llm.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def auc(good, bad):
+    return np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+
+
+def fold(d, n):
+    return zlib.crc32(str(d).encode()) % n
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+
+
+def test_toxicity(spark, labels):
+    out = QUERIES["op5_toxicity"](spark, SMALL).collect()
+    assert len(out) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    for r in out:
+        assert r.held_out == (fold(r.doc_id, 3) == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    held = [(labels[r.doc_id].toxic, r.score) for r in out if r.held_out and r.doc_id in labels]
+    assert auc([s for y, s in held if y], [s for y, s in held if not y]) > 0.75
+
+
+def test_grammar_weighs_context():
+    of = toxicity.Reader(toxicity.base_lexicon())
+    best = lambda text: max(of.read(text)[0], default=0.0)
+    assert best("a fine day") == 0
+    assert best("you are an idiot") > best("an idiot") > best("not an idiot") > 0
+    assert best("an idiot") > best("he said what an idiot")
+    assert 0 < best("kill it") < best("kill you") < best("they kill you")
+    assert len(of.read("idiot. loser! moron\nscum")[0]) == 4
+    assert best("IDIOT,") == best("idiot")
+
+
+def test_toxicity_odd(spark, odd, empty):
+    no_labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    model = toxicity.fit(odd, no_labels)
+    out = toxicity.score(odd, model)
+    assert out.columns == [*odd.columns, "toxicity"]
+    assert all(0 <= r.toxicity <= 1 for r in out.collect()) and out.count() == odd.count()
+    assert toxicity.score(empty, toxicity.fit(empty, no_labels)).count() == 0
+    bad = spark.createDataFrame([(1, "You idiot. You are a worthless loser!"), (2, "A plain text.")], "doc_id long, text string")
+    a, b = [r.toxicity for r in toxicity.score(bad, model).orderBy("doc_id").collect()]
+    assert a >= 0.7 > b
+
+
+def test_lexicon_is_learned_but_not_from_copies(spark):
+    rand = random.Random(3)
+    syllables = "ba de fi go lu ma ne pi ro su".split()
+    word = lambda: "".join(rand.choice(syllables) for _ in range(3))
+    rows = [(f"{' '.join(word() for _ in range(30))} {'zzork' + word() if i % 4 == 0 else word()} {' '.join(word() for _ in range(10))}", int(i % 4 == 0), 1.0) for i in range(400)]
+    rows += [("copied words quuxly here", 1, 1.0)] * 60
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int, weight double"))
+    assert got.look("zzorkbabu") and not got.look("quuxly") and not got.look("badefi")
+
+
+def test_quality(spark, labels):
+    out = QUERIES["op9_quality"](spark, SMALL).collect()
+    for r in out:
+        assert r.held_out == (fold(r.doc_id, 5) == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    held = [(labels[r.doc_id].quality, r.score) for r in out if r.held_out and r.doc_id in labels]
+    assert auc([s for y, s in held if y], [s for y, s in held if not y]) > 0.9
+    assert np.mean([s >= 0.3 for y, s in held if y]) > 0.95
+
+
+def test_quality_odd(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (6, 1, 0), (9, 0, 0), (None, 1, None), (2, None, None)], "doc_id long, quality int, toxic int")
+    out = quality.score(odd, quality.fit(odd, labels)).collect()
+    assert len(out) == odd.count() and all(0 <= r.quality_score <= 1 and not math.isnan(r.quality_score) for r in out)
+    none = quality.fit(empty, labels.limit(0))
+    assert none is None and quality.score(empty, none).count() == 0
+    assert {r.quality_score for r in quality.score(odd, None).collect()} == {0.5}
+
+
+def test_prior_and_risk():
+    rng = np.random.default_rng(1)
+    pos = rng.normal(2, 1, (2000, 1))
+    unl = np.r_[rng.normal(2, 1, (1400, 1)), rng.normal(-2, 1, (600, 1))]
+    prior = quality.class_prior(pos[:, 0], unl[:, 0])
+    assert abs(prior - 0.7) < 0.1
+    c = quality.non_negative_risk(pos, unl, 0.7)
+    good, bad = c[0] * 2 + c[1], c[0] * -2 + c[1]
+    assert good > 1 and bad < -1
+
+
+def test_logistic():
+    x = np.random.default_rng(0).normal(size=(4000, 2))
+    y = (np.random.default_rng(1).random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(float)
+    assert np.allclose(logistic(x, y, np.ones(4000)), [2, -1, 0.5], atol=0.25)
+
+
+def test_language(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    out = QUERIES["op2_language_id"](spark, SMALL).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        assert r.held_out == (fold(r.doc_id, 4) == 2) and 0 <= r.score <= 1
+    assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in out if r.held_out and docs[r.doc_id].text]) > 0.95
+
+
+def test_language_odd(odd, empty):
+    model = language.fit(odd)
+    out = language.predict(odd, model).collect()
+    assert len(out) == odd.count()
+    assert {r.lang_pred for r in out if r.doc_id in (3, 4, 5)} == {"und"}
+    assert {r.lang_pred for r in out} <= {"en", "fr", "de", "und"}
+    assert language.predict(empty, language.fit(empty)).count() == 0
+
+
+def test_rejection():
+    model = language.Model(np.ones(language.BINS, np.float32), ["en"], np.zeros((language.BINS, 1), np.float32), np.array([0.5]))
+    at, v = language.weighted("hello there", model.idf)
+    model.centroids[at, 0] = v
+    assert model.predict("hello there") == ("en", pytest.approx(1), False)
+    lang, score, rejected = model.predict("wxyz qqq")
+    assert lang == "en" and rejected and score < 0.2
+    assert model.predict("123 !?")[0] == model.predict(None)[0] == "und"
+
+
+def test_clusters_are_spread():
+    x = np.eye(6, dtype=np.float32)[[0] * 5 + [1] * 5 + [2] * 5]
+    assert len(language.cluster(x, 4)) == 3
