@@ -39,7 +39,7 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text: whole files."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_dictionary(spark: SparkSession, paths: list[str]) -> list[str]:

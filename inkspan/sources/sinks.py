@@ -24,7 +24,7 @@ def box_json(boxes: DataFrame, page: list[str], *, order: str) -> DataFrame:
 
 def write_text(pages: DataFrame, path: str) -> None:
     """One text file a partition; the writer's own line feed is each page's last."""
-    pages.select(F.regexp_replace("text", r"\n$", "").alias("value")).write.text(path)
+    pages.select(F.regexp_replace("text", r"\n\z", "").alias("value")).write.text(path)
 
 
 def write_json(pages: DataFrame, path: str) -> None:
