@@ -23,7 +23,7 @@ from inkspan.llm.mixing import mix
 from inkspan.llm.packing import pack
 from inkspan.llm.simhash import simhash_dedup
 
-#: Near copies: five words a shingle; fingerprints of several hashes, so that pairs of 0.8 similarity and over that miss by one meet by another.
+#: Near copies: five words a shingle; fingerprints of several hashes, since a pair that misses by one may meet by another (odds in the README).
 NEAR_WORDS, NEAR_KINDS = 5, 4
 _ROW = "__corpus_row"
 
