@@ -23,8 +23,8 @@ from inkspan.llm.mixing import mix
 from inkspan.llm.packing import pack
 from inkspan.llm.simhash import simhash_dedup
 
-#: Near copies: five words a shingle; fingerprints of several hashes, since a pair that misses by one may meet by another (odds in the README).
-NEAR_WORDS, NEAR_KINDS = 5, 4
+#: Near copies: fingerprints of shingles of five words at three bits, or a similarity of the shingles of 0.8 (odds in the README).
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 _ROW = "__corpus_row"
 
 
@@ -43,7 +43,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _joined(docs, simhash_dedup(docs, words=NEAR_WORDS, kinds=NEAR_KINDS).where("kept").select("rid"))
+    return _joined(docs, simhash_dedup(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY).where("kept").select("rid"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

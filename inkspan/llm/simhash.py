@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.common import save, with_row_id
+from inkspan.llm.shingles import shingle_links
 
 BITS, MAX_BITS, BLOCK = 64, 3, 32768
 #: Odd multipliers that turn one shingle hash into further independent ones.
@@ -266,11 +267,13 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def simhash_dedup(docs: DataFrame, *, words: int = 3, seed: int = 42, kinds: int = 1, max_bits: int = MAX_BITS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_dedup(docs: DataFrame, *, words: int = 3, seed: int = 42, kinds: int = 1, max_bits: int = MAX_BITS, block: int = BLOCK, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, fingerprint, component_id, kept.
 
     Rows link if their fingerprints (with ``kinds`` over 1: any of them, each
-    made with other hashes) differ in ``max_bits`` bits at most; component_id
+    made with other hashes) differ in ``max_bits`` bits at most and, with a
+    ``similarity``, also if their sets of shingles are as similar (Jaccard; see
+    ``shingles`` for the odds that such a pair meets); component_id
     is the smallest id reachable, and ``kept`` marks one row of each component,
     that with the smallest id (a null id last, then the first of the scan).
     Texts without words, null ones too, have fingerprint zero and link like any
@@ -295,6 +298,12 @@ def simhash_dedup(docs: DataFrame, *, words: int = 3, seed: int = 42, kinds: int
             tag = lambda c, k=k: F.xxhash64(F.lit(k), F.col(c))
             ties = rows.join(own.withColumnRenamed("fp", "fp_k"), "rid").select(F.col("node").alias("a"), tag("fp_k").alias("b")).distinct()
             edges = edges.unionByName(found.select(tag("a").alias("a"), tag("b").alias("b"))).unionByName(ties)
+    if similarity is not None:
+        texts = with_row_id(docs.select(F.col(text_col).alias("text")), "rid")
+        near = shingle_links(texts, shingle_hashes, words=words, seed=seed, similarity=similarity)
+        for end in ("a", "b"):
+            near = near.join(rows.select(F.col("rid").alias(end), F.col("node").alias(f"{end}_node")), end)
+        edges = edges.unionByName(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
     roots = components(edges)
     labelled = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = save(labelled, "labelled")
