@@ -71,3 +71,24 @@ def text_matrix(x: Column, y: Column, w: Column, h: Column, length: Column, scal
         "tx": x * scale_x,
         "ty": page_height - (y + h * baseline) * scale_y,
     }
+
+
+def pixel_box(x0: Column, y0: Column, x1: Column, y1: Column, dpi: float) -> dict[str, Column]:
+    """Box in pixels of a box in points; its sides are one pixel at least."""
+    to = lambda v: rounded(v * (dpi / 72.0)).cast("long")
+    return {"x": to(x0), "y": to(y0), "width": F.greatest(F.lit(1), to(x1 - x0)), "height": F.greatest(F.lit(1), to(y1 - y0))}
+
+
+def polygon_box(xs: Column, ys: Column) -> dict[str, Column]:
+    """Bounds of a polygon's corners, both ends counted, and the mean of its corners."""
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, e: a + e) / F.size(v)
+    out = {"x": F.array_min(xs), "y": F.array_min(ys)}
+    return out | {"width": F.array_max(xs) - out["x"] + 1, "height": F.array_max(ys) - out["y"] + 1, "centre_x": mean(xs), "centre_y": mean(ys)}
+
+
+def unclipped(min_x: Column, min_y: Column, max_x: Column, max_y: Column, pad: Column, map_width: int, map_height: int, scale_x: float, scale_y: float) -> dict[str, Column]:
+    """A component's extents widened by ``pad`` within the map, as a box of the source picture."""
+    left, top = F.greatest(F.lit(0), min_x - pad), F.greatest(F.lit(0), min_y - pad)
+    right, bottom = F.least(F.lit(map_width - 1), max_x + pad), F.least(F.lit(map_height - 1), max_y + pad)
+    to = lambda v, scale: rounded(v * scale).cast("long")
+    return {"x": to(left, scale_x), "y": to(top, scale_y), "width": to(right - left + 1, scale_x), "height": to(bottom - top + 1, scale_y)}

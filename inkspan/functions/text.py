@@ -76,3 +76,11 @@ def is_cjk(text: Column) -> Column:
     """Whether any character is of one of the CJK ranges."""
     # fixed values: kana, unified ideographs and extension A, Hangul, compatibility ideographs
     return text.rlike(r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]")
+
+
+def conformance(xmp: Column, part: str = "2", level: str = "B") -> Column:
+    """Metadata that names its archival conformance: what is absent is put at the end of the first description."""
+    for tag, value in (("part", part), ("conformance", level)):
+        element = f"<pdfaid:{tag}>{value}</pdfaid:{tag}>"
+        xmp = F.when(xmp.contains(f"<pdfaid:{tag}>"), xmp).otherwise(F.regexp_replace(xmp, "(?s)^(.*?)(</rdf:Description>)", f"$1{element}$2"))
+    return xmp

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.geometry import upper_median
+from inkspan.functions.geometry import pixel_box, upper_median
 
 LINES_PER_PAGE, BATCH, NARROWEST = 43, 6, 0.6
 
@@ -78,3 +78,13 @@ def page_lines(docs: DataFrame, *, per_page: int = LINES_PER_PAGE) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), kept)
     rows = docs.select("doc_id", F.posexplode(lines).alias("line", "text"))
     return rows.select("doc_id", "line", F.floor(F.col("line") / per_page).cast("int").alias("page"), "text")
+
+
+def char_blocks(glyphs: DataFrame, word: list[str], *, dpi: float = 300.0, text: str = "text", x: str = "x", order: str = "glyph") -> DataFrame:
+    """One block a word: its glyphs' texts in order and the union of their boxes (points) as a box of pixels; confidence 100."""
+    edges = glyphs.groupBy(*word).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(x, order, text))), lambda s: s[text]), "").alias("text"),
+        *(f(F.col(a) + F.col(b) if b else F.col(a)).alias(n) for n, f, a, b in (("x0", F.min, x, ""), ("y0", F.min, "y", ""), ("x1", F.max, x, "width"), ("y1", F.max, "y", "height"))),
+    )
+    box = pixel_box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), dpi)
+    return edges.select(*word, "text", *(v.alias(k) for k, v in box.items()), F.lit(100.0).alias("confidence"))

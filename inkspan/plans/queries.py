@@ -423,3 +423,84 @@ def pdf_sink(spark, sf_dir):
 
     docs = pdf_documents(_boxes(spark, sf_dir), "item_id")
     return pdf_words(docs, "item_id")
+
+
+@query("""SELECT p_partkey, w, h, (greatest(32, floor(w * s / 32 + 0.5) * 32))::INT AS det_w, (greatest(32, floor(h * s / 32 + 0.5) * 32))::INT AS det_h, least(3200, greatest(4, ceil(48 * w / h::DOUBLE)))::INT AS rec_w
+          FROM (SELECT *, least(1.0::DOUBLE, 960 / greatest(w, h)::DOUBLE) AS s FROM (SELECT p_partkey, p_partkey * 37 % 3000 + 1 AS w, (p_size * 41 + 1)::BIGINT AS h FROM part))""")
+def recogniser_input_sizes(spark, sf_dir):
+    """Sizes that pictures have for detection and lines for recognition."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37 % 3000 + 1).alias("w"), (F.col("p_size") * 41 + 1).cast("long").alias("h"))
+    w, h = F.col("w"), F.col("h")
+    longest = F.greatest(w, h)
+    return rows.select("p_partkey", "w", "h", G.detection_side(w, longest).alias("det_w"), G.detection_side(h, longest).alias("det_h"), G.recognition_width(w, h).alias("rec_w"))
+
+
+@query(f"""SELECT page, label, floor(l * 2.5 + 0.5)::BIGINT AS x, floor(t * 1.5 + 0.5)::BIGINT AS y, floor((r - l + 1) * 2.5 + 0.5)::BIGINT AS width, floor((b - t + 1) * 1.5 + 0.5)::BIGINT AS height, round(p * 100, 6) AS confidence
+           FROM (SELECT page, label, p, greatest(0, x0 - pad) AS l, greatest(0, y0 - pad) AS t, least(149, x1 + pad) AS r, least(99, y1 + pad) AS b
+                 FROM (SELECT *, floor(n * 1.5::DOUBLE / (2 * (x1 - x0 + 1 + y1 - y0 + 1)) + 0.5) AS pad
+                       FROM (SELECT page, label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, count(*) AS n, avg(p) AS p FROM ({BLOBS}) GROUP BY ALL)
+                       WHERE p >= 0.6 AND x1 - x0 >= 2 AND y1 - y0 >= 2))""")
+def box_unclip(spark, sf_dir):
+    """Kept components as boxes of the picture that the map was made of."""
+    c = F.col
+    kept = recognition.component_boxes(_blobs(spark, sf_dir), ["page", "label"]).where("kept")
+    box = G.unclipped(c("min_x"), c("min_y"), c("max_x"), c("max_y"), c("pad"), 150, 100, 2.5, 1.5)
+    return kept.select("page", "label", *(v.alias(k) for k, v in box.items()), F.round(c("p") * 100, 6).alias("confidence"))
+
+
+@query("""SELECT p_partkey, list_min(xs) AS x, list_min(ys) AS y, list_max(xs) - list_min(xs) + 1 AS width, list_max(ys) - list_min(ys) + 1 AS height, list_sum(xs) / 4.0::DOUBLE AS centre_x, list_sum(ys) / 4.0::DOUBLE AS centre_y
+          FROM (SELECT p_partkey, [k % 97, k % 97 + p_size, k % 97 + p_size - 3, k % 97 - 3] AS xs, [k % 89, k % 89 + 2, k % 89 + 12, k % 89 + 10] AS ys FROM (SELECT *, p_partkey AS k FROM part))""")
+def polygon_boxes(spark, sf_dir):
+    """Bounds and centres of slanted boxes."""
+    x, y, s = F.col("p_partkey") % 97, F.col("p_partkey") % 89, F.col("p_size")
+    box = G.polygon_box(F.array(x, x + s, x + s - 3, x - 3), F.array(y, y + 2, y + 12, y + 10))
+    return read(spark, sf_dir, "part").select("p_partkey", *(v.alias(k) for k, v in box.items()))
+
+
+@query(f"""SELECT page, word, string_agg(chr((97 + glyph % 26)::INT), '' ORDER BY x, glyph) AS text, floor(min(x) * (300 / 72.0::DOUBLE) + 0.5)::BIGINT AS x, floor(min(y) * (300 / 72.0::DOUBLE) + 0.5)::BIGINT AS y,
+                  greatest(1, floor((max(x + width) - min(x)) * (300 / 72.0::DOUBLE) + 0.5))::BIGINT AS width, greatest(1, floor((max(y + height) - min(y)) * (300 / 72.0::DOUBLE) + 0.5))::BIGINT AS height, 100.0::DOUBLE AS confidence
+           FROM (SELECT page, glyph, x, y, width, height, (sum(n) OVER (PARTITION BY page ORDER BY x, glyph))::BIGINT AS word FROM (
+             SELECT *, coalesce((x - lag(x + width) OVER w > greatest(0.3 * lag(height) OVER w, 2.0))::INT, 0) AS n FROM ({GLYPHS}) WINDOW w AS (PARTITION BY page ORDER BY x, glyph))) GROUP BY page, word""")
+def char_blocks(spark, sf_dir):
+    """Words of glyphs as blocks of pixels; an order's lines stand for the glyphs of a line."""
+    glyphs = _glyphs(spark, sf_dir).withColumn("text", F.char(97 + F.col("glyph") % 26))
+    return layout.char_blocks(layout.gap_words(glyphs, ["page"]), ["page", "word"])
+
+
+@query(f"""WITH p AS MATERIALIZED ({PIXELS})
+           SELECT a.page, sum(v)::BIGINT AS total, sum(v * (x + 3 * y))::BIGINT AS mix FROM (
+             SELECT a.page, a.x, a.y, floor((a.gray * 0.75::DOUBLE + b.gray * 0.25::DOUBLE) * 0.5 + (c.gray * 0.75::DOUBLE + d.gray * 0.25::DOUBLE) * 0.5 + 0.5)::BIGINT AS v FROM p a
+             JOIN p b ON b.page = a.page AND b.x = least(149, a.x + 1) AND b.y = a.y JOIN p c ON c.page = a.page AND c.x = a.x AND c.y = least(99, a.y + 1)
+             JOIN p d ON d.page = a.page AND d.x = least(149, a.x + 1) AND d.y = least(99, a.y + 1)) a GROUP BY a.page""")
+def bilinear_sample(spark, sf_dir):
+    """Each page sampled a quarter of a pixel to the right and half a pixel down, edges clamped."""
+    after = lambda c, *by: F.coalesce(F.lead(c).over(Window.partitionBy("page", by[0]).orderBy(by[1])), c)
+    rows = _pixels(spark, sf_dir).withColumn("right", after("gray", "y", "x"))
+    rows = rows.withColumns({"below": after("gray", "x", "y"), "across": after("right", "x", "y")})
+    v = G.bilinear(F.col("gray"), F.col("right"), F.col("below"), F.col("across"), F.lit(0.25), F.lit(0.5))
+    return rows.select("page", "x", "y", v.alias("v")).groupBy("page").agg(F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("x") + 3 * F.col("y"))).alias("mix"))
+
+
+@query(r"""SELECT page_id, length(t)::INT AS n_chars, sha256(t) AS body_sha FROM (
+             SELECT page_id, trim(regexp_replace(CASE WHEN regexp_matches(html, '<article>') THEN regexp_replace(html, '(?s)^.*?(?:<article>)', '') ELSE html END, '(?s)(?:</article>).*$', ''), chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM pages)""")
+def text_between_markers(spark, sf_dir):
+    """What is left of a text when its head and its foot are cut: here a web page's article."""
+    t = T.between_markers(F.col("html"), "<article>", "</article>")
+    return read(spark, sf_dir, "pages").select("page_id", F.length(t).alias("n_chars"), F.sha2(t.cast("binary"), 256).alias("body_sha"))
+
+
+@query(f"""SELECT item_id, len(w)::INT AS blocks, len(list_filter(w, lambda x: length(x) > 2))::INT AS worded FROM (SELECT item_id, {WORDS.format(t="text")} AS w FROM benchmark)""")
+def short_text_suppressed(spark, sf_dir):
+    """Blocks of two characters or fewer stay without their text, and don't count as words."""
+    w = T.words(F.col("text"))
+    return read(spark, sf_dir, "benchmark").select("item_id", F.size(w).alias("blocks"), F.size(F.filter(w, lambda x: F.trim(T.suppress_short(x)) != "")).alias("worded"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN contains(a, '<pdfaid:conformance>') THEN a ELSE regexp_replace(a, '</rdf:Description>', '<pdfaid:conformance>B</pdfaid:conformance></rdf:Description>') END AS xmp FROM (
+            SELECT n_nationkey, CASE WHEN contains(x, '<pdfaid:part>') THEN x ELSE regexp_replace(x, '</rdf:Description>', '<pdfaid:part>2</pdfaid:part></rdf:Description>') END AS a FROM (
+              SELECT n_nationkey, '<rdf:Description>' || n_name || CASE WHEN n_nationkey % 2 = 0 THEN '<pdfaid:part>1</pdfaid:part>' ELSE '' END || CASE WHEN n_nationkey % 3 = 0 THEN '<pdfaid:conformance>U</pdfaid:conformance>' ELSE '' END || '</rdf:Description>' AS x FROM nation))""")
+def xmp_conformance(spark, sf_dir):
+    """Archival conformance merged into metadata that may hold a part of it."""
+    k = F.col("n_nationkey")
+    own = F.concat(F.lit("<rdf:Description>"), "n_name", F.when(k % 2 == 0, "<pdfaid:part>1</pdfaid:part>").otherwise(""), F.when(k % 3 == 0, "<pdfaid:conformance>U</pdfaid:conformance>").otherwise(""), F.lit("</rdf:Description>"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", T.conformance(own).alias("xmp"))
