@@ -504,3 +504,14 @@ def xmp_conformance(spark, sf_dir):
     k = F.col("n_nationkey")
     own = F.concat(F.lit("<rdf:Description>"), "n_name", F.when(k % 2 == 0, "<pdfaid:part>1</pdfaid:part>").otherwise(""), F.when(k % 3 == 0, "<pdfaid:conformance>U</pdfaid:conformance>").otherwise(""), F.lit("</rdf:Description>"))
     return read(spark, sf_dir, "nation").select("n_nationkey", T.conformance(own).alias("xmp"))
+
+
+@query("""SELECT item_id, 'bench' || (item_id % 3) || ' -> inkspan' AS producer, (item_id % 4 + 1)::INT AS outlines, (item_id % 5)::INT AS notes, (item_id % 2)::INT AS files, TRUE AS archival FROM benchmark""")
+def pdf_preserve(spark, sf_dir):
+    """Documents of benchmark texts that take over outline, notes, attached files and metadata of others."""
+    from inkspan.sources.pdf import pdf_documents, preserved, with_elements
+
+    made = pdf_documents(_boxes(spark, sf_dir), "item_id").withColumnRenamed("content", "made")
+    k = F.col("item_id").cast("int")
+    docs = made.withColumns({"producer": F.concat(F.lit("bench"), k % 3), "outlines": k % 4 + 1, "notes": k % 5, "files": k % 2})
+    return preserved(with_elements(docs, "item_id"), "item_id").drop("content")

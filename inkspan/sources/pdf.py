@@ -2,8 +2,10 @@
 
 A document is written in one group: pages with an optional gray background (a
 Flate stream), an optional stencil mask over it and the words as invisible text
-(mode 3). The reader walks the same structure; arbitrary documents by others,
-with object streams or encryption, are beyond it, and no page is rendered.
+(mode 3). Besides pages it may hold an outline, notes on pages, attached files
+and metadata, which ``preserve`` carries from one document to another. The
+reader walks the same structure; arbitrary documents by others, with object
+streams or encryption, are beyond it, and no page is rendered.
 """
 
 from __future__ import annotations
@@ -15,6 +17,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+# fixed values: the fields of the info dictionary and the namespaces of its metadata
+BARE_XMP = (
+    '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
+    '<rdf:Description rdf:about="" xmlns:pdfaid="http://www.aiim.org/pdfa/ns/id/"></rdf:Description></rdf:RDF></x:xmpmeta>'
+)
 INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")
 
 
@@ -22,12 +29,22 @@ def _text(s: str) -> bytes:
     return b"<" + s.encode("utf-16-be").hex().encode() + b">"
 
 
+def _list(key: bytes, of: list[int]) -> bytes:
+    return b" /%s [%s]" % (key, b" ".join(b"%d 0 R" % k for k in of)) if of else b""
+
+
 def _number(x: float) -> bytes:
     return f"{x:.4f}".rstrip("0").rstrip(".").encode() or b"0"
 
 
-def write_pdf(pages: list[dict], info: dict[str, str] | None = None) -> bytes:
-    """Bytes of a document. A page: width, height (points); words: (text, x, y, size, stretch); background, mask: (width, height, bytes)."""
+def write_pdf(pages: list[dict], info: dict[str, str] | None = None, *, outline: list[tuple[str, int]] = (), files: list[tuple[str, bytes]] = (), xmp: str | None = None) -> bytes:
+    """Bytes of a document.
+
+    A page: width, height (points); words: (text, x, y, size, stretch);
+    background, mask: (width, height, bytes); notes: (x, y, width, height,
+    text). ``outline`` holds titles with the page (from 0) that each leads to,
+    ``files`` names with contents.
+    """
     objects: list[bytes] = []
 
     def add(body: bytes) -> int:
@@ -53,9 +70,25 @@ def write_pdf(pages: list[dict], info: dict[str, str] | None = None) -> bytes:
         for text, x, y, size, stretch in p.get("words", ()):
             content.append(b"BT 3 Tr /F1 %s Tf %s 0 0 1 %s %s Tm %s Tj ET" % (_number(size), _number(stretch), _number(x), _number(y), _text(text)))
         body = stream(b"", b"\n".join(content))
-        kids.append(add(b"<< /Type /Page /Parent %d 0 R /MediaBox [0 0 %s %s] /Resources << /Font << /F1 %d 0 R >> /XObject << %s >> >> /Contents %d 0 R >>" % (tree, _number(p["width"]), _number(p["height"]), font, b" ".join(pictures), body)))
+        notes = [add(b"<< /Type /Annot /Subtype /Text /Rect [%s] /Contents %s >>" % (b" ".join(map(_number, (x, y, x + w, y + h))), _text(said))) for x, y, w, h, said in p.get("notes", ())]
+        kids.append(add(b"<< /Type /Page /Parent %d 0 R /MediaBox [0 0 %s %s] /Resources << /Font << /F1 %d 0 R >> /XObject << %s >> >> /Contents %d 0 R%s >>" % (tree, _number(p["width"]), _number(p["height"]), font, b" ".join(pictures), body, _list(b"Annots", notes))))
+    more = b""
+    if outline:
+        root, first = len(objects) + 1, len(objects) + 2
+        add(b"<< /Type /Outlines /Count %d /First %d 0 R /Last %d 0 R >>" % (len(outline), first, first + len(outline) - 1))
+        for n, (title, page) in enumerate(outline):
+            near = b"".join(b" /%s %d 0 R" % (k, first + at) for k, at in ((b"Prev", n - 1), (b"Next", n + 1)) if 0 <= at < len(outline))
+            add(b"<< /Title %s /Parent %d 0 R /Dest [%d 0 R /Fit]%s >>" % (_text(title), root, kids[page], near))
+        more += b" /Outlines %d 0 R" % root
+    if files:
+        held = [(name, stream(b"/Type /EmbeddedFile", data)) for name, data in sorted(files, key=lambda f: _text(f[0]))]
+        specs = [(name, add(b"<< /Type /Filespec /F %s /UF %s /EF << /F %d 0 R >> >>" % (_text(name), _text(name), at))) for name, at in held]
+        more += b" /Names << /EmbeddedFiles << /Names [%s] >> >>" % b" ".join(b"%s %d 0 R" % (_text(name), at) for name, at in specs)
+    if xmp is not None:
+        data = xmp.encode()
+        more += b" /Metadata %d 0 R" % add(b"<< /Type /Metadata /Subtype /XML /Length %d >>\nstream\n" % len(data) + data + b"\nendstream")
     objects[tree - 1] = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
-    objects[catalog - 1] = b"<< /Type /Catalog /Pages %d 0 R >>" % tree
+    objects[catalog - 1] = b"<< /Type /Catalog /Pages %d 0 R%s >>" % (tree, more)
     about = add(b"<< " + b" ".join(b"/%s %s" % (k.encode(), _text(v)) for k, v in (info or {}).items() if k in INFO and v is not None) + b" >>")
     out, places = b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n", []
     for i, body in enumerate(objects, 1):
@@ -66,34 +99,86 @@ def write_pdf(pages: list[dict], info: dict[str, str] | None = None) -> bytes:
 
 
 def read_pdf(raw: bytes) -> dict:
-    """info, and of each page its size and words as written by ``write_pdf``."""
+    """What ``write_pdf`` wrote: info, outline, files, xmp, and of each page its size, words, notes and pictures."""
     start = int(re.search(rb"startxref\s+(\d+)\s+%%EOF\s*$", raw)[1])
     n = int(re.match(rb"xref\n0 (\d+)\n", raw[start:])[1])
     head = raw.index(b"\n", raw.index(b"\n", start) + 1) + 1
     at = [int(raw[head + 20 * i : head + 20 * i + 10]) for i in range(n)]
-
-    def body(i: int) -> bytes:
-        return raw[at[i] :].split(b" obj\n", 1)[1].split(b"\nendobj\n", 1)[0] if b"stream" not in raw[at[i] : at[i] + 400] else _stream_object(raw, at[i])
+    ref = lambda key, b: (m := re.search(rb"/%s (\d+) 0 R" % key, b)) and int(m[1])
+    refs = lambda key, b: [int(k) for k in re.findall(rb"(\d+) 0 R", m[1])] if (m := re.search(rb"/%s \[(.*?)\]" % key, b, re.S)) else []
+    text = lambda key, b: _plain(re.search(rb"/%s <([0-9a-f]*)>" % key, b)[1])
+    own = lambda i: _object(raw, at[i])
 
     trailer = raw[raw.rindex(b"trailer") :]
-    ref = lambda key, b: int(re.search(rb"/%s (\d+) 0 R" % key, b)[1])
-    info = {k.decode(): bytes.fromhex(v.decode()).decode("utf-16-be") for k, v in re.findall(rb"/(\w+) <([0-9a-f]*)>", body(ref(b"Info", trailer)))}
+    info = {k.decode(): _plain(v) for k, v in re.findall(rb"/(\w+) <([0-9a-f]*)>", own(ref(b"Info", trailer))[0])}
+    catalog = own(ref(b"Root", trailer))[0]
+    kids = refs(b"Kids", own(ref(b"Pages", catalog))[0])
     pages = []
-    for k in re.findall(rb"(\d+) 0 R", re.search(rb"/Kids \[(.*?)\]", body(ref(b"Pages", body(ref(b"Root", trailer)))), re.S)[1]):
-        page = body(int(k))
+    for k in kids:
+        page = own(k)[0]
         box = [float(v) for v in re.search(rb"/MediaBox \[(.*?)\]", page)[1].split()]
-        z = body(ref(b"Contents", page))
-        content = zlib.decompress(z[z.index(b"stream\n") + 7 : z.rindex(b"\nendstream")])
-        words = [(bytes.fromhex(t.decode()).decode("utf-16-be"), float(x), float(y), float(s), float(f)) for s, f, x, y, t in re.findall(rb"/F1 (\S+) Tf (\S+) 0 0 1 (\S+) (\S+) Tm <([0-9a-f]*)> Tj", content)]
-        pages.append({"width": box[2], "height": box[3], "words": words})
-    return {"info": info, "pages": pages}
-
-
-def _stream_object(raw: bytes, at: int) -> bytes:
-    """An object with a stream: its length decides where it ends, since the data may hold any bytes."""
-    begin = raw.index(b"stream\n", at) + 7
-    length = re.search(rb"/Length (\d+)", raw[at:begin])
-    return raw[at : begin + int(length[1])] + b"\nendstream" if length else raw[at : raw.index(b"\nendobj\n", at)]
+        content = own(ref(b"Contents", page))[1]
+        words = [(_plain(t), float(x), float(y), float(s), float(f)) for s, f, x, y, t in re.findall(rb"/F1 (\S+) Tf (\S+) 0 0 1 (\S+) (\S+) Tm <([0-9a-f]*)> Tj", content)]
+        notes = []
+        for note in (own(i)[0] for i in refs(b"Annots", page)):
+            x0, y0, x1, y1 = (float(v) for v in re.search(rb"/Rect \[(.*?)\]", note)[1].split())
+            notes.append((x0, y0, x1 - x0, y1 - y0, text(b"Contents", note)))
+        pictures = {}
+        for name in ("background", "mask"):
+            if i := ref(name[:2].encode(), page):
+                head, data = own(i)
+                pictures[name] = (*(int(re.search(rb"/%s (\d+)" % side, head)[1]) for side in (b"Width", b"Height")), data)
+        pages.append({"width": box[2], "height": box[3], "words": words, "notes": notes} | pictures)
+    outline, item = [], (top := ref(b"Outlines", catalog)) and ref(b"First", own(top)[0])
+    while item and len(outline) < n:
+        entry = own(item)[0]
+        outline.append((text(b"Title", entry), kids.index(refs(b"Dest", entry)[0])))
+        item = ref(b"Next", entry)
+    files = []
+    for name, spec in re.findall(rb"<([0-9a-f]*)> (\d+) 0 R", catalog.partition(b"/EmbeddedFiles")[2]):
+        files.append((_plain(name), own(ref(b"F", own(int(spec))[0]))[1]))
+    meta = ref(b"Metadata", catalog)
+    return {"info": info, "pages": pages, "outline": outline, "files": files, "xmp": own(meta)[1].decode() if meta else None}
+
+
+def _plain(hexed: bytes) -> str:
+    return bytes.fromhex(hexed.decode()).decode("utf-16-be")
+
+
+def _object(raw: bytes, at: int) -> tuple[bytes, bytes]:
+    """An object's own text and what its stream holds; the stream's length decides where it ends, since the data may hold any bytes."""
+    begin = raw.index(b" obj\n", at) + 5
+    end = raw.index(b"\nendobj\n", begin)
+    data = raw.find(b"stream\n", begin, end)
+    if data < 0:
+        return raw[begin:end], b""
+    head = raw[begin:data]
+    held = raw[data + 7 : data + 7 + int(re.search(rb"/Length (\d+)", head)[1])]
+    return head, zlib.decompress(held) if b"/FlateDecode" in head else held
+
+
+def with_conformance(xmp: str | None, part: str = "2", level: str = "B") -> str:
+    """Metadata that names its archival conformance; what it says already stays."""
+    xmp = xmp if xmp and "</rdf:Description>" in xmp else BARE_XMP
+    for tag, value in (("part", part), ("conformance", level)):
+        if f"<pdfaid:{tag}>" not in xmp:
+            xmp = xmp.replace("</rdf:Description>", f"<pdfaid:{tag}>{value}</pdfaid:{tag}></rdf:Description>", 1)
+    return xmp
+
+
+def preserve(source: bytes, made: bytes, producer: str) -> bytes:
+    """``made`` with what ``source`` holds beside its pages' contents.
+
+    Info fields, outline, attached files and metadata are the source's; notes
+    go to the page of the same number, as far as both have pages; outline
+    entries to pages that aren't there go. The producer joins the source's.
+    """
+    old, new = read_pdf(source), read_pdf(made)
+    pages = [p | {"notes": [*p["notes"], *q["notes"]]} for p, q in zip(new["pages"], old["pages"])] + new["pages"][len(old["pages"]) :]
+    before = old["info"].get("Producer", "").strip()
+    info = new["info"] | old["info"] | {"Producer": f"{before} -> {producer}" if before else producer}
+    outline = [(t, p) for t, p in old["outline"] if p < len(pages)]
+    return write_pdf(pages, info, outline=outline, files=old["files"], xmp=with_conformance(old["xmp"]))
 
 
 def pdf_documents(boxes: DataFrame, doc: str, *, scale: float = 0.24, height: float = 792.0, width: float = 612.0, order: str = "nth") -> DataFrame:
@@ -124,3 +209,45 @@ def pdf_words(docs: DataFrame, doc: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
     return docs.select(doc, "content").mapInArrow(run, f"{doc} {kind}, page int, nth int, word string, tx double, ty double, font_size double, stretch double")
+
+
+def preserved(docs: DataFrame, doc: str, *, source: str = "source", made: str = "made", producer: str = "inkspan") -> DataFrame:
+    """doc, content, outlines, notes, files, and whether metadata names its conformance: each ``made`` document with its ``source``'s elements."""
+    kind = dict(docs.dtypes)[doc]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [preserve(s, m, producer) for s, m in zip(b[source].to_pylist(), b[made].to_pylist())]
+            held = [read_pdf(c) for c in out]
+            yield pa.RecordBatch.from_pydict({
+                doc: b[doc],
+                "content": pa.array(out, pa.binary()),
+                "producer": pa.array([h["info"]["Producer"] for h in held], pa.string()),
+                "outlines": pa.array([len(h["outline"]) for h in held], pa.int32()),
+                "notes": pa.array([sum(len(p["notes"]) for p in h["pages"]) for h in held], pa.int32()),
+                "files": pa.array([len(h["files"]) for h in held], pa.int32()),
+                "archival": pa.array(["<pdfaid:part>" in h["xmp"] for h in held], pa.bool_()),
+            })
+
+    return docs.select(doc, source, made).mapInArrow(run, f"{doc} {kind}, content binary, producer string, outlines int, notes int, files int, archival boolean")
+
+
+def with_elements(docs: DataFrame, doc: str) -> DataFrame:
+    """doc, made, source: beside each ``made`` document a one-page one with as many outline entries, notes and files as the columns say."""
+    kind = dict(docs.dtypes)[doc]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b[c].to_pylist() for c in ("producer", "outlines", "notes", "files")))
+            source = [
+                write_pdf(
+                    [{"width": 612.0, "height": 792.0, "notes": [(10.0 * i, 20.0, 30.0, 40.0, f"note {i}") for i in range(notes)]}],
+                    {"Producer": producer},
+                    outline=[(f"part {i}", 0) for i in range(outlines)],
+                    files=[(f"file {i}", bytes(range(256))) for i in range(files)],
+                )
+                for producer, outlines, notes, files in rows
+            ]
+            yield pa.RecordBatch.from_pydict({doc: b[doc], "made": b["made"], "source": pa.array(source, pa.binary())})
+
+    return docs.select(doc, "made", "producer", "outlines", "notes", "files").mapInArrow(run, f"{doc} {kind}, made binary, source binary")

@@ -79,6 +79,25 @@ def test_pdf_round_trip(spark):
     assert [r.word for r in out] == ["x", "yz"] and out[1].tx == pytest.approx(19.2)
 
 
+def test_pdf_preserve():
+    """Outline, notes, files and metadata go over; pictures and words stay; what has no page is left out."""
+    words = [("w", 1.0, 2.0, 3.0, 1.0)]
+    page = {"width": 612.0, "height": 792.0, "words": words, "background": (4, 4, bytes(range(16))), "mask": (8, 2, b"\x0f\xf0")}
+    note = (10.0, 20.0, 30.0, 40.0, "sée")
+    xmp = "<rdf:Description><pdfaid:part>1</pdfaid:part></rdf:Description><rdf:Description></rdf:Description>"
+    size = {"width": 1.0, "height": 1.0}
+    files = [("a.txt", b""), ("b.bin", b"\nendobj\nstream\n" * 3)]
+    source = pdf.write_pdf([size | {"notes": [note]}, size, size | {"notes": [note]}], {"Title": "T", "Producer": "Old"}, outline=[("one", 0), ("twö", 1), ("three", 2)], files=files[::-1], xmp=xmp)
+    assert pdf.read_pdf(source)["files"] == files and pdf.read_pdf(source)["xmp"] == xmp
+    back = pdf.read_pdf(pdf.preserve(source, pdf.write_pdf([page, page], {"Creator": "C"}), "New"))
+    assert back["info"] == {"Title": "T", "Producer": "Old -> New", "Creator": "C"}
+    assert back["outline"] == [("one", 0), ("twö", 1)] and back["files"] == files
+    assert [p["notes"] for p in back["pages"]] == [[note], []] and back["pages"][0] == page | {"notes": [note]}
+    assert back["xmp"] == xmp.replace("</rdf:Description>", "<pdfaid:conformance>B</pdfaid:conformance></rdf:Description>", 1)
+    bare = pdf.read_pdf(pdf.preserve(pdf.write_pdf([]), pdf.write_pdf([size]), "New"))
+    assert (bare["info"], bare["outline"], bare["files"]) == ({"Producer": "New"}, [], []) and "<pdfaid:part>2</pdfaid:part>" in bare["xmp"]
+
+
 def test_settings():
     text = '{ // c\n "dpi": 200, /* x */ "url": "http://a/*b*/", "engine": null }'
     assert settings.load(text, {"dpi": 150, "language": None}) == settings.DEFAULTS | {"dpi": 150, "url": "http://a/*b*/", "engine": None}
