@@ -26,20 +26,24 @@ def tile_levels(pixels: DataFrame, page: list[str], *, tile: int = TILE, share:
 
 
 def normalise_background(pixels: DataFrame, page: list[str], *, tile: int = TILE, share: float = SHARE) -> DataFrame:
-    """``pixels`` with ``background`` and ``flat``: each pixel by the surface between its own tile's level and the next ones'."""
+    """``pixels`` with ``background`` and ``flat``: each pixel by the surface between its own tile's level and the next ones'.
+
+    The four levels of a cell are brought together on the table of tiles, a
+    thousandth of the pixels, so that pixels are joined once; past the last
+    tile its own level goes on.
+    """
     levels = tile_levels(pixels, page, tile=tile, share=share)
-    ends = Window.partitionBy(*page)
-    levels = levels.select("*", F.max("tx").over(ends).alias("mx"), F.max("ty").over(ends).alias("my"))
-    near = lambda dx, dy, name: levels.select(*page, F.col("tx").alias("_x"), F.col("ty").alias("_y"), F.col("level").alias(name)).withColumnsRenamed({"_x": f"x{dx}", "_y": f"y{dy}"})
-    last = levels.select(*page, "mx", "my").distinct()
+    right, down = Window.partitionBy(*page, "ty").orderBy("tx"), Window.partitionBy(*page, "tx").orderBy("ty")
+    levels = levels.select("*", F.coalesce(F.lead("level").over(right), "level").alias("b10"), F.lead("tx").over(right).isNull().alias("end_x"))
+    levels = levels.select(
+        "*", F.coalesce(F.lead("level").over(down), "level").alias("b01"), F.coalesce(F.lead("b10").over(down), "b10").alias("b11"), F.lead("ty").over(down).isNull().alias("end_y")
+    ).withColumnRenamed("level", "b00")
+    spread = lambda t, end: F.explode(F.when(F.col(end), F.array(t, F.col(t) + 1)).otherwise(F.array(t)))
+    cells = levels.withColumn("cx", spread("tx", "end_x")).withColumn("cy", spread("ty", "end_y")).drop("end_x", "end_y")
     half = tile // 2
-    rows = pixels.join(last, page)
-    for c, m in (("x", "mx"), ("y", "my")):
-        t0 = F.least(F.floor((F.col(c) + half) / tile).cast("int"), F.col(m))
-        rows = rows.withColumns({f"{c}0": t0, f"{c}1": F.least(t0 + 1, F.col(m)), f"f{c}": F.least(F.col(c) + half - t0 * tile, F.lit(tile - 1))})
-    for dx in (0, 1):
-        for dy in (0, 1):
-            rows = rows.join(near(dx, dy, f"b{dx}{dy}"), [*page, f"x{dx}", f"y{dy}"])
+    cell = lambda c: F.floor((F.col(c) + half) / tile).cast("int")
+    within = lambda c, t: F.least(F.col(c) + half - F.col(t) * tile, F.lit(tile - 1))
+    rows = pixels.withColumns({"cx": cell("x"), "cy": cell("y")}).join(cells, [*page, "cx", "cy"]).withColumns({"fx": within("x", "tx"), "fy": within("y", "ty")})
     top = F.col("b00") * (tile - F.col("fx")) + F.col("b10") * F.col("fx")
     bottom = F.col("b01") * (tile - F.col("fx")) + F.col("b11") * F.col("fx")
     surface = div(top * (tile - F.col("fy")) + bottom * F.col("fy"), F.lit(tile * tile))
