@@ -255,11 +255,12 @@ PIXELS = "SELECT s_suppkey AS page, i % 150 AS x, i // 150 AS y, ((s_suppkey * 3
 
 
 def _pixels(spark, sf_dir):
-    """A page of 150 x 100 pixels for each supplier."""
+    """A page of 150 x 100 pixels for each supplier; pages are dealt out while they are one row each, so that what goes by page needs no further shuffle."""
     i, s = F.col("i"), F.col("s_suppkey")
     x, y = i % 150, F.floor(i / 150)
     gray = (s * 31 + x * 7 + y * 13 + x * y) % 200 + F.when((i + s) % 9 == 0, 0).otherwise(55)
-    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(14999))).alias("i"))
+    pages = read(spark, sf_dir, "supplier").select("s_suppkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
+    rows = pages.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(14999))).alias("i"))
     return rows.select(s.alias("page"), x.cast("long").alias("x"), y.cast("long").alias("y"), gray.cast("long").alias("gray"))
 
 
