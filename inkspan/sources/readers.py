@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +107,83 @@ def tiff_frames(content: bytes) -> int:
     return n
 
 
+def _values(content: bytes, e: str, at: int) -> dict[int, list[int]]:
+    """All whole-number values of each tag of the directory at ``at``."""
+    out = {}
+    for i in range(struct.unpack(e + "H", content[at : at + 2])[0]):
+        tag, kind, n = struct.unpack(e + "HHI", content[at + 2 + 12 * i : at + 10 + 12 * i])
+        if sign := {1: "B", 3: "H", 4: "I"}.get(kind):
+            size = struct.calcsize(sign) * n
+            place = at + 10 + 12 * i if size <= 4 else struct.unpack(e + "I", content[at + 10 + 12 * i : at + 14 + 12 * i])[0]
+            out[tag] = list(struct.unpack(e + sign * n, content[place : place + size]))
+    return out
+
+
+def _unpacked_runs(raw: bytes) -> bytes:
+    """PackBits: a count of literal bytes, or of repeats of the next one."""
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n = raw[at]
+        if n < 128:
+            out += raw[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += raw[at + 1 : at + 2] * (257 - n) if n > 128 else b""
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+#: fixed values: compressions by the format's numbers
+UNPACK = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpacked_runs}
+
+
+def tiff_rasters(content: bytes) -> Iterator[np.ndarray | None]:
+    """Each frame's samples, (height, width, channels) of 8 bits; None for a frame whose coding isn't read here.
+
+    Strips of one or eight bits a sample, plain, Deflate or PackBits; white-is-zero is turned round.
+    """
+    e = "<" if content[:2] == b"II" else ">"
+    at, seen = struct.unpack(e + "I", content[4:8])[0], set()
+    while at and at not in seen and at + 2 <= len(content):
+        seen.add(at)
+        count = struct.unpack(e + "H", content[at : at + 2])[0]
+        try:
+            yield _frame(content, _values(content, e, at))
+        except (struct.error, zlib.error, KeyError, ValueError):
+            yield None
+        at = struct.unpack(e + "I", (content[at + 2 + 12 * count : at + 6 + 12 * count] + b"\0\0\0\0")[:4])[0]
+
+
+def _frame(content: bytes, tags: dict[int, list[int]]) -> np.ndarray | None:
+    one = lambda tag, default: tags.get(tag, [default])[0]
+    width, height, channels, bits = tags[256][0], tags[257][0], one(277, 1), set(tags.get(258, [1]))
+    if bits not in ({1}, {8}) or one(317, 1) != 1 or one(284, 1) != 1 or (bits == {1} and channels != 1):
+        return None
+    data = b"".join(UNPACK[one(259, 1)](content[a : a + n]) for a, n in zip(tags[273], tags[279]))
+    row = -(-width * channels * next(iter(bits)) // 8)
+    rows = np.frombuffer(data, np.uint8)[: row * height].reshape(height, row)
+    if bits == {1}:
+        rows = np.unpackbits(rows, axis=1)[:, :width] * np.uint8(255)
+    return (255 - rows if one(262, 1) == 0 else rows).reshape(height, width, channels)
+
+
+def tiff_pages(pictures: DataFrame) -> DataFrame:
+    """path, page_idx, width, height, channels, pixels: the frames of each TIFF, one at a time; frames that can't be decoded are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b["path"].to_pylist(), b["content"]):
+                raw = content.as_py()
+                for i, r in enumerate(tiff_rasters(raw) if raw[:4] in (b"II*\0", b"MM\0*") else ()):
+                    if r is not None:
+                        yield pa.RecordBatch.from_pydict({
+                            "path": pa.array([path], pa.string()), "page_idx": pa.array([i], pa.int32()), "width": pa.array([r.shape[1]], pa.int32()),
+                            "height": pa.array([r.shape[0]], pa.int32()), "channels": pa.array([r.shape[2]], pa.int32()), "pixels": pa.array([r.tobytes()], pa.binary()),
+                        })
+
+    return pictures.select("path", "content").mapInArrow(run, "path string, page_idx int, width int, height int, channels int, pixels binary")
+
+
 def picture_pages(pictures: DataFrame, *, dpi: float = 300.0) -> DataFrame:
     """path, page_idx, dpi: a row a frame, with the file's own resolution or the default."""
 

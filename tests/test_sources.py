@@ -4,6 +4,7 @@ import json
 import struct
 import zlib
 
+import numpy as np
 import pytest
 
 from inkspan.operators import engines
@@ -36,6 +37,32 @@ def test_pictures(spark, tmp_path):
     assert readers.resolution(b"BM" + b"\0" * 10) is None
 
 
+def test_tiff_frames(spark, tmp_path):
+    """Plain, Deflate and PackBits strips of gray, colour and one-bit frames; an unknown coding is left out."""
+    rng = np.random.default_rng(1)
+    gray, colour, bits = rng.integers(0, 256, (3, 5, 1), np.uint8), rng.integers(0, 256, (2, 4, 3), np.uint8), rng.integers(0, 2, (4, 11), np.uint8)
+    runs = lambda raw: b"".join(bytes([0, x]) for x in raw[:3]) + bytes([len(raw) - 4]) + raw[3:]
+    frames = [(gray, 8, 1, 1, [gray[:2].tobytes(), gray[2:].tobytes()]), (colour, 8, 8, 2, [zlib.compress(colour.tobytes())]), (bits, 1, 32773, 0, [runs(np.packbits(bits, axis=1).tobytes())]), (gray, 8, 7, 1, [b"x"])]
+    for e in "<>":
+        out = (b"II*\0" if e == "<" else b"MM\0*") + struct.pack(e + "I", 8)
+        for n, (x, depth, coding, meaning, strips) in enumerate(frames):
+            after = len(out) + 2 + 12 * 8 + 4
+            data = after + 8 * len(strips)
+            places = [data + sum(map(len, strips[:i])) for i in range(len(strips))]
+            held = struct.pack(e + f"{2 * len(strips)}I", *places, *map(len, strips)) + b"".join(strips)
+            field = lambda tag, v, e=e: struct.pack(e + "HHII", tag, 4, 1, v)
+            many = lambda tag, at, one, k=len(strips), e=e: struct.pack(e + "HHII", tag, 4, k, at if k > 1 else one)
+            out += struct.pack(e + "H", 8) + field(256, x.shape[1]) + field(257, x.shape[0]) + field(258, depth) + field(259, coding) + field(262, meaning)
+            out += many(273, after, places[0]) + field(277, x.shape[2] if x.ndim == 3 else 1) + many(279, after + 4 * len(strips), len(strips[0]))
+            out += struct.pack(e + "I", data + sum(map(len, strips)) if n + 1 < len(frames) else 0) + held
+        (tmp_path / f"{'le' if e == '<' else 'be'}.tif").write_bytes(out)
+    (tmp_path / "x.png").write_bytes(png())
+    rows = readers.tiff_pages(readers.read_pictures(spark, str(tmp_path))).collect()
+    assert len(rows) == 6 and readers._unpacked_runs(b"\xfe\x07\x80\x01ab") == b"\7\7\7ab"
+    want = [gray, colour, (255 - bits * 255)[:, :, None]]
+    assert all((r.height, r.width, r.channels) == want[r.page_idx].shape and bytes(r.pixels) == want[r.page_idx].tobytes() for r in rows)
+
+
 def test_tsv(spark, tmp_path):
     line = "5\t1\t1\t1\t1\t1\t10\t20\t30\t40\t96.5\tword"
     (tmp_path / "p.tsv").write_text("\n".join(["level\tpage", line, "", line.replace("5\t", "4\t", 1), line.replace("10", "x"), "5\t1", line.replace("word", " ")]))
