@@ -11,8 +11,8 @@ meets with a probability of 1 - (1 - s**4 - 4 (1 - s) s**3) ** 4 by default:
 
 Rows of equal shingle sets are searched once, keys of equal rows too. A group's
 verified links are given as a spanning forest, never as pairs; a group of over
-``block`` rows is dealt into blocks whose pairs are searched in tasks of their
-own.
+``block`` rows or ``WEIGHT`` hashes is dealt into blocks whose pairs are searched
+in tasks of their own. Texts of any length are compared on all their shingles.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.common import save
 
-BANDS, PLACES, BLOCK, KEEP = 4, 4, 2048, 2048
+BANDS, PLACES, BLOCK, KEEP = 4, 4, 2048, None
+#: Hashes that a block of a group holds, about; longer texts make blocks of fewer rows.
+WEIGHT = 1 << 20
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -51,13 +53,15 @@ def signature_keys(shingles: np.ndarray, bands: int = BANDS, places: int = PLACE
     return out
 
 
-def thinned(shingles: np.ndarray, keep: int = KEEP) -> tuple[int, np.ndarray]:
-    """(level, values): all of a set up to ``keep``, else those of a share of 2 ** -level of the hash space.
+def thinned(shingles: np.ndarray, keep: int | None = KEEP) -> tuple[int, np.ndarray]:
+    """(level, values): all of a set up to ``keep`` (None: of any set), else those of a share of 2 ** -level of the hash space.
 
     Two sets are compared at the higher of their levels, so sets up to ``keep``
     exactly, longer ones by ``keep`` / 2 common places at least (a standard
     error of 0.0125 at 0.8).
     """
+    if keep is None:
+        return 0, np.unique(shingles)
     level = max(0, math.ceil(math.log2(len(shingles) / keep))) if len(shingles) else 0
     x = (_mixed(shingles, -1) >> np.uint64(32)).astype(np.uint32)
     return level, np.unique(x[x < (1 << (32 - level))] if level else x)
@@ -100,7 +104,7 @@ def set_forest(sets: list[np.ndarray], levels: np.ndarray, side: np.ndarray | No
     return links
 
 
-def _search(similarity: float):
+def _search(similarity: float, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         group = None
@@ -110,7 +114,7 @@ def _search(similarity: float):
                 return []
             rid, blk, level, raw = zip(*held)
             side = np.array(blk) if group[1] != group[2] else None
-            found = set_forest([np.frombuffer(x, np.uint32) for x in raw], np.array(level), side, similarity)
+            found = set_forest([np.frombuffer(x, kind) for x in raw], np.array(level), side, similarity)
             return [(rid[a], rid[b]) for a, b in found]
 
         for b in batches:
@@ -133,11 +137,12 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def shingle_links(texts: DataFrame, shingle_hashes, *, words: int = 5, seed: int = 42, similarity: float = 0.8, bands: int = BANDS, places: int = PLACES, block: int = BLOCK, keep: int = KEEP) -> DataFrame:
+def shingle_links(texts: DataFrame, shingle_hashes, *, words: int = 5, seed: int = 42, similarity: float = 0.8, bands: int = BANDS, places: int = PLACES, block: int = BLOCK, keep: int | None = KEEP, weight: int = WEIGHT) -> DataFrame:
     """Edges (a, b) of row numbers over ``texts`` (rid, text): their components are those of the pairs that met and are similar.
 
     ``shingle_hashes(text, words, seed)`` gives the hashes of a text's
-    shingles. Texts without words, null ones too, link to nothing here.
+    shingles. Texts without words, null ones too, link to nothing here. With a
+    ``keep``, sets of more hashes than that are compared on a sample.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,29 +150,29 @@ def shingle_links(texts: DataFrame, shingle_hashes, *, words: int = 5, seed: int
             sets = [np.unique(shingle_hashes(t.as_py(), words, seed)) for t in b["text"]]
             keys = pa.array([np.array(signature_keys(s, bands, places), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
             whole = pa.array([np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b["rid"], whole, keys], names=["rid", "whole", "keys"])
+            yield pa.RecordBatch.from_arrays([b["rid"], whole, pa.array([len(s) for s in sets], pa.int64()), keys], names=["rid", "whole", "size", "keys"])
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [thinned(np.unique(shingle_hashes(t.as_py(), words, seed)), keep) for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["rid"], pa.array([l for l, _ in found], pa.int32()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["rid", "level", "hashes"])
 
-    made = save(texts.select("rid", "text").mapInArrow(sketch, "rid long, whole long, keys array<long>").where(F.col("whole").isNotNull()), "signatures")
+    made = save(texts.select("rid", "text").mapInArrow(sketch, "rid long, whole long, size long, keys array<long>").where(F.col("whole").isNotNull()), "signatures")
     first = made.groupBy("whole").agg(F.min("rid").alias("rep"))
-    made = save(made.join(first, "whole").select("rid", "rep", F.when(F.col("rid") == F.col("rep"), F.col("keys")).alias("keys")), "represented")
+    made = save(made.join(first, "whole").select("rid", "rep", "size", F.when(F.col("rid") == F.col("rep"), F.col("keys")).alias("keys")), "represented")
     same = made.where("rid <> rep").select(F.col("rep").alias("a"), F.col("rid").alias("b"))
-    keyed = made.where("rid = rep").select("rid", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("low"), F.bit_xor(F.xxhash64("rid")).alias("mark")).where("n > 1")
-    shared = save(shared.groupBy("n", "low", "mark").agg(F.min("key").alias("key")).select("key", "n"), "shared")
-    members = save(keyed.join(shared, "key").select("key", "n", "rid"), "members")
+    keyed = made.where("rid = rep").select("rid", "size", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("held"), F.min("rid").alias("low"), F.bit_xor(F.xxhash64("rid")).alias("mark")).where("n > 1")
+    shared = save(shared.groupBy("n", "held", "low", "mark").agg(F.min("key").alias("key")).select("key", "n", "held"), "shared")
+    members = save(keyed.join(shared, "key").select("key", "n", "held", "rid"), "members")
     asked = save(members.select("rid").distinct(), "asked")
     sets = save(texts.join(asked, "rid", "left_semi").select("rid", "text").mapInArrow(thin, "rid long, level int, hashes binary"), "sets")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("held") / weight))).cast("int")
     dealt = (
         members.withColumn("at", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("key", "rid", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
     )
     ready = dealt.join(sets, "rid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    near = save(ready.select("key", "i", "j", "rid", "at", "level", "hashes").mapInArrow(_search(similarity), "a long, b long"), "similar")
+    near = save(ready.select("key", "i", "j", "rid", "at", "level", "hashes").mapInArrow(_search(similarity, np.uint64 if keep is None else np.uint32), "a long, b long"), "similar")
     return near.unionByName(same)

@@ -75,6 +75,21 @@ def test_long_sets_are_compared_at_the_higher_level():
         assert bool(found) is want
 
 
+@pytest.mark.parametrize("weight", [1 << 20, 15_000])
+def test_long_texts_are_compared_whole(spark, tmp_path, weight):
+    rand = random.Random(5)
+    texts = []
+    for i in range(24):  # pairs at 0.7988 and 0.8011 by turns
+        base = [f"p{i}w{k}" for k in range(8882 + i % 2 * 14)]
+        texts += [" ".join(base + [f"{side}{rand.random()}" for _ in range(10_000 - len(base))]) for side in "xy"]
+    pairs = similar(texts)
+    assert len(pairs) == 12
+    spark.createDataFrame(list(enumerate(texts)), "rid long, text string").write.parquet(str(tmp_path / "t"))
+    # so many short keys that all pairs meet, and only the comparison decides
+    edges = shingle_links(spark.read.parquet(str(tmp_path / "t")), shingle_hashes, bands=64, places=2, weight=weight)
+    assert {(max(r.a, r.b), min(r.a, r.b)) for r in edges.collect()} == set(pairs)
+
+
 def test_near_copies_of_the_tables_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
