@@ -23,7 +23,7 @@ from inkspan.llm.mixing import mix
 from inkspan.llm.packing import pack
 from inkspan.llm.simhash import simhash_dedup
 
-#: Near copies: fingerprints of shingles of five words at three bits, or a similarity of the shingles of 0.8 (odds in the README).
+#: Near copies: a similarity of the sets of shingles of five words of 0.8 (odds in the README).
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 _ROW = "__corpus_row"
 

@@ -137,12 +137,13 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def shingle_links(texts: DataFrame, shingle_hashes, *, words: int = 5, seed: int = 42, similarity: float = 0.8, bands: int = BANDS, places: int = PLACES, block: int = BLOCK, keep: int | None = KEEP, weight: int = WEIGHT) -> DataFrame:
+def shingle_links(texts: DataFrame, shingle_hashes, *, words: int = 5, seed: int = 42, similarity: float = 0.8, bands: int = BANDS, places: int = PLACES, block: int = BLOCK, keep: int | None = KEEP, weight: int = WEIGHT, groups: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) of row numbers over ``texts`` (rid, text): their components are those of the pairs that met and are similar.
 
     ``shingle_hashes(text, words, seed)`` gives the hashes of a text's
     shingles. Texts without words, null ones too, link to nothing here. With a
-    ``keep``, sets of more hashes than that are compared on a sample.
+    ``keep``, sets of more hashes than that are compared on a sample. ``groups``
+    (rid, key) names further groups whose rows are compared with each other.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +163,9 @@ def shingle_links(texts: DataFrame, shingle_hashes, *, words: int = 5, seed: int
     made = save(made.join(first, "whole").select("rid", "rep", "size", F.when(F.col("rid") == F.col("rep"), F.col("keys")).alias("keys")), "represented")
     same = made.where("rid <> rep").select(F.col("rep").alias("a"), F.col("rid").alias("b"))
     keyed = made.where("rid = rep").select("rid", "size", F.explode("keys").alias("key"))
+    if groups is not None:
+        ends = made.select("rid", "rep").join(groups, "rid").select(F.col("rep").alias("rid"), "key").distinct()
+        keyed = keyed.unionByName(ends.join(made.select("rid", "size"), "rid"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("held"), F.min("rid").alias("low"), F.bit_xor(F.xxhash64("rid")).alias("mark")).where("n > 1")
     shared = save(shared.groupBy("n", "held", "low", "mark").agg(F.min("key").alias("key")).select("key", "n", "held"), "shared")
     members = save(keyed.join(shared, "key").select("key", "n", "held", "rid"), "members")

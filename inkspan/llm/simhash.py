@@ -271,9 +271,10 @@ def simhash_dedup(docs: DataFrame, *, words: int = 3, seed: int = 42, kinds: int
     """One row per row of ``docs``: rid, doc_id, fingerprint, component_id, kept.
 
     Rows link if their fingerprints (with ``kinds`` over 1: any of them, each
-    made with other hashes) differ in ``max_bits`` bits at most and, with a
-    ``similarity``, also if their sets of shingles are as similar (Jaccard; see
-    ``shingles`` for the odds that such a pair meets); component_id
+    made with other hashes) differ in ``max_bits`` bits at most. With a
+    ``similarity`` they link if their sets of shingles are as similar (Jaccard);
+    fingerprints then only name rows to compare, beside the keys of ``shingles``
+    (see there for the odds that such a pair meets). component_id
     is the smallest id reachable, and ``kept`` marks one row of each component,
     that with the smallest id (a null id last, then the first of the scan).
     Texts without words, null ones too, have fingerprint zero and link like any
@@ -281,7 +282,20 @@ def simhash_dedup(docs: DataFrame, *, words: int = 3, seed: int = 42, kinds: int
     """
     prints = save(fingerprints(docs, words=words, seed=seed, kinds=kinds, id_col=id_col, text_col=text_col), "prints")
     first = prints.where("kind = 0")
-    if kinds == 1:
+    if similarity is not None:
+        rows = first.withColumn("node", F.col("rid"))
+        groups = None
+        for k in range(kinds):
+            own = prints.where(F.col("kind") == k).select("rid", "fp")
+            linked = components(near_links(own.select("fp").distinct(), max_bits=max_bits, block=block)).withColumnRenamed("node", "fp")
+            mine = own.join(linked, "fp", "left").select("rid", F.xxhash64(F.lit("fingerprint"), F.lit(k), F.coalesce("root", "fp")).alias("key"))
+            groups = mine if groups is None else groups.unionByName(mine)
+        texts = with_row_id(docs.select(F.col(text_col).alias("text")), "rid")
+        edges = shingle_links(texts, shingle_hashes, words=words, seed=seed, similarity=similarity, groups=groups)
+        blank = texts.where(F.coalesce("text", F.lit("")).rlike(r"^[\x09-\x0D\x20]*\z")).select("rid")
+        least = blank.agg(F.min("rid").alias("rid")).first()["rid"]
+        edges = edges.unionByName(blank.select(F.lit(least).cast("long").alias("a"), F.col("rid").alias("b")))
+    elif kinds == 1:
         node, edges = F.col("fp"), near_links(prints.select("fp").distinct(), max_bits=max_bits, block=block)
         rows = first.withColumn("node", node)
     else:
@@ -298,12 +312,6 @@ def simhash_dedup(docs: DataFrame, *, words: int = 3, seed: int = 42, kinds: int
             tag = lambda c, k=k: F.xxhash64(F.lit(k), F.col(c))
             ties = rows.join(own.withColumnRenamed("fp", "fp_k"), "rid").select(F.col("node").alias("a"), tag("fp_k").alias("b")).distinct()
             edges = edges.unionByName(found.select(tag("a").alias("a"), tag("b").alias("b"))).unionByName(ties)
-    if similarity is not None:
-        texts = with_row_id(docs.select(F.col(text_col).alias("text")), "rid")
-        near = shingle_links(texts, shingle_hashes, words=words, seed=seed, similarity=similarity)
-        for end in ("a", "b"):
-            near = near.join(rows.select(F.col("rid").alias(end), F.col("node").alias(f"{end}_node")), end)
-        edges = edges.unionByName(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
     roots = components(edges)
     labelled = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = save(labelled, "labelled")

@@ -105,3 +105,18 @@ def test_odd(odd, empty):
     by = {r.doc_id: r.component_id for r in out}
     assert by[6] == by[7] == by[8] and by[3] == by[4] == by[5] and by[9] != by[10]
     assert simhash_dedup(empty, words=5, similarity=0.8).count() == 0
+
+
+def test_fingerprints_alone_link_nothing(spark, tmp_path):
+    rand = random.Random(8)
+    line = "all rights reserved by the owners of this work and others"
+    texts = []
+    for i in range(12):  # one line outvotes all else in the fingerprint
+        texts.append("\n".join([" ".join(f"d{i}w{rand.randrange(10**6)}" for _ in range(150))] + [line] * 150))
+    texts += [texts[0] + " end", None, "", " \t", "one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    assert len({r.component_id for r in simhash_dedup(docs, words=5).collect()}) < 8
+    for kinds in (1, 2):
+        of = {r.doc_id: r.component_id for r in simhash_dedup(docs, words=5, kinds=kinds, similarity=0.8).collect()}
+        assert of == {**{i: i for i in range(12)}, 12: 0, 13: 13, 14: 13, 15: 13, 16: 16}
