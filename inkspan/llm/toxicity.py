@@ -40,6 +40,7 @@ REPORTERS = "said says wrote claimed quoted called reported dit écrit sagte sch
 AIMED = 0.85
 STEMS = range(3, 9)
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+PART = re.compile(WORD.pattern + "|[.!?;:]")
 
 
 class Transducer:
@@ -139,22 +140,30 @@ def base_lexicon() -> Lexicon:
 class Reader:
     """Turns texts into clause scores; keeps the class of tokens that it has met."""
 
-    KEEP = 300_000
+    KEEP, LONGEST = 300_000, 64
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon, self.grammar, self.seen = lexicon, grammar(), {}
 
-    def _class(self, token: str) -> tuple[str, float, bool] | None:
-        if len(self.seen) > self.KEEP:
-            self.seen.clear()
-        ends = token[-1] in ".!?;:"
-        found = next((f for m in WORD.finditer(token) if (f := self.lexicon.look(m[0]))), None)
-        out = (*found, ends) if found else ("E", 0.0, True) if ends else None
-        self.seen[token] = out
-        return out
+    def _class(self, token: str) -> tuple[tuple[str, float, bool, str], ...] | None:
+        """class, weight, whether a clause ends here and word of each word of a token; None of one plain word."""
+        out: list[tuple[str, float, bool, str]] = []
+        for m in PART.finditer(token):
+            if m[0] not in ".!?;:":
+                out.append((*(self.lexicon.look(m[0]) or ("O", 0.0)), False, m[0]))
+            elif out:
+                out[-1] = (*out[-1][:2], True, out[-1][3])
+            else:
+                out.append(("O", 0.0, True, ""))
+        found = None if not out or len(out) == 1 and out[0][0] == "O" and not out[0][2] else tuple(out)
+        if len(token) <= self.LONGEST:
+            if len(self.seen) > self.KEEP:
+                self.seen.clear()
+            self.seen[token] = found
+        return found
 
     def read(self, text: str) -> tuple[list[float], int, set[str]]:
-        """Scores of the clauses that match, the number of tokens, the tokens that match; a line's end or closing punctuation ends a clause."""
+        """Scores of the clauses that match, the number of words, the words that match; a line's end or closing punctuation ends a clause."""
         out: list[float] = []
         hits: set[str] = set()
         n = 0
@@ -162,23 +171,28 @@ class Reader:
         miss = object()
         for line in text.lower().split("\n"):
             tokens = line.split()
-            n += len(tokens)
             found = [x if (x := get(t, miss)) is not miss else look(t) for t in tokens]
-            if not any(x is not None and x[1] for x in found):
+            some = [x for x in found if x is not None]
+            n += len(tokens) - len(some) + sum(map(len, some))
+            if not any(s[1] for x in some for s in x):
                 continue
             clause: list[tuple[str, float]] = []
-            for t, x in zip(tokens, found):
-                clause.append((x[0], x[1]) if x is not None else ("O", 0.0))
-                if x is not None and x[1]:
-                    hits.add(t)
-                if x is not None and x[2]:
-                    out.append(self.grammar.clause(clause))
-                    clause = []
+            for x in found:
+                if x is None:
+                    clause.append(("O", 0.0))
+                    continue
+                for kind, weight, ends, word in x:
+                    clause.append((kind, weight))
+                    if weight:
+                        hits.add(word)
+                    if ends:
+                        out.append(self.grammar.clause(clause))
+                        clause = []
             out.append(self.grammar.clause(clause))
         return [s for s in out if s > 0], n, hits
 
     def features(self, text: str) -> np.ndarray:
-        """Of the clause scores: the largest, their sum, number and density; different tokens that match; whether any does."""
+        """Of the clause scores: the largest, their sum, number and density; different words that match; whether any does."""
         s, n, hits = self.read(text)
         return np.array([max(s, default=0.0), math.log1p(sum(s)), math.log1p(len(s)), math.log1p(100 * sum(s) / max(1, n)), math.log1p(len(hits)), float(bool(s))])
 

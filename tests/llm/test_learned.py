@@ -47,6 +47,17 @@ def test_grammar_weighs_context():
     assert best("IDIOT,") == best("idiot")
 
 
+def test_every_word_of_a_token_is_read():
+    of = toxicity.Reader(toxicity.base_lexicon())
+    for sign in ",/-)(":
+        assert of.read(f"you{sign}idiot") == of.read("you idiot")
+        assert of.read(sign.join(["so", "kill", "you", "scum"] * 40)) == of.read("so kill you scum " * 40)
+    for sign in (".", "...", "!?", ";"):
+        assert of.read(f"you{sign}moron{sign}loser") == of.read(f"you{sign} moron{sign} loser")
+        assert len(of.read(f"moron{sign}loser")[0]) == 2
+    assert of.read("don't,you") == of.read("don't you") and of.read("a,b c 1,2 --")[1] == 5
+
+
 def test_toxicity_odd(spark, odd, empty):
     no_labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     model = toxicity.fit(odd, no_labels)
