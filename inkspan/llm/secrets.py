@@ -51,15 +51,6 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 Layer = tuple[str, np.ndarray, np.ndarray]  # text; first and end place in the original of each character
 
 
-def _token(text: str, at: int, end: int) -> tuple[int, int]:
-    """The run without blanks around [at, end)."""
-    while at and not text[at - 1].isspace():
-        at -= 1
-    while end < len(text) and not text[end].isspace():
-        end += 1
-    return at, end
-
-
 def _of_bytes(raw: bytes) -> tuple[str, np.ndarray] | None:
     """UTF-8 text and the byte at which each character starts; None if it isn't text."""
     try:
@@ -72,26 +63,19 @@ def _of_bytes(raw: bytes) -> tuple[str, np.ndarray] | None:
 
 
 def _replaced(text: str, first: np.ndarray, last: np.ndarray, pattern: re.Pattern, decode) -> Iterator[Layer]:
-    """For each run without blanks that holds a match: the run with its matches decoded."""
-    done = 0
-    for m in pattern.finditer(text):
-        if m.start() < done:
+    """The whole text with all its matches decoded; nothing if there is none."""
+    out, starts, ends, at = [], [], [], 0
+    for x in pattern.finditer(text):
+        found = decode(x)
+        if found is None:
             continue
-        a, z = _token(text, m.start(), m.end())
-        a, done = max(a, done), z
-        out, starts, ends, at, any_ = [], [], [], a, False
-        for x in pattern.finditer(text, a, z):
-            found = decode(x)
-            if found is None:
-                continue
-            any_ = True
-            out.append(text[at : x.start()]), starts.append(first[at : x.start()]), ends.append(last[at : x.start()])
-            for s, p, q in found:
-                out.append(s), starts.append(np.full(len(s), first[p])), ends.append(np.full(len(s), last[q - 1]))
-            at = x.end()
-        if any_:
-            out.append(text[at:z]), starts.append(first[at:z]), ends.append(last[at:z])
-            yield "".join(out), np.concatenate(starts), np.concatenate(ends)
+        out.append(text[at : x.start()]), starts.append(first[at : x.start()]), ends.append(last[at : x.start()])
+        for s, p, q in found:
+            out.append(s), starts.append(np.full(len(s), first[p])), ends.append(np.full(len(s), last[q - 1]))
+        at = x.end()
+    if at:
+        out.append(text[at:]), starts.append(first[at:]), ends.append(last[at:])
+        yield "".join(out), np.concatenate(starts), np.concatenate(ends)
 
 
 def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:

@@ -72,6 +72,12 @@ def test_spans_are_exact_in_plain_layers():
     assert SECRET in base64.b64decode(text[2 : 2 + len(text[2:-2]) ]).decode() and a >= 2 and z <= len(text) - 2 and z - a < 40
 
 
+@pytest.mark.parametrize("text", [r"{\u0022password\u0022: \u0022hunter2hunter2\u0022}", "password%3A hunter2hunter2", "token&#61; abcdefgh12"])
+def test_findings_cross_blanks_between_encoded_parts(text):
+    found = find_secrets(f"x {text} y")
+    assert not found["base"] and [k for k, _, _ in found["spans"]] == ["assign"]
+
+
 def test_cycles_and_bombs_end():
     assert find_secrets("%2541" * 50)["spans"] == []
     bomb = base64.b64encode(gzip.compress(b"a" * 5_000_000)).decode()
