@@ -35,6 +35,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so a shorter one fails
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Characters up to U+00FF in UTF-16, either byte order; 14 are the shortest finding.
+_UTF16 = re.compile(rb"(?:[^\0]\0){13,}[^\0]\0?|(?:\0[^\0]){14,}")
 #: Bytes that one document's layers may hold in all: a guard against decompression bombs; a document beyond it is marked.
 MOST_BYTES = 256 << 20
 
@@ -51,15 +53,16 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 Layer = tuple[str, np.ndarray, np.ndarray]  # text; first and end place in the original of each character
 
 
-def _of_bytes(raw: bytes) -> tuple[str, np.ndarray] | None:
-    """UTF-8 text and the byte at which each character starts; None if it isn't text."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or any(not (c.isprintable() or c in "\t\n\r") for c in text):
-        return None
-    return text, np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+def _of_bytes(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
+    """Text and the byte at which each character starts: of all bytes as UTF-8, one that isn't standing for itself, and of runs of UTF-16 that hold ASCII."""
+    text = raw.decode("utf-8", "surrogateescape")
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (code > 0x7F) + ((code > 0x7FF) & ((code < 0xDC80) | (code > 0xDCFF))) - ((code >= 0xDC80) & (code <= 0xDCFF)) + (code > 0xFFFF)
+    yield text, np.r_[0, np.cumsum(width)[:-1]]
+    if b"\0" in raw:
+        for m in _UTF16.finditer(raw):
+            at = m.start() + (raw[m.start()] == 0)
+            yield raw[at : m.end() : 2].decode("latin-1"), np.arange(at, m.end(), 2)
 
 
 def _replaced(text: str, first: np.ndarray, last: np.ndarray, pattern: re.Pattern, decode) -> Iterator[Layer]:
@@ -128,15 +131,12 @@ def _base64(text: str, first: np.ndarray, last: np.ndarray, room: int) -> Iterat
         inner, packed = raw, False
         while (more := _unpacked(inner, room)) is not None and more != inner:
             inner, packed = more, True
-        found = _of_bytes(inner)
-        if found is None:
-            continue
-        decoded, at = found
-        if packed:
-            yield decoded, np.full(len(decoded), first[m.start()]), np.full(len(decoded), last[m.end() - 1])
-        else:
-            stop = np.r_[at[1:], len(raw)]
-            yield decoded, first[m.start() + at * 8 // 6], last[np.minimum(m.start() + -(-stop * 8 // 6), m.start() + len(body)) - 1]
+        for decoded, at in _of_bytes(inner):
+            if packed:
+                yield decoded, np.full(len(decoded), first[m.start()]), np.full(len(decoded), last[m.end() - 1])
+            else:
+                stop = np.r_[at[1:], min(len(raw), at[-1] + 4)]
+                yield decoded, first[m.start() + at * 8 // 6], last[np.minimum(m.start() + -(-stop * 8 // 6), m.start() + len(body)) - 1]
 
 
 def decoded_layers(text: str, first: np.ndarray, last: np.ndarray, room: int) -> Iterator[Layer]:

@@ -78,6 +78,18 @@ def test_findings_cross_blanks_between_encoded_parts(text):
     assert not found["base"] and [k for k, _, _ in found["spans"]] == ["assign"]
 
 
+@pytest.mark.parametrize("before", ["\u00a0", "\u3000", "\u200b", "\ufeff", "\f", "\0"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_decoded_bytes_need_not_be_printable(before, pack):
+    for raw in (f"ab{before} {SECRET} c".encode(), f"ab{before} {SECRET} c".encode() + b"\xff\xfe\x80", f"ab{before} {SECRET} c".encode("utf-16"), f"ab{before} {SECRET} c".encode("utf-16-be")):
+        hidden = base64.b64encode(pack(raw)).decode()
+        (k, a, z), = {x for x in find_secrets(f"x {hidden} y")["spans"]}
+        assert k == "assign" and 2 <= a < z <= 2 + len(hidden)
+        if pack is bytes and len(raw) < 50:
+            at = raw.index(b"password")
+            assert a == 2 + at * 8 // 6 and z == 2 + -(-(at + len(SECRET)) * 8 // 6)
+
+
 def test_cycles_and_bombs_end():
     assert find_secrets("%2541" * 50)["spans"] == []
     bomb = base64.b64encode(gzip.compress(b"a" * 5_000_000)).decode()
