@@ -12,11 +12,8 @@ ends cycles.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
-import gzip
 import hashlib
-import io
 import lzma
 import re
 import zlib
@@ -35,6 +32,11 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so a shorter one fails
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# a run that goes on over line ends, also escaped ones, with blanks or quote marks before its lines
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>#*|]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_SYMBOLS = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t>#*|]*")
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78][\0-\xff]", re.S)
 #: Characters up to U+00FF in UTF-16, either byte order; 14 are the shortest finding.
 _UTF16 = re.compile(rb"(?:[^\0]\0){13,}[^\0]\0?|(?:\0[^\0]){14,}")
 #: Bytes that one document's layers may hold in all: a guard against decompression bombs; a document beyond it is marked.
@@ -101,42 +103,87 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(chr(code), m.start(), m.end())] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _unpacked(raw: bytes, room: int) -> bytes | None:
-    """What compressed bytes hold, ``room`` bytes at most; None if they aren't compressed."""
+def _stream(raw: memoryview, room: int) -> tuple[bytes, int]:
+    """What the compressed stream that ``raw`` starts with holds, as far as it can be read, and its length in ``raw`` (0: it has no end)."""
+    if raw[:3] == b"\x1f\x8b\x08":
+        d = zlib.decompressobj(31)
+    elif raw[:3] == b"BZh":
+        d = bz2.BZ2Decompressor()
+    elif raw[:6] == b"\xfd7zXZ\0":
+        d = lzma.LZMADecompressor()
+    elif raw[:4] == b"\x28\xb5\x2f\xfd":
+        d = zstandard.ZstdDecompressor().decompressobj()
+    elif len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        d = zlib.decompressobj()
+    else:
+        return b"", 0
+    out, held, at = [], 0, 0
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return gzip.GzipFile(fileobj=io.BytesIO(raw)).read(room)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, room)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, room)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().stream_reader(raw).read(room)
-        if len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, room)
+        while at < len(raw) and held < room:
+            part = raw[at : at + 256]
+            at += len(part)
+            out.append(d.decompress(part))
+            held += len(out[-1])
+            if getattr(d, "eof", False):
+                return b"".join(out)[:room], at - len(d.unused_data)
     except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
         pass
-    return None
+    return b"".join(out)[:room], 0
 
 
-def _base64(text: str, first: np.ndarray, last: np.ndarray, room: int) -> Iterator[Layer]:
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (ValueError, binascii.Error):
+def _unpacked(raw: bytes, room: int) -> Iterator[bytes]:
+    """What each compressed stream in ``raw`` holds, ``room`` bytes at most; streams that follow at once are one."""
+    at, whole, end, view = 0, b"", -1, memoryview(raw)
+    while room > len(whole) and (m := _PACKED.search(raw, at)):
+        found, n = _stream(view[m.start() :], room - len(whole))
+        at = m.start() + (n or 1)
+        if len(found) < 8:
             continue
-        inner, packed = raw, False
-        while (more := _unpacked(inner, room)) is not None and more != inner:
-            inner, packed = more, True
-        for decoded, at in _of_bytes(inner):
-            if packed:
-                yield decoded, np.full(len(decoded), first[m.start()]), np.full(len(decoded), last[m.end() - 1])
+        if whole and raw[end : m.start()].strip(b"\0"):
+            yield whole
+            whole = b""
+        whole, end = whole + found, m.start() + n
+        if not n:
+            yield whole
+            whole = b""
+    if whole:
+        yield whole
+
+
+def _base64(text: str, first: np.ndarray, last: np.ndarray, room: int) -> Iterator[Layer]:
+    """Of each run, on one line and over wrapped ones, all four phases; of each the bytes and what is packed in them."""
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(text):
+            if pattern is _BASE64:
+                place = np.arange(m.start(), m.start() + len(m[0].rstrip("=")))
+                run = m[0].rstrip("=")
             else:
-                stop = np.r_[at[1:], min(len(raw), at[-1] + 4)]
-                yield decoded, first[m.start() + at * 8 // 6], last[np.minimum(m.start() + -(-stop * 8 // 6), m.start() + len(body)) - 1]
+                spans, at = [], m.start()
+                for x in _BREAK.finditer(text, m.start(), m.end()):
+                    spans.append((at, x.start()))
+                    at = x.end()
+                spans = [_SYMBOLS.match(text, a, z).span() for a, z in [*spans, (at, m.end())]]
+                run = "".join(text[a:z] for a, z in spans)
+                if len(run) < 16:
+                    continue
+                place = np.concatenate([np.arange(a, z) for a, z in spans])
+            run = run.replace("-", "+").replace("_", "/")
+            for phase in range(4):
+                body, of = run[phase:], place[phase:]
+                if len(body) % 4 == 1:
+                    body = body[:-1]
+                raw = base64.b64decode(body + "=" * (-len(body) % 4))
+                for decoded, at in _of_bytes(raw):
+                    stop = np.r_[at[1:], min(len(raw), at[-1] + 4)]
+                    yield decoded, first[of[at * 8 // 6]], last[of[np.minimum(-(-stop * 8 // 6), len(body)) - 1]]
+                work, seen = [raw], set()
+                while work:
+                    for inner in _unpacked(work.pop(), room):
+                        if (name := hashlib.sha256(inner).digest()) not in seen:
+                            seen.add(name)
+                            work.append(inner)
+                            for decoded, _ in _of_bytes(inner):
+                                yield decoded, np.full(len(decoded), first[place[0]]), np.full(len(decoded), last[m.end() - 1])
 
 
 def decoded_layers(text: str, first: np.ndarray, last: np.ndarray, room: int) -> Iterator[Layer]:
@@ -159,7 +206,7 @@ def find_secrets(text: str | None, *, most_bytes: int = MOST_BYTES) -> dict:
     base = scan(text)
     spans, seen, layers, held, cut = set(base), set(), 0, 0, False
     work: deque[tuple[Layer, bool]] = deque()
-    if _BASE64.search(text) or "%" in text or "\\" in text or "&#" in text:
+    if _BASE64.search(text) or _WRAPPED.search(text) or "%" in text or "\\" in text or "&#" in text:
         place = np.arange(len(text))
         work.append(((text, place, place + 1), True))
     while work:

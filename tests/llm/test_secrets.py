@@ -90,6 +90,18 @@ def test_decoded_bytes_need_not_be_printable(before, pack):
             assert a == 2 + at * 8 // 6 and z == 2 + -(-(at + len(SECRET)) * 8 // 6)
 
 
+NOISE = "".join(hashlib.sha256(str(i).encode()).hexdigest()[:20] + " " for i in range(20))
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n> ", "\\n"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, lambda b: gzip.compress(b)[:-12], lambda b: gzip.compress(NOISE.encode()) + gzip.compress(b)])
+def test_wrapped_and_glued_base64(end, pack):
+    hidden = base64.b64encode(pack(f"{NOISE} {SECRET} {NOISE}".encode())).decode()
+    wrapped = end.join(hidden[i : i + 76] for i in range(0, len(hidden), 76))
+    for text in (f"x\n{wrapped}\n", f"/cfg/{hidden}", f"id_{hidden} y", f"a-{hidden}"):
+        assert "assign" in {k for k, _, _ in find_secrets(text)["spans"]}
+
+
 def test_cycles_and_bombs_end():
     assert find_secrets("%2541" * 50)["spans"] == []
     bomb = base64.b64encode(gzip.compress(b"a" * 5_000_000)).decode()
