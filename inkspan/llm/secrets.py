@@ -1,9 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 The text is layer 0. Each layer is scanned for secrets, and each encoded part
-of it - percent escapes, Unicode escapes, base64 runs, compressed bytes inside
-these - is decoded into a new layer that goes on the worklist, until no layer
-gives a new one. A layer carries, for each of its characters, the range of the
+of it - percent, Unicode and JSON escapes and entities over the whole layer,
+base64 runs, compressed bytes inside these - is decoded into a new layer that
+goes on the worklist, until no layer gives a new one. A layer carries, for each of its characters, the range of the
 original text that it came from, so what is found in it maps back to a span of
 the original. A layer (its content and where it came from) is taken once, which
 ends cycles.
@@ -17,20 +17,26 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkspan.llm.common import quoted
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so a shorter one fails as a whole
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE = re.compile(
+    r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|&(amp|quot|apos|lt|gt|colon|equals);|\\([\"'/]|\\(?![uUx]))"
+)
+_NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "colon": ":", "equals": "="}
+_LONGEST_ESCAPE = 10
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # a run that goes on over line ends, also escaped ones, with blanks or quote marks before its lines
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>#*|]*+[A-Za-z0-9+/_-]++)++={0,2}")
@@ -39,8 +45,10 @@ _BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t>#*|]*")
 _PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78][\0-\xff]", re.S)
 #: Characters up to U+00FF in UTF-16, either byte order; 14 are the shortest finding.
 _UTF16 = re.compile(rb"(?:[^\0]\0){13,}[^\0]\0?|(?:\0[^\0]){14,}")
-#: Bytes that one document's layers may hold in all: a guard against decompression bombs; a document beyond it is marked.
-MOST_BYTES = 256 << 20
+#: An unpacked stream is read in parts of so many bytes, each with the end of the one before it.
+PART, OVERLAP = 16 << 20, 1 << 16
+#: Bytes that one document's decoding may make in all, maps included: a stop for decompression bombs; a document beyond it is marked.
+MOST_BYTES = 4 << 30
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -52,59 +60,149 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-Layer = tuple[str, np.ndarray, np.ndarray]  # text; first and end place in the original of each character
+@dataclass
+class Layer:
+    """A text and where it came from: each character's first and end place in the original, or one range for all.
 
+    ``None`` is the original itself.
+    """
 
-def _of_bytes(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
-    """Text and the byte at which each character starts: of all bytes as UTF-8, one that isn't standing for itself, and of runs of UTF-16 that hold ASCII."""
-    text = raw.decode("utf-8", "surrogateescape")
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    width = 1 + (code > 0x7F) + ((code > 0x7FF) & ((code < 0xDC80) | (code > 0xDCFF))) - ((code >= 0xDC80) & (code <= 0xDCFF)) + (code > 0xFFFF)
-    yield text, np.r_[0, np.cumsum(width)[:-1]]
+    text: str
+    first: np.ndarray | int | None = None
+    last: np.ndarray | int | None = None
+
+    @property
+    def held(self) -> int:
+        """Bytes that it takes."""
+        return len(self.text) * (1 if self.text.isascii() else 4) + (self.first.nbytes + self.last.nbytes if isinstance(self.first, np.ndarray) else 0)
+
+    def span(self, a: int, z: int) -> tuple[int, int]:
+        """Range of the original that the characters from ``a`` to ``z`` came from."""
+        if self.first is None:
+            return a, z
+        if isinstance(self.first, int):
+            return self.first, self.last
+        return int(self.first[a:z].min()), int(self.last[a:z].max())
+
+    def places(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray] | tuple[int, int]:
+        """The same, of characters that came from ``first`` to ``last`` (the end not counted) here."""
+        if self.first is None:
+            return first.astype(np.int32), last.astype(np.int32)
+        if isinstance(self.first, int):
+            return self.first, self.last
+        return self.first[first], self.last[last - 1]
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """Text, first byte and bytes a character (0: as UTF-8 has it) of what ``raw`` may be.
+
+    All of it as UTF-8, a byte that isn't standing for itself, and runs of
+    UTF-16 that hold characters up to U+00FF.
+    """
+    yield raw.decode("utf-8", "surrogateescape"), 0, 0
     if b"\0" in raw:
         for m in _UTF16.finditer(raw):
             at = m.start() + (raw[m.start()] == 0)
-            yield raw[at : m.end() : 2].decode("latin-1"), np.arange(at, m.end(), 2)
+            yield raw[at : m.end() : 2].decode("latin-1"), at, 2
 
 
-def _replaced(text: str, first: np.ndarray, last: np.ndarray, pattern: re.Pattern, decode) -> Iterator[Layer]:
-    """The whole text with all its matches decoded; nothing if there is none."""
-    out, starts, ends, at = [], [], [], 0
-    for x in pattern.finditer(text):
-        found = decode(x)
-        if found is None:
+def _starts(text: str) -> np.ndarray:
+    """Byte at which each character of a text from ``_texts`` starts."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (code > 0x7F).astype(np.int8) + ((code > 0x7FF) & ((code < 0xDC80) | (code > 0xDCFF))) - ((code >= 0xDC80) & (code <= 0xDCFF)) + (code > 0xFFFF)
+    return np.cumsum(width, dtype=np.int32) - width
+
+
+def _escapes(text: str) -> Iterator[tuple[int, int, int, bool]]:
+    """start, end, value of each escape, and whether it is a byte. What one gives may begin another: that is followed at once."""
+    at = 0
+    while m := _ESCAPE.search(text, at):
+        start, end = m.span()
+        value, byte = _value(m)
+        while value in (37, 38, 92) and (m := _ESCAPE.match(chr(value) + text[end : end + _LONGEST_ESCAPE])):
+            end += m.end() - 1
+            value, byte = _value(m)
+        if value is not None:
+            yield start, end, value, byte
+        at = end
+
+
+def _value(m: re.Match) -> tuple[int | None, bool]:
+    kind = m.lastindex
+    if kind <= 2:
+        return int(m[kind], 16), True
+    if kind >= 8:
+        return ord(_NAMED[m[8]] if kind == 8 else m[9]), False
+    code = int(m[kind], 10 if kind == 7 else 16)
+    return (code, False) if code < 0x110000 and not 0xD800 <= code < 0xE000 else (None, False)
+
+
+def _unescaped(layer: Layer) -> Iterator:
+    """The whole text with all its escapes decoded (bytes side by side as UTF-8 where they are), and what is packed in bytes so written."""
+    text, out, firsts, lasts, at = layer.text, [], [], [], 0
+    mapped = not isinstance(layer.first, int)
+    odd: list[int] = []  # escapes of bytes that no text holds
+    run: list[tuple[int, int, int]] = []
+
+    def add(s: str, start: int, end: int) -> None:
+        out.append(s)
+        if mapped:
+            firsts.append(np.full(len(s), start, np.int32)), lasts.append(np.full(len(s), end, np.int32))
+
+    def close() -> None:
+        if not run:
+            return
+        raw = bytes(v for _, _, v in run)
+        try:
+            i = 0
+            for c in raw.decode():
+                n = len(c.encode())
+                add(c, run[i][0], run[i + n - 1][1])
+                i += n
+        except UnicodeDecodeError:
+            for a, z, v in run:
+                add(chr(v), a, z)
+        run.clear()
+
+    for start, end, value, byte in _escapes(text):
+        if start > at:
+            close()
+            out.append(text[at:start])
+            if mapped:
+                firsts.append(np.arange(at, start, dtype=np.int32)), lasts.append(np.arange(at + 1, start + 1, dtype=np.int32))
+        if value < 256 and (byte or value > 127 or value < 9):
+            run.append((start, end, value))
+            if value < 9 or 13 < value < 32 or value > 126:
+                odd.append(start)
+        else:
+            close()
+            add(chr(value), start, end)
+        at = end
+    close()
+    if not out:
+        return
+    out.append(text[at:])
+    if mapped:
+        firsts.append(np.arange(at, len(text), dtype=np.int32)), lasts.append(np.arange(at + 1, len(text) + 1, dtype=np.int32))
+        yield Layer("".join(out), *layer.places(np.concatenate(firsts), np.concatenate(lasts)))
+    else:
+        yield Layer("".join(out), layer.first, layer.last)
+    end = -1
+    for start in odd:
+        if start < end:
             continue
-        out.append(text[at : x.start()]), starts.append(first[at : x.start()]), ends.append(last[at : x.start()])
-        for s, p, q in found:
-            out.append(s), starts.append(np.full(len(s), first[p])), ends.append(np.full(len(s), last[q - 1]))
-        at = x.end()
-    if at:
-        out.append(text[at:]), starts.append(first[at:]), ends.append(last[at:])
-        yield "".join(out), np.concatenate(starts), np.concatenate(ends)
-
-
-def _percent(m: re.Match) -> list[tuple[str, int, int]] | None:
-    raw = bytes.fromhex(m[0].replace("%", ""))
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        text = raw.decode("latin-1")
-        return [(c, m.start() + 3 * i, m.start() + 3 * i + 3) for i, c in enumerate(text)]
-    out, at = [], m.start()
-    for c in text:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
-        at += n
-    return out
-
-
-def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
-    code = int(m[6]) if m[6] else int(next(g for g in m.groups()[:5] if g), 16)
-    return [(chr(code), m.start(), m.end())] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
-
-
-def _stream(raw: memoryview, room: int) -> tuple[bytes, int]:
-    """What the compressed stream that ``raw`` starts with holds, as far as it can be read, and its length in ``raw`` (0: it has no end)."""
+        begin = max((m.end() for m in re.finditer(r"\s", text[max(0, start - 4096) : start])), default=0) + max(0, start - 4096)
+        end = m.start() if (m := re.compile(r"\s").search(text, start)) else len(text)
+        raw, at = bytearray(), begin
+        for a, z, v, _ in _escapes(text[begin:end]):
+            raw += text[at : begin + a].encode("utf-8", "surrogatepass") + (bytes([v]) if v < 256 else chr(v).encode())
+            at = begin + z
+        raw += text[at:end].encode("utf-8", "surrogatepass")
+        yield from _unpacked(bytes(raw), *layer.span(begin, end))
+
+
+def _stream(raw: memoryview) -> Iterator[bytes | int]:
+    """What the compressed stream that ``raw`` starts with holds, as far as it can be read, by and by; last its length in ``raw`` (0: it has no end)."""
     if raw[:3] == b"\x1f\x8b\x08":
         d = zlib.decompressobj(31)
     elif raw[:3] == b"BZh":
@@ -116,83 +214,99 @@ def _stream(raw: memoryview, room: int) -> tuple[bytes, int]:
     elif len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
         d = zlib.decompressobj()
     else:
-        return b"", 0
-    out, held, at = [], 0, 0
+        yield 0
+        return
+    at = 0
     try:
-        while at < len(raw) and held < room:
+        while at < len(raw):
             part = raw[at : at + 256]
             at += len(part)
-            out.append(d.decompress(part))
-            held += len(out[-1])
+            yield d.decompress(part)
             if getattr(d, "eof", False):
-                return b"".join(out)[:room], at - len(d.unused_data)
+                yield at - len(d.unused_data)
+                return
     except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
         pass
-    return b"".join(out)[:room], 0
+    yield 0
+
+
+def _pieces(raw: bytes) -> Iterator[tuple[bytes, bool]]:
+    """What the compressed streams in ``raw`` hold, in parts, and whether a part goes on; streams that follow at once are one."""
+    at, end, held, view = 0, -1, b"", memoryview(raw)
+    while m := _PACKED.search(raw, at):
+        if held and raw[end : m.start()].strip(b"\0"):
+            yield held, False
+            held = b""
+        got, gone, n, parts = 0, 0, 0, []
+        for x in _stream(view[m.start() :]):
+            if isinstance(x, int):
+                n = x
+                break
+            got += len(x)
+            parts.append(x)
+            if len(held) + got - gone >= PART:
+                held, parts, gone = held + b"".join(parts), [], got
+                yield held, True
+                held = held[-OVERLAP:]
+        if got >= 8:
+            held += b"".join(parts)
+            end = m.start() + n
+            if not n:
+                yield held, False
+                held = b""
+        at = m.start() + (n or 1)
+    if held:
+        yield held, False
 
 
-def _unpacked(raw: bytes, room: int) -> Iterator[bytes]:
-    """What each compressed stream in ``raw`` holds, ``room`` bytes at most; streams that follow at once are one."""
-    at, whole, end, view = 0, b"", -1, memoryview(raw)
-    while room > len(whole) and (m := _PACKED.search(raw, at)):
-        found, n = _stream(view[m.start() :], room - len(whole))
-        at = m.start() + (n or 1)
-        if len(found) < 8:
-            continue
-        if whole and raw[end : m.start()].strip(b"\0"):
-            yield whole
-            whole = b""
-        whole, end = whole + found, m.start() + n
-        if not n:
-            yield whole
-            whole = b""
-    if whole:
-        yield whole
-
-
-def _base64(text: str, first: np.ndarray, last: np.ndarray, room: int) -> Iterator[Layer]:
+def _unpacked(raw: bytes, first: int, last: int) -> Iterator:
+    """Layers of what is packed in ``raw``; the bytes themselves, as more may be packed in them; true wherever a stream goes on in a further part."""
+    for held, more in _pieces(raw):
+        if more:
+            yield True
+        for text, _, _ in _texts(held):
+            yield Layer(text, first, last)
+        yield held, first, last
+
+
+def _base64(layer: Layer) -> Iterator:
     """Of each run, on one line and over wrapped ones, all four phases; of each the bytes and what is packed in them."""
+    text = layer.text
+    mapped = not isinstance(layer.first, int)
     for pattern in (_BASE64, _WRAPPED):
         for m in pattern.finditer(text):
-            if pattern is _BASE64:
-                place = np.arange(m.start(), m.start() + len(m[0].rstrip("=")))
-                run = m[0].rstrip("=")
-            else:
+            spans = [(m.start(), m.start() + len(m[0].rstrip("=")))]
+            if pattern is _WRAPPED:
                 spans, at = [], m.start()
                 for x in _BREAK.finditer(text, m.start(), m.end()):
                     spans.append((at, x.start()))
                     at = x.end()
                 spans = [_SYMBOLS.match(text, a, z).span() for a, z in [*spans, (at, m.end())]]
-                run = "".join(text[a:z] for a, z in spans)
-                if len(run) < 16:
-                    continue
-                place = np.concatenate([np.arange(a, z) for a, z in spans])
-            run = run.replace("-", "+").replace("_", "/")
+            run = "".join(text[a:z] for a, z in spans).replace("-", "+").replace("_", "/")
+            if len(run) < 16:
+                continue
+            place = np.concatenate([np.arange(a, z, dtype=np.int32) for a, z in spans]) if mapped else None
             for phase in range(4):
-                body, of = run[phase:], place[phase:]
+                body = run[phase:]
                 if len(body) % 4 == 1:
                     body = body[:-1]
                 raw = base64.b64decode(body + "=" * (-len(body) % 4))
-                for decoded, at in _of_bytes(raw):
+                for decoded, begin, step in _texts(raw):
+                    if not mapped:
+                        yield Layer(decoded, layer.first, layer.last)
+                        continue
+                    of = place[phase:]
+                    at = np.arange(begin, begin + 2 * len(decoded), 2) if step else _starts(decoded)
                     stop = np.r_[at[1:], min(len(raw), at[-1] + 4)]
-                    yield decoded, first[of[at * 8 // 6]], last[of[np.minimum(-(-stop * 8 // 6), len(body)) - 1]]
-                work, seen = [raw], set()
-                while work:
-                    for inner in _unpacked(work.pop(), room):
-                        if (name := hashlib.sha256(inner).digest()) not in seen:
-                            seen.add(name)
-                            work.append(inner)
-                            for decoded, _ in _of_bytes(inner):
-                                yield decoded, np.full(len(decoded), first[place[0]]), np.full(len(decoded), last[m.end() - 1])
-
-
-def decoded_layers(text: str, first: np.ndarray, last: np.ndarray, room: int) -> Iterator[Layer]:
-    """The layers one decoding step below ``text``."""
-    if "%" in text:
-        yield from _replaced(text, first, last, _PERCENT, _percent)
-    if "\\" in text or "&#" in text:
-        yield from _replaced(text, first, last, _ESCAPE, _escape)
-    yield from _base64(text, first, last, room)
+                    yield Layer(decoded, *layer.places(of[at.astype(np.int64) * 8 // 6], of[np.minimum(-(-stop.astype(np.int64) * 8 // 6), len(body)) - 1] + 1))
+                yield from _unpacked(raw, *layer.span(m.start(), m.end()))
+
+
+def decoded_layers(layer: Layer) -> Iterator:
+    """The layers one decoding step below ``layer``, and true wherever a stream is read in parts."""
+    if "%" in layer.text or "\\" in layer.text or "&" in layer.text:
+        yield from _unescaped(layer)
+    yield from _base64(layer)
 
 
 def find_secrets(text: str | None, *, most_bytes: int = MOST_BYTES) -> dict:
@@ -200,30 +314,46 @@ def find_secrets(text: str | None, *, most_bytes: int = MOST_BYTES) -> dict:
 
     A span is (kind, start, end) in code points of the original, end exclusive;
     a decoded finding spans all that its characters were decoded from. Null is
-    empty. ``cut`` tells that the layers held over ``most_bytes``.
+    empty. Layers are decoded one at a time, depth first, and an unpacked stream
+    is read to its end in parts, so what is held at once are the layers on the
+    way down to one of them. ``cut`` tells that a stream was read in parts (what
+    is found in a part is given; an encoded run that crosses from one part into
+    the next by more than ``OVERLAP`` bytes may be missed) or that decoding
+    stopped after making ``most_bytes``.
     """
     text = text or ""
     base = scan(text)
-    spans, seen, layers, held, cut = set(base), set(), 0, 0, False
-    work: deque[tuple[Layer, bool]] = deque()
-    if _BASE64.search(text) or _WRAPPED.search(text) or "%" in text or "\\" in text or "&#" in text:
-        place = np.arange(len(text))
-        work.append(((text, place, place + 1), True))
+    spans, seen, layers, made, cut = set(base), set(), 0, 0, False
+    work: list[Iterator] = []
+    if _BASE64.search(text) or _WRAPPED.search(text) or _ESCAPE.search(text):
+        work.append(decoded_layers(Layer(text)))
     while work:
-        (now, first, last), top = work.popleft()
-        if not top:
-            layers += 1
-            spans |= {(k, int(first[a:z].min()), int(last[a:z].max())) for k, a, z in scan(now)}
-        for layer in decoded_layers(now, first, last, most_bytes - held):
-            key = (hashlib.sha256(layer[0].encode("utf-8", "surrogatepass")).digest(), int(layer[1].min()), int(layer[2].max())) if layer[0] else None
-            if key is None or key in seen:
-                continue
-            seen.add(key)
-            held += len(layer[0])
-            if held >= most_bytes:
-                cut = True
-                break
-            work.append((layer, False))
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if layer is True:
+            cut = True
+            continue
+        if isinstance(layer, tuple):  # bytes to look for packed streams in
+            name = hashlib.sha256(layer[0]).digest()
+            if name not in seen:
+                seen.add(name)
+                work.append(_unpacked(*layer))
+            continue
+        if not layer.text:
+            continue
+        made += layer.held
+        if made > most_bytes:
+            cut = True
+            break
+        key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), *layer.span(0, len(layer.text)))
+        if key in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        spans |= {(k, *layer.span(a, z)) for k, a, z in scan(layer.text)}
+        work.append(decoded_layers(layer))
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return {"base": base, "spans": sorted(spans, key=order), "layers": layers, "cut": cut}
 
@@ -233,8 +363,15 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base and spans (arrays of kind, start, end), layers, cut of each row of ``docs``; rows never move."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    """doc_id, base and spans (arrays of kind, start, end), layers, cut of each row of ``docs``; rows never move.
+
+    A null or empty text has no spans. Whole texts are read however long. Rows
+    that repeat an id or a text are scanned as rows of their own and alike;
+    spans that start together stand in the order of the kinds, then by end. An
+    empty table gives an empty one. Other columns, whatever their names, play no
+    part.
+    """
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

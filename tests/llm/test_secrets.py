@@ -1,14 +1,18 @@
 """Secret scans: base findings against a plain scan, decoded ones against planted nestings."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
 from urllib.parse import quote
 
 import pytest
+import zstandard
 
+from inkspan.llm import secrets
 from inkspan.llm.queries import QUERIES
 from inkspan.llm.secrets import find_secrets, joined, scan_secrets
 
@@ -102,12 +106,70 @@ def test_wrapped_and_glued_base64(end, pack):
         assert "assign" in {k for k, _, _ in find_secrets(text)["spans"]}
 
 
-def test_cycles_and_bombs_end():
+def added(text):
+    found = find_secrets(text)
+    return set(found["spans"]) - set(found["base"])
+
+
+def test_cycles_end():
     assert find_secrets("%2541" * 50)["spans"] == []
-    bomb = base64.b64encode(gzip.compress(b"a" * 5_000_000)).decode()
-    out = find_secrets(bomb, most_bytes=100_000)
-    assert out["cut"]
     assert not find_secrets("token=abcdefgh")["cut"]
+    for chain in ("%" + "25" * 100_000 + "41", "\\" + "u005c" * 50_000 + "u0041", "&" + "amp;" * 50_000 + "#65;"):
+        assert not added(chain)
+        assert added(f"password={chain}bcdefghi") == {("assign", 0, len(chain) + 17)}
+
+
+PACKERS = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.ZstdCompressor().compress}
+
+
+@pytest.mark.parametrize("packer", PACKERS)
+def test_bombs_end_at_the_stop(packer, monkeypatch):
+    """Also those that come after the first one that is cut: nothing more is unpacked."""
+    made = []
+    of = secrets._stream
+    monkeypatch.setattr(secrets, "_stream", lambda raw: (made.append(len(x)) or x if isinstance(x, bytes) else x for x in of(raw)))
+    one = lambda p, c: base64.b64encode(PACKERS[p](c * 3_000_000)).decode()
+    text = " ".join([one(packer, b"a"), *(one(p, c) for p in PACKERS for c in (b"b", b"c"))])
+    assert find_secrets(text, most_bytes=100_000)["cut"]
+    assert sum(made) < 3_100_000
+
+
+@pytest.mark.parametrize("packer", PACKERS)
+def test_long_streams_are_read_to_their_end_in_parts(packer, monkeypatch):
+    monkeypatch.setattr(secrets, "PART", 1 << 20)
+    body = b"lorem ipsum " * 250_000
+    text = "x " + base64.b64encode(PACKERS[packer](body + SECRET.encode())).decode() + " y"
+    assert find_secrets(text)["cut"] and {k for k, *_ in added(text)} == {"assign"}
+
+
+@pytest.mark.parametrize("text, end", [
+    ("password = %68%75%6e%74%65%72%32%32", 35),
+    ('{"password": "\\u0068unter22abc"}', 30),
+    ('{\\"password\\": \\"hunter22abc\\"}', 28),
+    ("password&quot;: &quot;hunter22abc", 33),
+    ("password%253D%2568unter22abc", 28),
+    ("token\\x3dabcdefgh12", 19),
+])
+def test_escapes_beside_plain_parts(text, end):
+    (k, a, z), = set(find_secrets(text)["spans"]) - set(find_secrets(text)["base"])
+    assert k == "assign" and z == end and text[a:].startswith(("password", "token"))
+
+
+@pytest.mark.parametrize("packer", PACKERS)
+def test_packed_bytes_in_escapes(packer):
+    raw = PACKERS[packer](f"{NOISE} {SECRET}".encode())
+    for hidden in (quote(raw, safe=""), quote(raw), "".join(f"%{b:02x}" for b in raw), "".join(f"\\x{b:02x}" for b in raw), "".join(f"\\u{b:04x}" for b in raw)):
+        text = f"some words {hidden} more"
+        (k, a, z), = find_secrets(text)["spans"]
+        assert k == "assign" and text[a:z] == hidden
+
+
+@pytest.mark.parametrize("packer", PACKERS)
+def test_further_members_and_cut_streams(packer):
+    kinds = lambda raw: {k for k, *_ in find_secrets("x " + base64.b64encode(raw).decode() + " y")["spans"]}
+    assert kinds(PACKERS[packer](NOISE.encode()) + PACKERS[packer](SECRET.encode())) == {"assign"}
+    if packer not in ("bz2", "zstd"):  # these hold a short text in one block, which a cut leaves unreadable
+        assert kinds(PACKERS[packer](f"{SECRET} {NOISE}".encode())[:-8]) == {"assign"}
 
 
 def test_words_alike_in_other_alphabets_do_not_match():
