@@ -18,35 +18,15 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import save, with_row_id
+from inkspan.llm.common import fresh, quoted, save, with_row_id
 
 WEIGHTS, SHARE, MOST, BLOCK, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 2048, 42
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
-    """Words wanted of each source: ``share`` of all by weight, at most ``most`` times a source's own, the excess reshared.
-
-    Sources by code point, null last, take ``weights`` in turn, repeating.
-    """
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    out: dict[str | None, float] = {}
-    left, open_ = share * sum(sizes.values()), list(names)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
-        if not over:
-            return out | {s: left * weight[s] / total for s in open_}
-        out |= {s: most * sizes[s] for s in over}
-        left -= sum(out[s] for s in over)
-        open_ = [s for s in open_ if s not in out]
-    return out
-
-
 def flight(p: list[float], sizes: list[float], rand: random.Random) -> list[int]:
     """Move ``p`` in place, keeping sum(p) and sum(p * sizes), until at most two are left between 0 and 1; those are returned.
 
@@ -102,8 +82,47 @@ def _cube(seed: int):
     return run
 
 
+def ranked_sources(stats: DataFrame) -> DataFrame:
+    """``stats`` (a row a source) with ``rank``, the source's place by code point, null last; sources are sorted in ranges, never in one task."""
+    place = F.asc_nulls_last("source")
+    dealt = save(stats.repartitionByRange(place).withColumn("pid", F.spark_partition_id()), "sources")
+    before = dealt.groupBy("pid").agg(F.count("*").alias("many")).select("pid", (F.sum("many").over(Window.orderBy("pid")) - F.col("many")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("pid").orderBy(place)) - 1
+    return dealt.withColumn("nth", nth).join(before, "pid").withColumn("rank", (F.col("before") + F.col("nth")).cast("long")).drop("pid", "nth", "before")
+
+
+def source_targets(stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``stats`` (source, words, n) with rank and target: ``share`` of all words by weight, at most ``most`` times a source's own, the excess reshared.
+
+    Sources by code point, null last, take ``weights`` in turn, repeating. What
+    a weight of 1 gets grows with each round of resharing; a round is one
+    aggregation over the sources and the rounds end when no further source is
+    above its bound, so sources may be many.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    rows = save(ranked_sources(stats).withColumn("weight", weight), "weights")
+    bound, each, above = most * F.col("words"), 0.0, -1
+    while True:
+        over = F.col("weight") * each > bound
+        r = rows.agg(F.sum("words").alias("all"), F.count_if(over).alias("over"), F.sum(F.when(over, bound)).alias("given"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        if r["over"] == above or not r["open"]:
+            break
+        above, each = r["over"], (share * r["all"] - (r["given"] or 0.0)) / r["open"]
+    return rows.withColumn("target", F.least(F.col("weight") * each, bound) if r["open"] else bound.cast("double"))
+
+
 def mix(
-    docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame,
+    *,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    block: int = BLOCK,
+    seed: int = SEED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, source, size, source_size, target, copies, taken.
 
@@ -111,44 +130,41 @@ def mix(
     words wanted, ``copies`` how often the mix takes the row (0 to ``most``
     rounded up), ``taken`` copies times size. A null source is a source of its
     own, the last. Documents without words are taken like others of their
-    source and add nothing. Draws depend on ids and ``seed`` alone, so reruns
-    agree; rows that repeat an id are told apart by their place. The list of
-    sources, with their weights, is held by the driver, as it is a setting of
-    the mix; an empty table gives an empty one.
+    source and add nothing. Draws depend on ids, places in the table's files and
+    ``seed`` alone, so reruns agree however the scan is split; rows that repeat
+    an id are told apart by their place. An empty table gives an empty one.
+    ``rid`` is the row's number: that of ``row_col``, else its place in the
+    table's files. Other columns, whatever their names, play no part.
     """
-    rows = with_row_id(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")), "rid"
-    ).withColumn("spread", F.xxhash64(F.lit(seed), "doc_id"))
-    rows = save(rows, "sizes")
-    stats = {r["source"]: (r["words"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()}
-    wanted = targets({s: w for s, (w, _) in stats.items()}, weights, share, most)
-    names = sorted(s for s in stats if s is not None) + [None] * (None in stats)
-    spark = docs.sparkSession
-    of = spark.createDataFrame(
-        [(i, s, stats[s][0], wanted[s], wanted[s] / stats[s][0] if stats[s][0] else 0.0, stats[s][1]) for i, s in enumerate(names)],
-        "rank int, of string, source_size long, target double, ratio double, n long",
-    )
+    if row_col is None:
+        row_col = fresh(docs, "__rid")
+        docs = with_row_id(docs, row_col)
+    of = lambda c, name: F.col(quoted(c)).alias(name)
+    words = F.coalesce(F.regexp_count(F.col(quoted(text_col)), F.lit(WORDS)), F.lit(0)).cast("long")
+    rows = save(docs.select(of(row_col, "rid"), of(id_col, "doc_id"), of(source_col, "source"), words.alias("size")).withColumn("spread", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
+    sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")), weights, share, most)
+    ratio = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)
+    sources = save(sources.select(F.col("source").alias("of"), "rank", F.col("words").alias("source_size"), "target", ratio.alias("ratio"), F.ceil(F.col("n") / block).alias("blocks")), "targets")
     whole = F.floor(F.col("ratio") + 1e-12)
     rows = (
-        rows.join(of, F.col("source").eqNullSafe(F.col("of")))
+        rows.join(sources, F.col("source").eqNullSafe(F.col("of")))
         .withColumns({"whole": whole.cast("int"), "p": F.greatest(F.lit(0.0), F.col("ratio") - whole)})
-        .select("rid", "doc_id", "source", "size", "spread", "rank", "source_size", "target", "whole", "p")
+        .select("rid", "doc_id", "source", "size", "spread", "rank", "source_size", "target", "whole", "p", "blocks")
     )
     parts = []
-    blocks = {i: -(-stats[s][1] // block) for i, s in enumerate(names)}
-    level, now = 0, rows
+    level, now, most_blocks = 0, rows, sources.agg(F.max("blocks")).first()[0] or 1
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns)
+    fewer = lambda n: -(-2 * n // block)
     while True:
-        many = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv)), F.col("rank")), F.lit(1)) if blocks else F.lit(1)
-        dealt = now.withColumns({"block": F.pmod(F.xxhash64(F.lit(level), "spread", "rid"), many), "level": F.lit(level), "last": many == 1})
+        dealt = now.withColumns({"block": F.pmod(F.xxhash64(F.lit(level), "spread", "rid"), "blocks"), "level": F.lit(level), "last": F.col("blocks") == 1})
         done = save(dealt.groupBy("rank", "block").applyInArrow(_cube(seed), schema), f"cube-{level}")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         parts.append(done.where(~open_))
-        if max(blocks.values(), default=1) == 1:
+        if most_blocks == 1:
             break
-        now = done.where(open_)
-        blocks = {i: -(-2 * n // block) for i, n in blocks.items()}
+        now = done.where(open_).withColumn("blocks", F.ceil(2 * F.col("blocks") / block))
+        most_blocks = fewer(most_blocks)
         level += 1
     out = parts[0]
     for x in parts[1:]:

@@ -5,10 +5,34 @@ import re
 
 import pytest
 
-from inkspan.llm.mixing import flight, land, mix, targets
+from inkspan.llm.mixing import MOST, SHARE, WEIGHTS, flight, land, mix, source_targets
 from inkspan.llm.queries import QUERIES
 
 
+def targets(sizes, weights=WEIGHTS, share=SHARE, most=MOST):
+    """The rule, plainly: share by weight, bound, reshare what is over among the rest."""
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, left, open_ = {}, share * sum(sizes.values()), list(names)
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / total for s in open_}
+        out |= {s: most * sizes[s] for s in over}
+        left -= sum(out[s] for s in over)
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, None: 100}, {"a": 0, "b": 0}, {}, {None: 5}, {f"s{i}": i * i for i in range(300)}, {"\ue000": 9, "\U0001f600": 900, "z": 10, "é": 4, "": 3}, {"a": 1, "b": 10, "c": 100, "d": 1000}])
+def test_targets_of_many_sources(spark, sizes):
+    stats = spark.createDataFrame([(s, w, 1) for s, w in sizes.items()], "source string, words long, n long")
+    got = {r.source: r.target for r in source_targets(stats).collect()}
+    want = targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 def test_targets():
     assert targets({"a": 100, "b": 100, None: 100}) == {"a": 200.0, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
     assert targets({}) == {}
