@@ -8,8 +8,10 @@ have one identity exactly if their texts are equal: no hash can collide.
 
 Naming is salted. Equal keys first meet in one of ``salts`` parts each, so a
 key that holds a third of all rows is spread; one representative of each part
-then meets the others of its key, at most ``salts`` of them. Text moves in two
-shuffles, all else is integers.
+then meets the others of its key, at most ``salts`` of them. ``salts`` grows
+with the square root of the table's rows, so neither a part nor the meeting of
+a key's representatives holds more rows than that. Text moves in two shuffles,
+all else is integers.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import forget, save, with_row_id
+from inkspan.llm.common import forget, fresh, quoted, save, spread_join, with_row_id
 
 BLOCK_BYTES = 4096
-SALTS = 256
+LEAST_SALTS = 256
 
 
 def name_keys(rows: DataFrame, key: str, salts: int, what: str) -> DataFrame:
@@ -53,18 +55,25 @@ def name_keys(rows: DataFrame, key: str, salts: int, what: str) -> DataFrame:
 
 
 def exact_dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, salts: int = SALTS
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, block_bytes: int = BLOCK_BYTES, salts: int | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal texts the one with the largest id stays; a null text is
-    empty; a null id is below all others; of rows with one id the first of the
-    scan stays, so each group keeps exactly one row. An empty table gives an
+    empty; a null id is below all others; of rows with one id that with the
+    lowest number stays, so each group keeps exactly one row. An empty table gives an
     empty one. Other columns of ``docs``, whatever their names, play no part.
-    ``rid`` is the row's number in the scan (see ``with_row_id``).
+    ``rid`` is the row's number: that of ``row_col``, else its place in the
+    table's files (see ``with_row_id``). ``salts`` (None: by the number of rows)
+    changes no result.
     """
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw")), "rid")
+    n = docs.count()
+    salts = salts or max(LEAST_SALTS, math.isqrt(n))
+    if row_col is None:
+        row_col = fresh(docs, "__rid")
+        docs = with_row_id(docs, row_col)
+    raw = F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary")
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), raw.alias("raw"), F.col(quoted(row_col)).alias("rid"))
     last = F.greatest(F.lit(0), F.floor((F.length("raw") - 1) / block_bytes)).cast("int")
     blocks = rows.select(
         "rid",
@@ -95,7 +104,7 @@ def exact_dedup(
     groups = identity.groupBy("kind", "name").agg(
         F.count("*").alias("group_size"), F.max(F.struct("doc_id", (-F.col("rid")).alias("minus"))).alias("best")
     )
-    return identity.join(groups, ["kind", "name"]).select(
+    return spread_join(identity, groups, ["kind", "name"], "rid", n).select(
         "rid",
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),

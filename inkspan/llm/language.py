@@ -19,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import crc_mod, save, unit_hash
+from inkspan.llm.common import crc_mod, fresh, save, unit_hash, with_row_id
 
 BINS, CENTROIDS, PER_LANGUAGE, SHARPNESS = 1 << 14, 4, 400, 25.0
-_LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def bins_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Bins of the whole text's n-grams of letters that occur, and how often; what isn't a letter is a blank."""
-    u = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), np.uint16)
-    u = np.where(_LETTER[u], u, np.uint16(32)).astype(np.uint32)
+    u = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    u = np.where(_LETTER[u], u, np.uint32(32))
     if len(u) < 2:
         u = np.r_[u, np.full(2, 32, np.uint32)]
     u = u[np.r_[True, (u[1:] != 32) | (u[:-1] != 32)]]
@@ -93,9 +93,14 @@ def fit(docs: DataFrame, *, centroids: int = CENTROIDS, per_language: int = PER_
     """Learn from text and non-null lang of rows whose crc32(doc_id) mod 4 is not 2.
 
     Document frequencies count all of these rows; about ``per_language`` texts
-    of each language at most, chosen by a hash of their id, are clustered.
+    of each language at most, chosen by a hash of their id and place, are
+    clustered, so rows that repeat an id are chosen one by one. The model holds
+    ``centroids`` vectors a language: languages are few by their nature.
+    Null texts and texts without a letter teach nothing; of an empty table comes
+    a model without languages. Other columns play no part.
     """
-    rows = docs.where((crc_mod(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    rid = fresh(docs, "__rid")
+    rows = with_row_id(docs.select("doc_id", "text", "lang"), rid).where((crc_mod(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, np.zeros(BINS + 1, np.int64)
@@ -115,7 +120,7 @@ def fit(docs: DataFrame, *, centroids: int = CENTROIDS, per_language: int = PER_
     if not sizes:
         return Model(idf, [], np.empty((BINS, 0)), np.empty(0))
     rate = docs.sparkSession.createDataFrame(sizes, "lang string, rate double")
-    sample = rows.join(F.broadcast(rate), "lang").where(unit_hash(F.col("doc_id"), 5) < F.col("rate")).select("lang", "text", F.xxhash64("doc_id").alias("spread"))
+    sample = rows.join(F.broadcast(rate), "lang").where(unit_hash(5, "doc_id", rid) < F.col("rate")).select("lang", "text", F.xxhash64("doc_id", rid).alias("spread"))
 
     def learn(t: pa.Table) -> pa.Table:
         t = t.take(pa.array(np.argsort(t["spread"].to_numpy(), kind="stable")))
@@ -137,8 +142,12 @@ def fit(docs: DataFrame, *, centroids: int = CENTROIDS, per_language: int = PER_
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each row.
 
-    A null text, or one without a letter, is ``und`` with score 0. lang, source
-    and doc_id are never looked at.
+    A null text, or one without a letter of any alphabet, is ``und`` with score
+    0, and so is every text where nothing was learned. Of languages whose
+    centroids are equally near, the first by name wins. Rows that repeat a text
+    or an id are predicted alike, an empty table gives an empty one, whole texts
+    are read however long. lang, source and doc_id are never looked at, nor are
+    other columns, whatever their names.
     """
     kind = dict(docs.dtypes)["doc_id"]
 

@@ -6,25 +6,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import save, unit_hash
+from inkspan.llm.common import fresh, save, unit_hash, with_row_id
 
 #: At most about so many labelled rows of each class are fitted on.
 PER_CLASS = 6000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, *, per_class: int = PER_CLASS, seed: int = 7) -> DataFrame:
-    """text, y, weight of about ``per_class`` labelled rows of each class at most, chosen by a hash of their id.
+    """text, y, weight of about ``per_class`` labelled rows of each class at most, chosen by a hash of their id and place.
 
     ``weight`` undoes the sampling. Only rows of ``labels`` for which ``learn``
-    (a condition on doc_id) holds and whose label is 0 or 1 count. The chosen
-    ids are bounded by ``per_class``, so they may be broadcast; texts of other
-    rows are never moved.
+    (a condition on doc_id) holds and whose label is 0 or 1 count; of an id
+    labelled twice the larger label. Rows of ``docs`` that repeat an id are
+    chosen one by one. So the chosen rows' numbers are bounded by ``per_class``
+    and may be broadcast; texts of other rows are never moved.
     """
     rows = labels.where(learn & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).alias("y"))
+    rid = fresh(docs, "__rid")
+    docs = with_row_id(docs.select("doc_id", "text"), rid)
+    rows = save(docs.select("doc_id", rid).join(rows, "doc_id"), "labelled-rows")
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = {y: min(1.0, per_class / n) for y, n in counts.items()}
-    kept = rows.withColumn("rate", F.when(F.col("y") == 1, F.lit(rate.get(1, 1.0))).otherwise(F.lit(rate.get(0, 1.0)))).where(unit_hash(F.col("doc_id"), seed) < F.col("rate"))
-    text = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id")
+    chosen = rows.withColumn("rate", F.when(F.col("y") == 1, F.lit(rate.get(1, 1.0))).otherwise(F.lit(rate.get(0, 1.0)))).where(unit_hash(seed, "doc_id", rid) < F.col("rate"))
+    text = docs.join(F.broadcast(chosen.select(rid, "y", "rate")), rid)
     return save(text.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y", (1 / F.col("rate")).alias("weight")), "labelled")
 
 

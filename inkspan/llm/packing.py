@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import save, with_row_id
+from inkspan.llm.common import quoted, save, with_row_id
 from inkspan.llm.tokens import VOCABULARY, encoder
 
 SIZE, END_ID, BUCKET_ROWS = 1024, 2, 4096
@@ -31,7 +31,7 @@ SIZE, END_ID, BUCKET_ROWS = 1024, 2, 4096
 
 def pieces(docs: DataFrame, *, size: int = SIZE, end_id: int = END_ID, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, doc_id, piece, start, length, ids_crc32: only documents over ``size`` are cut; their first piece takes the remainder."""
-    rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "rid")
+    rows = with_row_id(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")), "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
@@ -159,8 +159,10 @@ def pack(docs: DataFrame, *, size: int = SIZE, end_id: int = END_ID, vocabulary:
     """One row per piece: rid, doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty and gives one piece that holds the end id alone.
-    Repeated rows and null ids are packed as rows of their own; an empty table
-    gives an empty one.
+    Repeated rows and null ids are packed as rows of their own, and pieces of one
+    length are told apart by their row's place in the table's files and their
+    place in it. An empty table gives an empty one. Other columns, whatever
+    their names, play no part.
     """
     cut = save(pieces(docs, size=size, end_id=end_id, vocabulary=vocabulary, id_col=id_col, text_col=text_col), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``size`` rows at most

@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import save
+from inkspan.llm.common import forget, save, spread_join
 
-BANDS, PLACES, BLOCK, KEEP = 4, 4, 2048, None
+BANDS, PLACES, BLOCK, KEEP = 4, 4, 512, None
 #: Hashes that a block of a group holds, about; longer texts make blocks of fewer rows.
 WEIGHT = 1 << 20
 
@@ -159,8 +159,9 @@ def shingle_links(texts: DataFrame, shingle_hashes, *, words: int = 5, seed: int
             yield pa.RecordBatch.from_arrays([b["rid"], pa.array([l for l, _ in found], pa.int32()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["rid", "level", "hashes"])
 
     made = save(texts.select("rid", "text").mapInArrow(sketch, "rid long, whole long, size long, keys array<long>").where(F.col("whole").isNotNull()), "signatures")
-    first = made.groupBy("whole").agg(F.min("rid").alias("rep"))
-    made = save(made.join(first, "whole").select("rid", "rep", "size", F.when(F.col("rid") == F.col("rep"), F.col("keys")).alias("keys")), "represented")
+    first, sketched, n = made.groupBy("whole").agg(F.min("rid").alias("rep")), made, made.count()
+    made = save(spread_join(made, first, ["whole"], "rid", n).select("rid", "rep", "size", F.when(F.col("rid") == F.col("rep"), F.col("keys")).alias("keys")), "represented")
+    forget(sketched)
     same = made.where("rid <> rep").select(F.col("rep").alias("a"), F.col("rid").alias("b"))
     keyed = made.where("rid = rep").select("rid", "size", F.explode("keys").alias("key"))
     if groups is not None:

@@ -6,14 +6,16 @@ d bits in all). So each distinct fingerprint is indexed under every segment with
 each of its bits in turn made a wildcard; fingerprints that share a key are met
 by an equality join - here a shuffle and sort by key, read as runs - and
 verified by their Hamming distance. Two segments of 32 bits (d = 3) make 64
-keys of 31 bits each, so chance meetings are rare however large the corpus is.
+keys of 31 bits each: of n different fingerprints about n / 2 ** 31 share a key
+by chance, five at ten thousand million, each a comparison of two numbers.
 
 A run gives a spanning forest of its links, never its pairs. A wildcard other
 than a segment's first is only asked for links across the wildcard bit, as
 equal segments already meet under the first. Runs are held ``block`` rows at a
-time; a longer run is finished by comparing its blocks pairwise in tasks of
-their own. Components come from large-star / small-star rounds over tables in
-the shared folder.
+time; the blocks of a longer run are written as they fill, and finished by
+comparing them pairwise in tasks of their own. What a task has linked is written
+whenever ``HELD`` fingerprints are linked. Components come from large-star /
+small-star rounds over tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -26,10 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import save, with_row_id
+from inkspan.llm.common import forget, fresh, quoted, save, spread_join, with_row_id
 from inkspan.llm.shingles import shingle_links
 
 BITS, MAX_BITS, BLOCK = 64, 3, 32768
+#: Linked fingerprints that a task holds before it writes them.
+HELD = 1 << 18
+#: From so many edges on, the joins of the star rounds deal a node's edges into parts.
+MANY_EDGES = 1 << 20
 #: Odd multipliers that turn one shingle hash into further independent ones.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)
 
@@ -53,9 +59,8 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, seed: int = 42, kinds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, kind, fp (as a signed long): ``kinds`` independent fingerprints of each row."""
-    rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "rid")
+def fingerprints(rows: DataFrame, *, words: int = 3, seed: int = 42, kinds: int = 1) -> DataFrame:
+    """rid, doc_id, kind, fp (as a signed long): ``kinds`` independent fingerprints of each of ``rows`` (rid, doc_id, text)."""
     to = np.array(MIXERS, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +136,12 @@ class _Union:
         if a != b:
             self.up[max(a, b)] = min(a, b)
 
-    def stars(self) -> tuple[list[int], list[int]]:
+    def written(self) -> Iterator[pa.RecordBatch]:
+        """Each component as a star; nothing is held after it."""
         many = [x for x in self.up if self.find(x) != x]
-        return [self.find(x) for x in many], many
+        if many:
+            yield _rows(np.array([self.find(x) for x in many], np.uint64).view(np.int64), np.array(many, np.uint64).view(np.int64), None, None)
+        self.up = {}
 
 
 def _side(fps: np.ndarray, key: int, cuts: list[tuple[int, int]]) -> np.ndarray | None:
@@ -147,20 +155,18 @@ def _links(max_bits: int, block: int):
     firsts = np.array([a for a, _ in cuts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        union, late = _Union(), ([], [], [])
+        union = _Union()
         key_of, held, blocks = None, [], 0
 
-        def flush(last: bool) -> None:
-            """Search what is held of the open run; if more follows (or came before), keep it for the pairs of blocks."""
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            """Search what is held of the open run; if more follows (or came before), write it for the pairs of blocks."""
             nonlocal held, blocks
             fps = np.concatenate(held).view(np.uint64) if held else np.empty(0, np.uint64)
             if len(fps) > 1:
                 for a, b in forest(fps, _side(fps, key_of, cuts), max_bits):
                     union.add(int(fps[a]), int(fps[b]))
             if len(fps) and (not last or blocks):
-                late[0].append(fps.view(np.int64))
-                late[1].append(np.full(len(fps), key_of, np.int64))
-                late[2].append(np.full(len(fps), blocks, np.int32))
+                yield _rows(fps.view(np.int64), fps.view(np.int64), np.full(len(fps), key_of, np.int64), np.full(len(fps), blocks, np.int32))
             held, blocks = [], 0 if last else blocks + 1
 
         for b in batches:
@@ -177,7 +183,7 @@ def _links(max_bits: int, block: int):
                 union.add(p, q)
             for i in np.flatnonzero(~inner & ((ends - at > 2) | (np.arange(len(at)) == 0) | (np.arange(len(at)) == len(at) - 1))):
                 if key_of is not None and keys[at[i]] != key_of:
-                    flush(True)
+                    yield from flush(True)
                 key_of = int(keys[at[i]])
                 part = fps[at[i] : ends[i]]
                 while len(part):
@@ -185,14 +191,12 @@ def _links(max_bits: int, block: int):
                     held.append(part[:room])
                     part = part[room:]
                     if sum(map(len, held)) == block:
-                        flush(False)
+                        yield from flush(False)
+                if len(union.up) > HELD:
+                    yield from union.written()
         if key_of is not None:
-            flush(True)
-        roots, members = union.stars()
-        if members:
-            yield _rows(np.array(roots, np.uint64).view(np.int64), np.array(members, np.uint64).view(np.int64), None, None)
-        for fps, ks, bs in zip(*late):
-            yield _rows(fps, fps, ks, bs)
+            yield from flush(True)
+        yield from union.written()
 
     return run
 
@@ -243,23 +247,27 @@ def near_links(distinct: DataFrame, *, max_bits: int = MAX_BITS, block: int = BL
     return edges.unionByName(save(more, "late-links"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, *, many: int = MANY_EDGES) -> DataFrame:
     """node, root of every node of ``edges`` (a, b); root is the smallest node of its component.
 
     Large-star and small-star rounds until nothing changes; each is two
-    aggregations and joins whose heavy nodes Spark splits.
+    aggregations and joins. From ``many`` edges on, the joins deal a node's
+    edges into parts, since one node may hold a third of them.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = save(edges.where("a <> b").select(low.alias("a"), high.alias("b")).distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(now)
     while before[0]:
+        meet = lambda e, least, on, by: spread_join(e, least, [on], by, 2 * before[0]) if before[0] >= many else e.join(least, on)  # noqa: B023, E731
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = save(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), "large")
+        large = save(meet(both.where("b > a"), least, "a", "b").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), "large")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*")
-        now = save(small.where("a <> b").distinct(), "small")
+        small = meet(large, least, "b", "a").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*")
+        then, now = now, save(small.where("a <> b").distinct(), "small")
+        for done in (then, large):
+            forget(done)
         after = mark(now)
         if after == before:
             break
@@ -267,7 +275,9 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def simhash_dedup(docs: DataFrame, *, words: int = 3, seed: int = 42, kinds: int = 1, max_bits: int = MAX_BITS, block: int = BLOCK, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_dedup(
+    docs: DataFrame, *, words: int = 3, seed: int = 42, kinds: int = 1, max_bits: int = MAX_BITS, block: int = BLOCK, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, fingerprint, component_id, kept.
 
     Rows link if their fingerprints (with ``kinds`` over 1: any of them, each
@@ -276,22 +286,28 @@ def simhash_dedup(docs: DataFrame, *, words: int = 3, seed: int = 42, kinds: int
     fingerprints then only name rows to compare, beside the keys of ``shingles``
     (see there for the odds that such a pair meets). component_id
     is the smallest id reachable, and ``kept`` marks one row of each component,
-    that with the smallest id (a null id last, then the first of the scan).
+    that with the smallest id (a null id last, then the lowest number).
     Texts without words, null ones too, have fingerprint zero and link like any
-    other. An empty table gives an empty one.
+    other. An empty table gives an empty one. ``rid`` is the row's number: that
+    of ``row_col``, else its place in the table's files. Other columns of
+    ``docs``, whatever their names, play no part.
     """
-    prints = save(fingerprints(docs, words=words, seed=seed, kinds=kinds, id_col=id_col, text_col=text_col), "prints")
+    if row_col is None:
+        row_col = fresh(docs, "__rid")
+        docs = with_row_id(docs, row_col)
+    texts = docs.select(F.col(quoted(row_col)).alias("rid"), F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    prints = save(fingerprints(texts, words=words, seed=seed, kinds=kinds), "prints")
     first = prints.where("kind = 0")
+    n = first.count()
     if similarity is not None:
         rows = first.withColumn("node", F.col("rid"))
         groups = None
         for k in range(kinds):
             own = prints.where(F.col("kind") == k).select("rid", "fp")
             linked = components(near_links(own.select("fp").distinct(), max_bits=max_bits, block=block)).withColumnRenamed("node", "fp")
-            mine = own.join(linked, "fp", "left").select("rid", F.xxhash64(F.lit("fingerprint"), F.lit(k), F.coalesce("root", "fp")).alias("key"))
+            mine = spread_join(own, linked, ["fp"], "rid", n, "left").select("rid", F.xxhash64(F.lit("fingerprint"), F.lit(k), F.coalesce("root", "fp")).alias("key"))
             groups = mine if groups is None else groups.unionByName(mine)
-        texts = with_row_id(docs.select(F.col(text_col).alias("text")), "rid")
-        edges = shingle_links(texts, shingle_hashes, words=words, seed=seed, similarity=similarity, groups=groups)
+        edges = shingle_links(texts.select("rid", "text"), shingle_hashes, words=words, seed=seed, similarity=similarity, groups=groups)
         blank = texts.where(F.coalesce("text", F.lit("")).rlike(r"^[\x09-\x0D\x20]*\z")).select("rid")
         least = blank.agg(F.min("rid").alias("rid")).first()["rid"]
         edges = edges.unionByName(blank.select(F.lit(least).cast("long").alias("a"), F.col("rid").alias("b")))
@@ -316,7 +332,7 @@ def simhash_dedup(docs: DataFrame, *, words: int = 3, seed: int = 42, kinds: int
     labelled = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("best")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labelled = save(labelled, "labelled")
     each = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.min("best").alias("best"))
-    names = labelled.select("node", "root").join(each, "root").select("node", "component_id", F.col("best.rid").alias("best_rid"))
-    return rows.join(names, "node").select(
+    names = spread_join(labelled.select("node", "root"), each, ["root"], "node", n).select("node", "component_id", F.col("best.rid").alias("best_rid"))
+    return spread_join(rows, names, ["node"], "rid", n).select(
         "rid", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("rid") == F.col("best_rid")).alias("kept")
     )
