@@ -2,11 +2,11 @@
 
 A text is read as clauses of tokens; a token's class is found in a lexicon of
 insults (words and stems with weights), threats, targets, negators and words of
-reported speech. Five small transducers, one for each of these, read the
-classes side by side; their composition has the product of their states and
-multiplies their outputs, so that an insult weighs more beside the one it is
-aimed at, less when negated, and less inside reported speech. Clause scores are
-turned into a probability by a logistic fit.
+reported speech. Small weighted transducers, one for each of these, are composed
+in a row: each rewrites the symbols that the one before it writes, so that an
+insult or a threat weighs more beside the one it is aimed at, and the whole of
+that less when it is negated or only reported. Scores of clauses, never of
+isolated words, are turned into a probability by a logistic fit.
 
 The lexicon starts from a few common words and grows by what the labelled rows
 show: terms whose documents are toxic far more often than chance would let any
@@ -20,14 +20,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import crc_mod
+from inkspan.llm.common import crc_mod, quoted
 from inkspan.llm.learning import PER_CLASS, labelled_sample, logistic, sigmoid
 
 THRESHOLD = 0.7
@@ -36,85 +36,82 @@ THREATS = "kill hurt destroy beat punch stab shoot burn tuer frapper détruire t
 TARGETS = "you your you're he she they him her them tu toi vous lui elle eux du dich dir ihr sie euch tú usted ustedes él ella ellos".split()
 NEGATORS = "not no never isn't aren't wasn't don't pas jamais nicht kein keine nie nunca ningún".split()
 REPORTERS = "said says wrote claimed quoted called reported dit écrit sagte schrieb dijo escribió".split()
-#: What a threat gains by the target that follows it.
-AIMED = 0.85
+#: What a threat without a target keeps, what one with a target gains, what an insult with one gains.
+UNAIMED, AIMED, AIMED_INSULT = 0.15, 1.85, 1.5
+#: What negation and reported speech leave of a clause, what a repeat counts.
+NEGATED, REPORTED, AGAIN = 0.3, 0.5, 0.6
 STEMS = range(3, 9)
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 PART = re.compile(WORD.pattern + "|[.!?;:]")
+FAR = 1 << 30
 
+Symbols = list[tuple[str, float]]  # class, weight
 
-class Transducer:
-    """Reads symbols (class, weight); ``step`` gives the next state and the factor for a scored symbol read here."""
 
-    start: int = 0
+@dataclass(frozen=True)
+class Near:
+    """Transducer: rewrites symbols of class ``on`` by whether one of class ``by`` stands near.
 
-    def step(self, state: int, kind: str) -> tuple[int, float]:
-        raise NotImplementedError
-
-
-@dataclass
-class Window(Transducer):
-    """After a symbol of class ``opens``, scored symbols within ``reach`` tokens get ``inside``, others ``outside``."""
+    One automaton reads forward and counts from the last symbol of ``by``,
+    another reads backward; a symbol that stands within ``behind`` after one or
+    ``ahead`` before one has its weight multiplied by ``inside``, any other by
+    ``outside``; with ``to``, one inside also changes its class.
+    """
 
-    opens: str
-    reach: int
-    inside: float
+    on: str
+    by: str
+    behind: int
+    ahead: int
+    inside: float = 1.0
     outside: float = 1.0
-    scores: str = "IT"
+    to: str | None = None
 
-    def step(self, state: int, kind: str) -> tuple[int, float]:
-        if kind == self.opens:
-            return self.reach, 1.0
-        return max(0, state - 1), (self.inside if state else self.outside) if kind in self.scores else 1.0
+    def __call__(self, symbols: Symbols) -> Symbols:
+        near = [False] * len(symbols)
+        for reach, way in ((self.behind, range(len(symbols))), (self.ahead, range(len(symbols) - 1, -1, -1))):
+            since = FAR
+            for i in way:
+                since += 1
+                near[i] |= since <= reach
+                if symbols[i][0] == self.by:
+                    since = 0
+        return [(self.to or kind if hit else kind, weight * (self.inside if hit else self.outside)) if kind in self.on else (kind, weight) for (kind, weight), hit in zip(symbols, near)]
 
 
-@dataclass
-class Emit(Transducer):
-    """Passes the weight of class ``kind`` on, as often as it comes; a repeat in one clause counts ``again``."""
+@dataclass(frozen=True)
+class Emit:
+    """Transducer: passes symbols of class ``kind`` on; a repeat in one clause counts ``again``."""
 
     kind: str
     again: float
 
-    def step(self, state: int, kind: str) -> tuple[int, float]:
-        return (1, self.again if state else 1.0) if kind == self.kind else (state, 1.0)
-
-
-@dataclass
-class Follow(Transducer):
-    """A symbol of class ``then`` within ``reach`` tokens after one of class ``first`` scores, elsewhere not."""
-
-    first: str
-    then: str
-    reach: int
-
-    def step(self, state: int, kind: str) -> tuple[int, float]:
-        if kind == self.first:
-            return self.reach, 1.0
-        return max(0, state - 1), (1.0 if state else 0.0) if kind == self.then else 1.0
+    def __call__(self, symbols: Symbols) -> Symbols:
+        out, met = [], False
+        for kind, weight in symbols:
+            out.append((kind, weight * self.again if met and kind == self.kind else weight))
+            met |= kind == self.kind
+        return out
 
 
-@dataclass
-class Composed:
-    """Product of transducers; transitions are worked out once and kept, as the states are few."""
+#: Composed in this order, each reading what the one before it writes: a reporter's own pronoun is no target;
+#: threats and insults are emitted; targets aim them; negation before them and reported speech anywhere in
+#: the clause act on all of that.
+GRAMMAR = (
+    Near("P", "R", 0, 1, to="O"),
+    Emit("I", AGAIN),
+    Emit("T", AGAIN),
+    Near("T", "P", 0, 3, AIMED, UNAIMED),
+    Near("I", "P", 8, 3, AIMED_INSULT),
+    Near("IT", "N", FAR, 0, NEGATED),
+    Near("IT", "R", FAR, FAR, REPORTED),
+)
 
-    parts: tuple[Transducer, ...]
-    table: dict = field(default_factory=dict)
-
-    def clause(self, symbols: list[tuple[str, float]]) -> float:
-        state, total = tuple(t.start for t in self.parts), 0.0
-        for kind, weight in symbols:
-            key = (state, kind)
-            if key not in self.table:
-                steps = [t.step(s, kind) for t, s in zip(self.parts, state)]
-                self.table[key] = tuple(s for s, _ in steps), math.prod(f for _, f in steps)
-            state, factor = self.table[key]
-            total += (AIMED if kind == "P" else weight) * factor
-        return total
 
-
-def grammar() -> Composed:
-    """Insult and threat emitters composed with target, negation and reported-speech windows."""
-    return Composed((Emit("I", 0.6), Emit("T", 0.6), Follow("T", "P", 3), Window("P", 4, 1.5), Window("P", 4, 1.0, 0.15, "T"), Window("N", 3, 0.3), Window("R", 12, 0.5)))
+def clause_score(symbols: Symbols) -> float:
+    """Weight of the composed transducers' output for one clause."""
+    for transducer in GRAMMAR:
+        symbols = transducer(symbols)
+    return sum(weight for kind, weight in symbols if kind in "IT")
 
 
 @dataclass
@@ -138,23 +135,23 @@ def base_lexicon() -> Lexicon:
 
 
 class Reader:
-    """Turns texts into clause scores; keeps the class of tokens that it has met."""
+    """Turns texts into clause scores; keeps the classes of tokens that it has met."""
 
     KEEP, LONGEST = 300_000, 64
 
     def __init__(self, lexicon: Lexicon) -> None:
-        self.lexicon, self.grammar, self.seen = lexicon, grammar(), {}
+        self.lexicon, self.seen = lexicon, {}
 
-    def _class(self, token: str) -> tuple[tuple[str, float, bool, str], ...] | None:
-        """class, weight, whether a clause ends here and word of each word of a token; None of one plain word."""
-        out: list[tuple[str, float, bool, str]] = []
+    def _class(self, token: str) -> tuple[tuple[str, float, str], ...] | None:
+        """class, weight and the mark that follows (empty: none) of each word of a token; None of one plain word."""
+        out: list[tuple[str, float, str]] = []
         for m in PART.finditer(token):
             if m[0] not in ".!?;:":
-                out.append((*(self.lexicon.look(m[0]) or ("O", 0.0)), False, m[0]))
+                out.append((*(self.lexicon.look(m[0]) or ("O", 0.0)), ""))
             elif out:
-                out[-1] = (*out[-1][:2], True, out[-1][3])
+                out[-1] = (*out[-1][:2], out[-1][2] or m[0])
             else:
-                out.append(("O", 0.0, True, ""))
+                out.append(("O", 0.0, m[0]))
         found = None if not out or len(out) == 1 and out[0][0] == "O" and not out[0][2] else tuple(out)
         if len(token) <= self.LONGEST:
             if len(self.seen) > self.KEEP:
@@ -162,13 +159,21 @@ class Reader:
             self.seen[token] = found
         return found
 
-    def read(self, text: str) -> tuple[list[float], int, set[str]]:
-        """Scores of the clauses that match, the number of words, the words that match; a line's end or closing punctuation ends a clause."""
-        out: list[float] = []
-        hits: set[str] = set()
+    def read(self, text: str) -> tuple[list[tuple[float, tuple]], int]:
+        """Score and scored symbols of each clause that matches, and the number of words.
+
+        A line's end or a closing mark ends a clause, but a colon after a word
+        of reported speech, as what follows is what was said.
+        """
+        out: list[tuple[float, tuple]] = []
         n = 0
         get, look = self.seen.get, self._class
         miss = object()
+
+        def close() -> None:
+            if score := clause_score(clause):
+                out.append((score, tuple(clause)))
+
         for line in text.lower().split("\n"):
             tokens = line.split()
             found = [x if (x := get(t, miss)) is not miss else look(t) for t in tokens]
@@ -176,25 +181,24 @@ class Reader:
             n += len(tokens) - len(some) + sum(map(len, some))
             if not any(s[1] for x in some for s in x):
                 continue
-            clause: list[tuple[str, float]] = []
+            clause: Symbols = []
             for x in found:
                 if x is None:
                     clause.append(("O", 0.0))
                     continue
-                for kind, weight, ends, word in x:
+                for kind, weight, mark in x:
                     clause.append((kind, weight))
-                    if weight:
-                        hits.add(word)
-                    if ends:
-                        out.append(self.grammar.clause(clause))
+                    if mark and not (mark == ":" and any(k == "R" for k, _ in clause[-3:])):
+                        close()
                         clause = []
-            out.append(self.grammar.clause(clause))
-        return [s for s in out if s > 0], n, hits
+            close()
+        return out, n
 
     def features(self, text: str) -> np.ndarray:
-        """Of the clause scores: the largest, their sum, number and density; different words that match; whether any does."""
-        s, n, hits = self.read(text)
-        return np.array([max(s, default=0.0), math.log1p(sum(s)), math.log1p(len(s)), math.log1p(100 * sum(s) / max(1, n)), math.log1p(len(hits)), float(bool(s))])
+        """Of the clauses that match: the largest score, their scores' sum, number and density; how many differ; whether any does."""
+        found, n = self.read(text)
+        s = [score for score, _ in found]
+        return np.array([max(s, default=0.0), math.log1p(sum(s)), math.log1p(len(s)), math.log1p(100 * sum(s) / max(1, n)), math.log1p(len({c for _, c in found})), float(bool(s))])
 
 
 @dataclass
@@ -295,19 +299,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> Mo
     return Model(lexicon, logistic(np.array([r["x"] for r in rows]), y, np.array([r["weight"] for r in rows])))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with the column ``toxicity`` (0 to 1) put last; all other columns stay.
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """``docs`` with the column ``score_col`` (0 to 1) put last; all other columns stay, whatever their names.
 
     A null or empty text has the score of a text in which nothing matches. A
-    column that already has the name is replaced. The whole text is read.
+    column that already has the name is replaced, so give one that ``docs``
+    doesn't have to keep it. Equal texts have equal scores, an empty table gives
+    an empty one. The whole text is read, however long.
     """
-    kept = [c for c in docs.columns if c != "toxicity"]
+    rows = docs.select(*(F.col(quoted(c)) for c in docs.columns if c != score_col))
+    at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([of(t.as_py()) for t in b["text"]], pa.float64())], names=[*b.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([of(t.as_py()) for t in b.column(at)], pa.float64())], names=[*b.schema.names, score_col])
 
-    rows = docs.select(*kept)
-    schema = rows.withColumn("toxicity", F.lit(0.0)).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.withColumn(score_col, F.lit(0.0)).schema)

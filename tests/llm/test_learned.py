@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -36,17 +37,103 @@ def test_toxicity(spark, labels):
     assert auc([s for y, s in held if y], [s for y, s in held if not y]) > 0.75
 
 
+def best(text, of=toxicity.Reader(toxicity.base_lexicon())):
+    return max((s for s, _ in of.read(text)[0]), default=0.0)
+
+
 def test_grammar_weighs_context():
-    of = toxicity.Reader(toxicity.base_lexicon())
-    best = lambda text: max(of.read(text)[0], default=0.0)
     assert best("a fine day") == 0
     assert best("you are an idiot") > best("an idiot") > best("not an idiot") > 0
     assert best("an idiot") > best("he said what an idiot")
-    assert 0 < best("kill it") < best("kill you") < best("they kill you")
-    assert len(of.read("idiot. loser! moron\nscum")[0]) == 4
+    assert 0 < best("kill it") < best("kill you") == best("they kill you")
+    assert len(toxicity.Reader(toxicity.base_lexicon()).read("idiot. loser! moron\nscum")[0]) == 4
     assert best("IDIOT,") == best("idiot")
 
 
+@pytest.mark.parametrize("plain, negated, reported", [
+    ("I will kill you", "I will not kill you", "he said I will kill you"),
+    ("I will kill you", "I would never, whatever comes, kill you", "I will kill you, she wrote"),
+    ("I will kill you", "I will not kill you", "they said: I will kill you"),
+    ("you are an idiot", "you are not at all an idiot", "he said you are an idiot"),
+    ("idiot like you", "not an idiot like you", "she wrote idiot like you"),
+    ("du bist ein abschaum", "du bist wirklich kein abschaum", "er sagte du bist ein abschaum"),
+])
+def test_negation_and_report_act_on_the_whole_clause(plain, negated, reported):
+    assert best(plain) > best(negated) > 0 and best(plain) > best(reported) > 0
+    assert best(negated) == pytest.approx(toxicity.NEGATED * best(plain))
+    assert best(reported) == pytest.approx(toxicity.REPORTED * best(plain))
+
+
+def test_targets_on_either_side_and_the_reporters_pronoun():
+    assert best("idiot like you") == best("you idiot") > best("idiot")
+    assert best("he said idiot") == toxicity.REPORTED * best("idiot")
+    assert best("idiot, she said") == toxicity.REPORTED * best("idiot")
+    assert best("he said you idiot") == toxicity.REPORTED * best("you idiot")
+
+
+def plain_clauses(text, lexicon):
+    """The grammar read plainly: each scored word's weight by what stands around it in its clause."""
+    clauses, clause = [], []
+    for line in text.lower().split("\n"):
+        for m in re.finditer(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:]|[^\W_]+|\S|\s+", line):
+            if m[0].isspace():
+                clause.append(" ")
+            elif m[0] in ".!?;:" or toxicity.WORD.fullmatch(m[0]):
+                clause.append(m[0])
+        clauses.append(clause)
+        clause = []
+    out = []
+    for line in clauses:
+        words, open_ = [], []
+        for at, x in enumerate(line):
+            if x == " ":
+                continue
+            if x in ".!?;:":
+                if at and line[at - 1] in ".!?;:":
+                    continue
+                if not at or line[at - 1] == " ":
+                    open_.append(("O", 0.0))
+                if not (x == ":" and any(k == "R" for k, _ in open_[-3:])):
+                    words.append(open_)
+                    open_ = []
+            else:
+                open_.append(lexicon.look(x) or ("O", 0.0))
+        words.append(open_)
+        for c in words:
+            kinds = [k for k, _ in c]
+            own = lambda i: kinds[i] == "P" and "R" not in kinds[i + 1 : i + 2]  # noqa: B023, E731
+            aimed = lambda a, z: any(own(i) for i in range(max(0, a), min(z, len(kinds))))  # noqa: B023, E731
+            total = 0.0
+            for i, (k, w) in enumerate(c):
+                if k not in "IT":
+                    continue
+                w *= toxicity.AGAIN if k in kinds[:i] else 1
+                if k == "T":
+                    w *= toxicity.AIMED if aimed(i + 1, i + 4) else toxicity.UNAIMED
+                else:
+                    w *= toxicity.AIMED_INSULT if aimed(i - 8, i) or aimed(i + 1, i + 4) else 1
+                total += w * (toxicity.NEGATED if "N" in kinds[:i] else 1) * (toxicity.REPORTED if "R" in kinds else 1)
+            if total:
+                out.append(total)
+    return out
+
+
+def test_scores_are_those_of_the_plain_reading(spark, tiny):
+    """Every document, with the learned lexicon and fit of the query."""
+    docs, labels = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    of, some = toxicity.Reader(model.lexicon), 0
+    got = {r.doc_id: r.score for r in QUERIES["op5_toxicity"](spark, tiny).collect()}
+    for r in docs.collect():
+        s = plain_clauses(r.text or "", model.lexicon)
+        found, n = of.read(r.text or "")
+        assert [x for x, _ in found] == pytest.approx(s)
+        some += bool(s)
+        x = [max(s, default=0), math.log1p(sum(s)), math.log1p(len(s)), math.log1p(100 * sum(s) / max(1, n)), math.log1p(len({c for _, c in found})), float(bool(s)), 1.0]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-float(np.dot(x, model.coefficients)))), abs=1e-9)
+    assert some > 5
+
+
 def test_every_word_of_a_token_is_read():
     of = toxicity.Reader(toxicity.base_lexicon())
     for sign in ",/-)(":
