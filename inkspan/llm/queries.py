@@ -61,8 +61,8 @@ def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    out = quality.score(docs.select("doc_id", "text"), quality.fit(docs, read(spark, sf_dir, "labels")))
+    rows = quality.measured(read(spark, sf_dir, "documents"))
+    out = quality.score(rows, quality.fit(rows, read(spark, sf_dir, "labels")))
     return out.select("doc_id", _held_out(5, 0), F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 

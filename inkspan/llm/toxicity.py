@@ -313,6 +313,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([of(t.as_py()) for t in b.column(at)], pa.float64())], names=[*b.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([of(t.as_py()) for t in b.column(at)], pa.float64())], names=[*b.schema.names, "score"])
 
-    return rows.mapInArrow(run, rows.withColumn(score_col, F.lit(0.0)).schema)
+    plain = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))  # Arrow functions take no names with dots
+    return plain.mapInArrow(run, plain.withColumn("score", F.lit(0.0)).schema).toDF(*rows.columns, score_col)

@@ -8,7 +8,9 @@ import zlib
 import numpy as np
 import pytest
 
-from inkspan.llm import language, quality, toxicity
+from pyspark.sql import functions as F
+
+from inkspan.llm import language, learning, quality, toxicity
 from inkspan.llm.learning import logistic
 from inkspan.llm.queries import QUERIES
 
@@ -178,11 +180,104 @@ def test_quality(spark, labels):
 
 def test_quality_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (6, 1, 0), (9, 0, 0), (None, 1, None), (2, None, None)], "doc_id long, quality int, toxic int")
-    out = quality.score(odd, quality.fit(odd, labels)).collect()
+    rows = quality.measured(odd)
+    out = quality.score(rows, quality.fit(rows, labels)).collect()
     assert len(out) == odd.count() and all(0 <= r.quality_score <= 1 and not math.isnan(r.quality_score) for r in out)
-    none = quality.fit(empty, labels.limit(0))
-    assert none is None and quality.score(empty, none).count() == 0
-    assert {r.quality_score for r in quality.score(odd, None).collect()} == {0.5}
+    none = quality.measured(empty)
+    assert quality.fit(none, labels.limit(0)) is None and quality.score(none, None).count() == 0
+    assert {r.quality_score for r in quality.score(rows, None).collect()} == {0.5}
+
+
+def plain_statistics(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    raw, n = text.encode(), len(words)
+    if not n:
+        return [0.0] * 17
+    share = lambda keep: sum(map(keep, raw)) / len(raw)
+    signs = b"#$%&*+/<=>@[\\]^_`{|}~"
+    lines = [x for x in text.split("\n") if x]
+    return [
+        math.log1p(n), len(set(words)) / n, max(map(words.count, set(words))) / n, sum(a == b for a, b in zip(words, words[1:])) / n, len(raw) / n,
+        share(lambda c: 97 <= c <= 122 or c >= 128), share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c in b" \t\n\r\x0b\x0c"), share(lambda c: c in b".,;:'\"()-"), share(lambda c: c in b"!?"), share(lambda c: c in signs),
+        sum(not w.encode()[:1].isalnum() and w.encode()[0] < 128 for w in words) / n, sum(w.encode()[-1:] in signs + b"!" for w in words) / n,
+        len(lines) / n, 1 - len(set(lines)) / max(1, len(lines)), sum(len(w.encode()) <= 3 for w in words) / n,
+    ]
+
+
+def test_quality_scores_are_those_of_a_plain_reading(spark, tiny):
+    """Every document: statistics, bins, sum and logistic curve worked out one by one."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    rows = quality.measured(docs)
+    model = quality.fit(rows, spark.read.parquet(f"{tiny}/labels.parquet"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r.score for r in QUERIES["op9_quality"](spark, tiny).collect()}
+    assert got.keys() == texts.keys()
+    for d, text in texts.items():
+        z, first = model.coefficients[-1], 0
+        for x, edges in zip(plain_statistics(text), model.edges):
+            z += model.coefficients[first + sum(e <= x + 1e-12 for e in edges)]
+            first += len(edges) + 1
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+def test_language_scores_are_those_of_a_plain_reading(spark, tiny):
+    """Every document: n-grams counted one by one, weighted, compared with each centroid."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    model = language.fit(docs)
+    got = {r.doc_id: r for r in QUERIES["op2_language_id"](spark, tiny).collect()}
+    for r in docs.collect():
+        text = " ".join("".join(c if c.isalpha() else " " for c in (r.text or "").lower()).split(" "))
+        text = re.sub(" +", " ", text) if text else text
+        counts = {}
+        for i in range(len(text) - 1):
+            two = (ord(text[i]) * 0x9E3779B1 + ord(text[i + 1])) * 0x85EBCA77 % 2**32
+            counts[two >> 18] = counts.get(two >> 18, 0) + 1
+            if i + 2 < len(text):
+                three = (two + ord(text[i + 2])) * 0xC2B2AE3D % 2**32
+                counts[three >> 18] = counts.get(three >> 18, 0) + 1
+        if not any(map(str.isalpha, text)):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        v = {b: (1 + math.log(k)) * float(model.idf[b]) for b, k in counts.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x / size * float(model.centroids[b, j]) for b, x in v.items()) for j in range(len(model.languages))]
+        top = max(cos)
+        assert got[r.doc_id].lang_pred in {name for name, c in zip(model.languages, cos) if c > top - 1e-5}
+
+
+def test_letters_of_any_plane_and_ties(spark):
+    rows = [(i, "\U00010330\U00010331\U00010332 \U00010333\U00010334" * (1 + i % 3), "got", "a") for i in range(40)] + [(100 + i, "the cat sat on a mat", x, "a") for i, x in enumerate(["en", "xx"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.fit(docs)
+    assert model.predict("\U00010330\U00010331\U00010332")[0] == "got" and model.predict(rows[0][1])[1] > 0.5
+    assert model.predict("the cat sat")[0] == "en"
+
+
+def test_samples_are_bounded_where_an_id_repeats(spark, tmp_path):
+    rows = [(7, f"word{i} you idiot", "en", "a") for i in range(3000)] + [(100 + i, f"plain text {i}", "fr", "b") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    labels = spark.createDataFrame([(7, 1, 1), (7, 0, 1), *((100 + i, 1, 0) for i in range(300))], "doc_id long, quality int, toxic int")
+    sample = learning.labelled_sample(docs, labels, "toxic", F.lit(True), per_class=200)
+    counts = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    assert 100 < counts[1] < 300 and 100 < counts[0] < 300
+    assert sum(r.weight for r in sample.where("y = 1").collect()) == pytest.approx(3000, rel=0.4)
+    seen = []
+    of = language.cluster
+    try:
+        language.cluster = lambda x, k: seen.append(len(x)) or of(x, k)
+        language.fit(docs, per_language=100)
+    finally:
+        language.cluster = of
+    measured = quality.measured(docs)
+    assert quality.fit(measured, labels, per_class=50) is not None
+
+
+def test_names_with_dots_and_of_our_own_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "you idiot", -7.0, 2, 3)], "doc_id long, text string, toxicity double, `a.b` int, `__rid` int")
+    model = toxicity.Model(toxicity.base_lexicon(), toxicity.DEFAULT)
+    r = toxicity.score(docs, model, score_col="s").first()
+    assert (r["toxicity"], r["a.b"], r["__rid"]) == (-7.0, 2, 3) and r["s"] > 0.5
 
 
 def test_prior_and_risk():
@@ -191,9 +286,11 @@ def test_prior_and_risk():
     unl = np.r_[rng.normal(2, 1, (1400, 1)), rng.normal(-2, 1, (600, 1))]
     prior = quality.class_prior(pos[:, 0], unl[:, 0])
     assert abs(prior - 0.7) < 0.1
-    c = quality.non_negative_risk(pos, unl, 0.7)
-    good, bad = c[0] * 2 + c[1], c[0] * -2 + c[1]
-    assert good > 1 and bad < -1
+    twice = quality.class_prior(pos[:, 0], np.unique(unl[:, 0].round(1)), np.unique(unl[:, 0].round(1), return_counts=True)[1].astype(float))
+    assert abs(twice - 0.7) < 0.1
+    bins = lambda x: (x > 0).astype(np.int64)
+    c = quality.non_negative_risk(bins(pos), bins(unl), 2, 0.7)
+    assert c[1] + c[2] > 1 and c[0] + c[2] < -1
 
 
 def test_logistic():
