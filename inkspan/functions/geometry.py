@@ -20,6 +20,11 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return F.shiftright(77 * r + 150 * g + 29 * b, 8)
 
 
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    """Rounded 0.299 R + 0.587 G + 0.114 B."""
+    return rounded(0.299 * r + 0.587 * g + 0.114 * b)
+
+
 def flattened(gray: Column, background: Column) -> Column:
     """Gray by its background level, 255 at most; a level of 0 changes nothing."""
     return F.when(background == 0, gray).otherwise(F.least(F.lit(255), div(gray * 255, background)))

@@ -74,8 +74,41 @@ def ratio(distance: Column, length: Column, other: Column) -> Column:
 
 def is_cjk(text: Column) -> Column:
     """Whether any character is of one of the CJK ranges."""
-    # fixed values: kana, unified ideographs and extension A, Hangul, compatibility ideographs
-    return text.rlike(r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]")
+    # fixed values: unified ideographs, hiragana, katakana, Hangul, extension A
+    return text.rlike(r"[\x{4E00}-\x{9FFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}\x{3400}-\x{4DBF}]")
+
+
+def is_cjk_language(language: Column) -> Column:
+    """Whether a language's name calls for a CJK font."""
+    low = F.lower(language)
+    # fixed values: how names of such languages begin
+    return low.startswith("chi") | low.startswith("jpn") | low.startswith("kor") | low.contains("cjk")
+
+
+def sampled_words(some: Column, pages: Column, most: int = 10) -> Column:
+    """Words of a document from those of its first ``most`` pages: as they are if that is all, else by pages, cut to a whole number."""
+    return F.when(pages <= most, some).otherwise(F.floor(some / most * pages))
+
+
+def guard(words: Column, pages: Column, compress_only: Column) -> Column:
+    """What keeps a document from being worked on; null if nothing does."""
+    return F.when(pages == 0, "no pages").when(compress_only & (words == 0), "no text to keep; recognise it first")
+
+
+def program_flags(flags: Column) -> Column:
+    """Flags of an outside program without empty ones and without -b and what follows it."""
+    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        drop = s["skip"] | (x == "-b")
+        return F.struct((~s["skip"] & (x == "-b")).alias("skip"), F.when(drop | (x == ""), s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"))
+
+    return F.aggregate(F.split(flags, SPACE), start, step)["out"]
+
+
+def first_description(xmp: Column) -> Column:
+    """The first description element of metadata; null without one."""
+    return F.try_element_at(F.regexp_extract_all(xmp, F.lit(r"(?s)<rdf:Description\b.*?(?:/>|</rdf:Description>)"), F.lit(0)), F.lit(1))
 
 
 def conformance(xmp: Column, part: str = "2", level: str = "B") -> Column:

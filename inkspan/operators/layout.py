@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.geometry import pixel_box, upper_median
 
-LINES_PER_PAGE, BATCH, NARROWEST = 43, 6, 0.6
+LINES_PER_PAGE, BATCH, NARROWEST, LONGEST_DOCUMENT = 43, 6, 0.6, 30
+
+
+def _parts(pages: DataFrame, page: list[str], others: list[str], breaks: Column, name: str) -> DataFrame:
+    """Rows of the array ``g`` of each page, in parts that begin at ``breaks`` (places from 1), numbered from 0 in ``name``."""
+    with_breaks = pages.withColumn("_b", breaks)
+    part = F.transform("_b", lambda at, i: F.struct(i.alias("n"), F.slice("g", at, F.coalesce(F.get("_b", i + 1), F.size("g") + 1) - at).alias("p")))
+    return with_breaks.select(*page, F.explode(part).alias("z")).select(*page, F.col("z.n").alias("n"), F.explode("z.p").alias("r")).select(*page, *(F.col(f"r.{c}").alias(c) for c in others), F.col("n").alias(name))
 
 
 def anchored_lines(glyphs: DataFrame, page: list[str], *, y: str = "y", height: str = "height", order: str = "glyph") -> DataFrame:
@@ -15,21 +24,25 @@ def anchored_lines(glyphs: DataFrame, page: list[str], *, y: str = "y", height:
 
     In order of y a glyph starts a line when it is farther than half the page's
     upper median height from the first glyph of the line. The anchor is not the
-    previous row, so it is a fold over the page's glyphs, which meet in one row;
-    pages are bounded by what fits on paper.
+    previous row, so it is a fold over the page's glyphs, which meet in one row
+    and give the places where lines begin; pages are bounded by what fits on
+    paper.
     """
     others = [c for c in glyphs.columns if c not in page]
     sorted_ = F.array_sort(F.collect_list(F.struct(F.col(y).alias("_y"), F.col(order).alias("_o"), *others)))
     pages = glyphs.groupBy(*page).agg(sorted_.alias("g"), upper_median(F.collect_list(height)).alias("mid"))
-    start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
+    return _parts(pages, page, others, _anchored(lambda g, at: F.abs(g["_y"] - at["_y"]) > 0.5 * F.col("mid")), "line")
+
+
+def _anchored(far: Callable[[Column, Column], Column]) -> Column:
+    """Places (from 1) in ``g`` at which a line begins: where an element is ``far`` from the one that its line began with."""
+    start = F.struct(F.lit(1).alias("n"), F.array(F.lit(1)).alias("b"))
 
     def step(s: Column, g: Column) -> Column:
-        new = s["at"].isNull() | (F.abs(g["_y"] - s["at"]) > 0.5 * F.col("mid"))
-        line = F.when(new, s["line"] + 1).otherwise(s["line"])
-        return F.struct(F.when(new, g["_y"].cast("double")).otherwise(s["at"]).alias("at"), line.alias("line"), F.concat(s["out"], F.array(line)).alias("out"))
+        new = far(g, F.element_at("g", F.element_at(s["b"], -1)))
+        return F.struct((s["n"] + 1).alias("n"), F.when(new, F.concat(s["b"], F.array(s["n"] + 1))).otherwise(s["b"]).alias("b"))
 
-    lines = F.aggregate("g", start, step)["out"]
-    return pages.select(*page, F.explode(F.arrays_zip("g", lines.alias("line"))).alias("z")).select(*page, *(F.col(f"z.g.{c}").alias(c) for c in others), F.col("z.line").alias("line"))
+    return F.aggregate(F.slice("g", F.lit(2), F.size("g")), start, step)["b"]
 
 
 def gap_words(glyphs: DataFrame, line: list[str], *, x: str = "x", width: str = "width", height: str = "height", order: str = "glyph") -> DataFrame:
@@ -40,16 +53,19 @@ def gap_words(glyphs: DataFrame, line: list[str], *, x: str = "x", width: str =
     return glyphs.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("word", F.sum("_new").over(w)).drop("_new")
 
 
-def reading_order(boxes: DataFrame, page: list[str], *, y: str, x: str, height: str, order: str) -> DataFrame:
-    """``boxes`` with ``place`` (from 1): lines by a gap of over half the previous height between centres, then from left to right.
+def reading_order(boxes: DataFrame, page: list[str], *, x: str = "x", y: str = "y", width: str = "width", height: str = "height", order: str = "box") -> DataFrame:
+    """``boxes`` with ``place`` (from 1): lines of boxes whose centres are near their line's first one, then from left to right by centre.
 
-    Comparing boxes two by two by that rule isn't transitive; this is a total
-    order that agrees with it wherever lines are apart.
+    Near is half the mean of both heights at most. Comparing boxes two by two by
+    that rule isn't transitive; held against the line's first box in order of
+    centres it gives a total order, and a slanted page doesn't run into one line.
     """
-    w = Window.partitionBy(*page).orderBy(y, order)
-    new = F.coalesce((F.col(y) - F.lag(y).over(w) > 0.5 * F.lag(height).over(w)).cast("int"), F.lit(0))
-    rows = boxes.withColumn("_new", new).withColumn("_line", F.sum("_new").over(w))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy("_line", x, order))).drop("_new", "_line")
+    others = [c for c in boxes.columns if c not in page]
+    centre = lambda a, side: F.col(a) + F.col(side) / 2
+    row = F.struct(centre(y, height).alias("_y"), F.col(order).alias("_o"), centre(x, width).alias("_x"), F.col(height).alias("_h"), *others)
+    pages = boxes.groupBy(*page).agg(F.array_sort(F.collect_list(row)).alias("g"))
+    rows = _parts(pages, page, [*others, "_x"], _anchored(lambda g, at: F.abs(g["_y"] - at["_y"]) > (g["_h"] + at["_h"]) / 4), "_line")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy("_line", "_x", order))).drop("_line", "_x")
 
 
 def width_batches(crops: DataFrame, group: list[str], *, width: str = "width", order: str = "crop", most: int = BATCH, narrowest: float = NARROWEST) -> DataFrame:
@@ -59,17 +75,42 @@ def width_batches(crops: DataFrame, group: list[str], *, width: str = "width", o
     """
     others = [c for c in crops.columns if c not in group]
     rows = F.array_sort(F.collect_list(F.struct(F.col(width).isNull().alias("_gone"), F.col(width).alias("_w"), F.col(order).alias("_o"), *others)))
-    start = F.struct(F.lit(None).cast("double").alias("low"), F.lit(0).alias("n"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(None).cast("double").alias("low"), F.lit(0).alias("n"), F.lit(0).alias("in"), F.array().cast("array<int>").alias("b"))
 
     def step(s: Column, c: Column) -> Column:
         w = c["_w"].cast("double")
-        new = (s["n"] == most) | (s["low"] < narrowest * w)
-        new = F.coalesce(new, F.lit(False)) & (s["n"] > 0)
-        batch = s["batch"] + new.cast("int")
-        return F.struct(F.when(new, w).otherwise(F.coalesce(s["low"], w)).alias("low"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), batch.alias("batch"), F.concat(s["out"], F.array(batch)).alias("out"))
+        new = F.coalesce((s["in"] == most) | (s["low"] < narrowest * w), F.lit(False)) | (s["n"] == 0)
+        return F.struct(F.when(new, w).otherwise(F.coalesce(s["low"], w)).alias("low"), (s["n"] + 1).alias("n"), F.when(new, 1).otherwise(s["in"] + 1).alias("in"), F.when(new, F.concat(s["b"], F.array(s["n"] + 1))).otherwise(s["b"]).alias("b"))
 
     of = crops.groupBy(*group).agg(rows.alias("g"))
-    return of.select(*group, F.explode(F.arrays_zip("g", F.aggregate("g", start, step)["out"].alias("batch"))).alias("z")).select(*group, *(F.col(f"z.g.{c}").alias(c) for c in others), F.col("z.batch").alias("batch"))
+    return _parts(of, group, others, F.aggregate("g", start, step)["b"], "batch")
+
+
+def visible_glyphs(glyphs: DataFrame, *, text: str = "text") -> DataFrame:
+    """Without glyphs whose text is null, empty or blank."""
+    return glyphs.where(F.coalesce(~F.col(text).rlike(r"^\s*$"), F.lit(False)))
+
+
+def of_pages(rows: DataFrame, first: int, last: int, *, page: str = "page") -> DataFrame:
+    """Rows of the pages from ``first`` to ``last``; files written by page are pruned by it."""
+    return rows.where(F.col(page).between(first, last))
+
+
+def short_documents(rows: DataFrame, doc: list[str], *, pages: str = "pages", most: int = LONGEST_DOCUMENT) -> DataFrame:
+    """Without documents of over ``most`` pages."""
+    return rows.where(F.col(pages) <= most)
+
+
+def page_order(rows: DataFrame, doc: list[str], *, page: str = "page", took: str = "took") -> DataFrame:
+    """``rows`` (a row a page, in any order) with ``place`` (from 1) in their document and ``so_far``, the time up to each page."""
+    w = Window.partitionBy(*doc).orderBy(page)
+    return rows.withColumns({"place": F.row_number().over(w), "so_far": F.sum(took).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+
+
+def shown_and_skipped(words: DataFrame, page: list[str], *, word: str = "word", font: str = r"^[\x{20}-\x{7E}\x{A0}-\x{FF}]*$") -> DataFrame:
+    """page, shown, skipped: words that a font can show (all their characters match ``font``) and words that it can't."""
+    ok = F.col(word).rlike(font)
+    return words.groupBy(*page).agg(F.count_if(ok).alias("shown"), F.count_if(~ok).alias("skipped"))
 
 
 def page_lines(docs: DataFrame, *, per_page: int = LINES_PER_PAGE) -> DataFrame:

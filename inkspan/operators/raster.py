@@ -1,12 +1,13 @@
-"""Raster kernels in numpy, and their wrappers over pixel rows grouped by page.
+"""Raster kernels in numpy, and their application to pages that are one row each.
 
-A page is one group: its size is bounded by the scanner, and pages are many, so
-the groups spread over the cluster.
+A page's picture is one binary value: its size is bounded by the scanner, and
+pages are many. Kernels run where the page is; no pixel is ever shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +133,8 @@ def levels(gray: np.ndarray, tile: int = TILE, share: float = SHARE) -> np.ndarr
     return out
 
 
-def flatten_background(gray: np.ndarray, tile: int = TILE, share: float = SHARE) -> np.ndarray:
+def background_surface(gray: np.ndarray, tile: int = TILE, share: float = SHARE) -> np.ndarray:
+    """Background level of each pixel, between its own tile's level and the next ones'."""
     b = levels(gray, tile, share)
 
     def ends(n: int, m: int):
@@ -144,7 +146,12 @@ def flatten_background(gray: np.ndarray, tile: int = TILE, share: float = SHARE)
     y0, y1, fy = y0[:, None], y1[:, None], fy[:, None]
     top = b[y0, x0] * (tile - fx) + b[y0, x1] * fx
     bottom = b[y1, x0] * (tile - fx) + b[y1, x1] * fx
-    surface = (top * (tile - fy) + bottom * fy) // (tile * tile)
+    return (top * (tile - fy) + bottom * fy) // (tile * tile)
+
+
+def flatten_background(gray: np.ndarray, tile: int = TILE, share: float = SHARE) -> np.ndarray:
+    """Each pixel by its background level, 255 at most; a level of 0 changes nothing."""
+    surface = background_surface(gray, tile, share)
     return np.where(surface == 0, gray, np.minimum(255, gray * 255 // np.maximum(1, surface)))
 
 
@@ -158,56 +165,124 @@ def otsu(gray: np.ndarray) -> int:
     return int(var.argmax()) if var.max() > 0 else 0
 
 
-def inpaint(gray: np.ndarray, ink: np.ndarray, radius: int = 3) -> np.ndarray:
-    """Ink replaced by the nearest background value of two sweeps of city-block distance; white beyond ``radius`` (0: no bound).
+def nearest_background(gray: np.ndarray, ink: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance (city blocks) and value of the nearest pixel that isn't ink, by two sweeps.
 
     Each sweep looks along columns first and rows second, forward then backward.
+    Along a row what reaches a pixel is a running minimum of distance less place;
+    its source is the last place at which that minimum is its own.
     """
     h, w = gray.shape
     far = 1 << 29
     dist = np.where(ink, far, 0).astype(np.int64)
     color = gray.copy()
-    for ys, xs, step in ((range(h), range(w), -1), (range(h - 1, -1, -1), range(w - 1, -1, -1), 1)):
+    places = np.arange(w)
+    for ys, step, turn in ((range(h), -1, slice(None)), (range(h - 1, -1, -1), 1, slice(None, None, -1))):
         for y in ys:
             if 0 <= y + step < h:
                 better = dist[y + step] + 1 < dist[y]
                 dist[y][better] = dist[y + step][better] + 1
                 color[y][better] = color[y + step][better]
-            d, c = dist[y], color[y]
-            for x in xs:
-                if 0 <= x + step < w and d[x + step] + 1 < d[x]:
-                    d[x], c[x] = d[x + step] + 1, c[x + step]
+            d, c = dist[y][turn], color[y][turn]
+            lead = d - places
+            least = np.minimum.accumulate(lead)
+            source = np.maximum.accumulate(np.where(lead <= least, places, 0))
+            dist[y][turn], color[y][turn] = least + places, c[source]
+    return dist, color
+
+
+def inpaint(gray: np.ndarray, ink: np.ndarray, radius: int = 3) -> np.ndarray:
+    """Ink replaced by the nearest background value; white beyond ``radius`` (0: no bound)."""
+    dist, color = nearest_background(gray, ink)
     return np.where(dist == 0, gray, np.where((radius > 0) & (dist > radius), 255, color))
 
 
-def _raster(t: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x, y = t["x"].to_numpy(), t["y"].to_numpy()
-    out = np.zeros((y.max() + 1, x.max() + 1), np.int64)
-    out[y, x] = t[value].cast(pa.int64()).to_numpy()
-    return out, x, y
+def changed_share(before: np.ndarray, after: np.ndarray, mask: np.ndarray) -> float:
+    """Share of the mask's pixels that differ; 0 of no mask."""
+    return float((before != after)[mask].mean()) if mask.any() else 0.0
+
+
+def to_rgb(image: np.ndarray) -> np.ndarray:
+    """Gray and three-channel pictures as they are; of four channels the first three over black by the fourth; else the first three times."""
+    if image.ndim == 2 or image.shape[2] in (1, 3):
+        return image
+    if image.shape[2] == 4:
+        return (image[..., :3].astype(np.int64) * image[..., 3:] // 255).astype(image.dtype)
+    return np.repeat(image[..., :1], 3, axis=2)
+
+
+def to_gray(image: np.ndarray) -> np.ndarray:
+    """Gray by rounded luminance 0.299, 0.587, 0.114 (other than the integer luma of segmentation); a gray picture as it is."""
+    if image.ndim == 2 or image.shape[2] == 1:
+        return image.reshape(image.shape[:2])
+    return np.floor(to_rgb(image)[..., :3] @ np.array([0.299, 0.587, 0.114]) + 0.5).astype(image.dtype)
+
+
+def draw_pages(rows: DataFrame, page: str, draw: Callable[[int], np.ndarray]) -> DataFrame:
+    """page, width, height, gray (bytes by rows): a picture for each key."""
+    kind = dict(rows.dtypes)[page]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, key in enumerate(b[page].to_pylist()):
+                g = draw(key)
+                yield pa.RecordBatch.from_arrays([b[page].slice(i, 1), pa.array([g.shape[1]], pa.int32()), pa.array([g.shape[0]], pa.int32()), pa.array([g.astype(np.uint8).tobytes()], pa.binary())], names=[page, "width", "height", "gray"])
+
+    return rows.select(page).mapInArrow(run, f"{page} {kind}, width int, height int, gray binary")
+
+
+def map_pages(pages: DataFrame, page: str, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], out: str) -> DataFrame:
+    """page and what ``kernel`` gives for each picture, as columns ``out``; a page is one row, so nothing is shuffled.
+
+    Pictures are read one at a time; how many cross to Python at once is the
+    session's ``spark.sql.execution.arrow.maxRecordsPerBatch``, to be set by
+    their size.
+    """
+    kind = dict(pages.dtypes)[page]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (w, h) in enumerate(zip(b["width"].to_pylist(), b["height"].to_pylist())):
+                found = kernel(np.frombuffer(b["gray"][i].as_buffer(), np.uint8).reshape(h, w).astype(np.int64))
+                n = len(next(iter(found.values())))
+                yield pa.RecordBatch.from_arrays([b[page].take(pa.array(np.full(n, i))), *(pa.array(v) for v in found.values())], names=[page, *found])
+
+    return pages.select(page, "width", "height", "gray").mapInArrow(run, f"{page} {kind}, {out}")
+
+
+def tile_kernel(gray: np.ndarray) -> dict[str, np.ndarray]:
+    found = levels(gray)
+    ty, tx = np.indices(found.shape, np.int32)
+    return {"tx": tx.reshape(-1), "ty": ty.reshape(-1), "level": found.reshape(-1).astype(np.int32)}
+
+
+def tile_levels(pages: DataFrame, page: str) -> DataFrame:
+    """page, tx, ty, level of each tile."""
+    return map_pages(pages, page, tile_kernel, "tx int, ty int, level int")
 
 
-def label_pages(pixels: DataFrame, page: list[str], *, on: str = "on") -> DataFrame:
-    """page, x, y, label of the pixels that are on."""
-    kinds = dict(pixels.dtypes)
+def label_pages(pages: DataFrame, page: str, threshold: int) -> DataFrame:
+    """page, label, area, min_x, min_y of the components of pixels up to ``threshold``."""
 
-    def run(t: pa.Table) -> pa.Table:
-        grid, x, y = _raster(t, on)
-        found = label(grid.astype(bool))[y, x]
-        return t.select([*page, "x", "y"]).append_column("label", pa.array(found)).filter(pa.array(found > 0))
+    def kernel(gray: np.ndarray) -> dict[str, np.ndarray]:
+        found = label(gray <= threshold)
+        y, x = np.nonzero(found)
+        of = found[y, x] - 1
+        n = int(of.max(initial=-1)) + 1
+        low = [np.full(n, 1 << 40), np.full(n, 1 << 40)]
+        np.minimum.at(low[0], of, x), np.minimum.at(low[1], of, y)
+        return {"label": np.arange(1, n + 1), "area": np.bincount(of, minlength=n), "min_x": low[0], "min_y": low[1]}
 
-    return pixels.select(*page, "x", "y", on).groupBy(*page).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (*page, "x", "y")) + ", label long")
+    return map_pages(pages, page, kernel, "label long, area long, min_x long, min_y long")
 
 
-def segment_pages(pixels: DataFrame, page: list[str], *, radius: int = 3) -> DataFrame:
-    """page, threshold, foreground (pixels), background_sum: threshold of the flattened page applied to the raw one, then ink inpainted."""
-    kinds = dict(pixels.dtypes)
+def segment_pages(pages: DataFrame, page: str, *, radius: int = 3) -> DataFrame:
+    """page, threshold, foreground (pixels), background_sum, changed: threshold of the flattened page applied to the raw one, then ink inpainted; ``changed`` is the share of ink that differs after."""
 
-    def run(t: pa.Table) -> pa.Table:
-        gray, _, _ = _raster(t, "gray")
+    def kernel(gray: np.ndarray) -> dict[str, np.ndarray]:
         at = otsu(flatten_background(gray))
         ink = gray <= at
         clean = inpaint(gray, ink, radius)
-        return pa.table({c: t[c].slice(0, 1) for c in page} | {"threshold": [at], "foreground": [int(ink.sum())], "background_sum": [int(clean.sum())]})
+        return {"threshold": np.array([at]), "foreground": np.array([ink.sum()]), "background_sum": np.array([clean.sum()]), "changed": np.array([changed_share(gray, clean, ink)])}
 
-    return pixels.select(*page, "x", "y", "gray").groupBy(*page).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in page) + ", threshold long, foreground long, background_sum long")
+    return map_pages(pages, page, kernel, "threshold long, foreground long, background_sum long, changed double")

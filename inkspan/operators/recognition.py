@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.geometry import unclip_pad
+from inkspan.functions.geometry import rounded, unclip_pad
 
 PROBABILITY, BOX, SIDE = 0.3, 0.6, 3
 
@@ -32,9 +32,23 @@ def component_boxes(pixels: DataFrame, component: list[str]) -> DataFrame:
 
 
 def component_axes(pixels: DataFrame, component: list[str]) -> DataFrame:
-    """component, theta, min_u, max_u, min_v, max_v: the principal axis by population moments, and extents along and across it."""
+    """component, cx, cy, theta, min_u, max_u, min_v, max_v: the principal axis by population moments, and extents along and across it."""
     axis = pixels.groupBy(*component).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y"))).alias("theta"))
     rows = pixels.join(axis, component)
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    rows = rows.select(*component, "theta", (dx * F.cos("theta") + dy * F.sin("theta")).alias("u"), (dy * F.cos("theta") - dx * F.sin("theta")).alias("v"))
-    return rows.groupBy(*component, "theta").agg(F.min("u").alias("min_u"), F.max("u").alias("max_u"), F.min("v").alias("min_v"), F.max("v").alias("max_v"))
+    rows = rows.select(*component, "cx", "cy", "theta", (dx * F.cos("theta") + dy * F.sin("theta")).alias("u"), (dy * F.cos("theta") - dx * F.sin("theta")).alias("v"))
+    return rows.groupBy(*component, "cx", "cy", "theta").agg(F.min("u").alias("min_u"), F.max("u").alias("max_u"), F.min("v").alias("min_v"), F.max("v").alias("max_v"))
+
+
+def elongated(w: Column, h: Column) -> Column:
+    """Whether a component is long enough to be turned upright."""
+    return w > 2 * h
+
+
+def oriented_polygon(pad: Column, scale_x: float, scale_y: float) -> dict[str, Column]:
+    """px, py: corners of each component along its axis, ``pad`` beyond its extents, in the source picture."""
+    u, v = ("min_u", "max_u", "max_u", "min_u"), ("min_v", "min_v", "max_v", "max_v")
+    side = lambda c: F.col(c) + (pad if c.startswith("max") else -pad)
+    x = lambda a, b: rounded((F.col("cx") + side(a) * F.cos("theta") - side(b) * F.sin("theta")) * scale_x).cast("int")
+    y = lambda a, b: rounded((F.col("cy") + side(a) * F.sin("theta") + side(b) * F.cos("theta")) * scale_y).cast("int")
+    return {"px": F.array(*map(x, u, v)), "py": F.array(*map(y, u, v))}

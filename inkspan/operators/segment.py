@@ -1,57 +1,15 @@
-"""Page segmentation over pixel rows (page keys, x, y, gray): background, threshold, foreground."""
+"""Thresholds from histograms of values by page; kernels over whole pictures are in ``raster``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspan.functions.geometry import div, flattened
-
 TILE, SHARE = 64, 0.95
 
 
-def tile_levels(pixels: DataFrame, page: list[str], *, tile: int = TILE, share: float = SHARE) -> DataFrame:
-    """page, tx, ty, level: the smallest gray whose cumulative count reaches ``share`` of the tile's pixels.
-
-    The histogram is pre-aggregated before the shuffle, so a page costs 256
-    rows a tile however fine it was scanned.
-    """
-    at = lambda c: F.floor(F.col(c) / tile).cast("int")
-    hist = pixels.groupBy(*page, at("x").alias("tx"), at("y").alias("ty"), "gray").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*page, "tx", "ty")
-    run = hist.select("*", F.sum("n").over(w.orderBy("gray")).alias("upto"), F.sum("n").over(w).alias("all"))
-    target = F.floor(F.col("all") * share)
-    level = F.when(F.max(target) == 0, 0).otherwise(F.min(F.when(F.col("upto") >= target, F.col("gray"))))
-    return run.groupBy(*page, "tx", "ty").agg(level.cast("int").alias("level"))
-
-
-def normalise_background(pixels: DataFrame, page: list[str], *, tile: int = TILE, share: float = SHARE) -> DataFrame:
-    """``pixels`` with ``background`` and ``flat``: each pixel by the surface between its own tile's level and the next ones'.
-
-    The four levels of a cell are brought together on the table of tiles, a
-    thousandth of the pixels, so that pixels are joined once; past the last
-    tile its own level goes on.
-    """
-    levels = tile_levels(pixels, page, tile=tile, share=share)
-    right, down = Window.partitionBy(*page, "ty").orderBy("tx"), Window.partitionBy(*page, "tx").orderBy("ty")
-    levels = levels.select("*", F.coalesce(F.lead("level").over(right), "level").alias("b10"), F.lead("tx").over(right).isNull().alias("end_x"))
-    levels = levels.select(
-        "*", F.coalesce(F.lead("level").over(down), "level").alias("b01"), F.coalesce(F.lead("b10").over(down), "b10").alias("b11"), F.lead("ty").over(down).isNull().alias("end_y")
-    ).withColumnRenamed("level", "b00")
-    spread = lambda t, end: F.explode(F.when(F.col(end), F.array(t, F.col(t) + 1)).otherwise(F.array(t)))
-    cells = levels.withColumn("cx", spread("tx", "end_x")).withColumn("cy", spread("ty", "end_y")).drop("end_x", "end_y")
-    half = tile // 2
-    cell = lambda c: F.floor((F.col(c) + half) / tile).cast("int")
-    within = lambda c, t: F.least(F.col(c) + half - F.col(t) * tile, F.lit(tile - 1))
-    rows = pixels.withColumns({"cx": cell("x"), "cy": cell("y")}).join(cells, [*page, "cx", "cy"]).withColumns({"fx": within("x", "tx"), "fy": within("y", "ty")})
-    top = F.col("b00") * (tile - F.col("fx")) + F.col("b10") * F.col("fx")
-    bottom = F.col("b01") * (tile - F.col("fx")) + F.col("b11") * F.col("fx")
-    surface = div(top * (tile - F.col("fy")) + bottom * F.col("fy"), F.lit(tile * tile))
-    return rows.withColumn("background", surface).withColumn("flat", flattened(F.col("gray"), F.col("background"))).select(*pixels.columns, "background", "flat")
-
-
 def otsu(pixels: DataFrame, page: list[str], *, value: str = "gray") -> DataFrame:
-    """page, threshold: the first gray of the largest variance between the two sides; 0 where one side is always empty."""
+    """page, threshold: the first value of the largest variance between the two sides; 0 where one side is always empty."""
     hist = pixels.groupBy(*page, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*page)
     upto = w.orderBy("v")
@@ -62,8 +20,3 @@ def otsu(pixels: DataFrame, page: list[str], *, value: str = "gray") -> DataFram
     var = F.when(F.col("wf") > 0, F.col("wb").cast("double") * F.col("wf") * d * d).otherwise(0.0)
     first = run.withColumn("var", var).withColumn("r", F.row_number().over(w.orderBy(F.desc("var"), "v"))).where("r = 1")
     return first.select(*page, F.when(F.col("var") > 0, F.col("v")).otherwise(0).cast("int").alias("threshold"))
-
-
-def binarise(pixels: DataFrame, thresholds: DataFrame, page: list[str], *, value: str = "gray") -> DataFrame:
-    """``pixels`` with ``mask``: 0 (black) at or below the page's threshold, else 255."""
-    return pixels.join(thresholds, page).withColumn("mask", F.when(F.col(value) <= F.col("threshold"), 0).otherwise(255)).drop("threshold")

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions import geometry as G
 from inkspan.functions import text as T
-from inkspan.operators import layout, metrics, recognition, segment
+from inkspan.operators import layout, metrics, raster, recognition, segment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,23 +68,22 @@ def paginate_lines(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, max(page) + 1 AS pages, sum(n) FILTER (page < 10)::BIGINT AS sampled,
-                  floor(sum(n) FILTER (page < 10) / least(max(page) + 1, 10)::DOUBLE * (max(page) + 1))::BIGINT AS estimate
+                  CASE WHEN max(page) < 10 THEN sum(n)::BIGINT ELSE floor(sum(n) FILTER (page < 10) / 10::DOUBLE * (max(page) + 1))::BIGINT END AS estimate
            FROM (SELECT doc_id, page, len({WORDS.format(t="text")}) AS n FROM ({PAGED})) GROUP BY doc_id""")
 def page_word_count_sampled(spark, sf_dir):
     lines = layout.page_lines(read(spark, sf_dir, "documents")).withColumn("n", F.size(T.words(F.col("text"))))
     pages, some = F.max("page") + 1, F.sum(F.when(F.col("page") < 10, F.col("n")))
-    return lines.groupBy("doc_id").agg(pages.alias("pages"), some.alias("sampled"), F.floor(some / F.least(pages, F.lit(10)) * pages).alias("estimate"))
+    return lines.groupBy("doc_id").agg(pages.alias("pages"), some.alias("sampled")).withColumn("estimate", T.sampled_words(F.col("sampled"), F.col("pages")))
 
 
 @query(f"""SELECT doc_id, page, length(t)::INT AS n_chars, sha256(t) AS page_sha FROM (
              SELECT doc_id, page, 'page ' || (page + 1) || chr(10) || '======' || chr(10) || string_agg(array_to_string({WORDS.format(t="text")}, ' ') || ' ', '' ORDER BY line) || chr(10) || chr(10) AS t
              FROM ({PAGED}) GROUP BY doc_id, page)""")
 def text_sink_page(spark, sf_dir):
-    from inkspan.sources.sinks import page_text
+    from inkspan.sources.sinks import line_text
 
     lines = layout.page_lines(read(spark, sf_dir, "documents"))
-    words = lines.select("doc_id", "page", "line", F.posexplode(T.words(F.col("text"))).alias("nth", "word"))
-    out = page_text(words, ["doc_id", "page"], order=["line", "nth"])
+    out = line_text(lines.select("doc_id", "page", "line", T.words(F.col("text")).alias("words")), ["doc_id", "page"])
     return out.select("doc_id", "page", F.length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("page_sha"))
 
 
@@ -139,12 +139,16 @@ def cer_pairs(spark, sf_dir):
     return rows.select("conv_id", "turn", F.levenshtein("r", "h").alias("dist"), F.round(metrics.cer(F.col("r"), F.col("h")), 9).alias("cer"))
 
 
-@query()
+@query(f"""SELECT conv_id, turn, d AS word_distance, round(CASE WHEN n > 0 THEN d / n::DOUBLE WHEN m = 0 THEN 0.0 ELSE 1.0 END, 9) AS wer FROM (
+             SELECT conv_id, turn, len(r) AS n, len(h) AS m,
+                    levenshtein(array_to_string(list_transform(r, lambda w: CASE WHEN list_contains(k, w) THEN chr((2 + list_position(k, w))::INT) ELSE chr(1) END), ''),
+                                array_to_string(list_transform(h, lambda w: CASE WHEN list_contains(k, w) THEN chr((2 + list_position(k, w))::INT) ELSE chr(2) END), ''))::INT AS d
+             FROM (SELECT *, list_sort(list_intersect(r, h)) AS k FROM (SELECT conv_id, turn, {NORMALISED.format(t="ref")} AS r, {NORMALISED.format(t="hyp")} AS h FROM ({TURNS}))))""")
 def wer_pairs(spark, sf_dir):
-    """Word distance is worked out in Arrow batches; a test holds it against the plain table of distances."""
+    """Word distance is worked out in Arrow batches; the SQL makes a sign of each word that both sides hold (125 at most here)."""
     rows = _turns(spark, sf_dir).select("conv_id", "turn", T.normalised_words(F.col("ref")).alias("ref"), T.normalised_words(F.col("hyp")).alias("hyp"))
     out = metrics.word_errors(rows, "ref", "hyp")
-    return out.select("conv_id", "turn", "word_distance", T.ratio(F.col("word_distance"), F.size("ref"), F.size("hyp")).alias("wer"))
+    return out.select("conv_id", "turn", "word_distance", F.round(T.ratio(F.col("word_distance"), F.size("ref"), F.size("hyp")), 9).alias("wer"))
 
 
 @query(f"""SELECT conv_id, turn, round(CASE WHEN len(r) = 0 THEN 1.0 ELSE len(list_filter(r, lambda w: list_contains(h, w))) / len(r)::DOUBLE END, 9) AS recall,
@@ -195,11 +199,14 @@ def line_cluster_anchor(spark, sf_dir):
     return layout.anchored_lines(_glyphs(spark, sf_dir), ["page"]).select("page", "glyph", "line")
 
 
-@query(f"""SELECT page, glyph, row_number() OVER (PARTITION BY page ORDER BY line, x, glyph)::INT AS place FROM (
-             SELECT *, sum(n) OVER (PARTITION BY page ORDER BY y, glyph) AS line FROM (
-               SELECT *, coalesce((y - lag(y) OVER w > 0.5 * lag(height) OVER w)::INT, 0) AS n FROM ({GLYPHS}) WINDOW w AS (PARTITION BY page ORDER BY y, glyph)))""")
+@query(f"""WITH RECURSIVE g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page ORDER BY cy, glyph) AS r FROM (SELECT page, glyph, height, x + width / 2.0::DOUBLE AS cx, y + height / 2.0::DOUBLE AS cy FROM ({GLYPHS}))),
+           f AS (SELECT page, glyph, cx, r, cy AS mid, height AS tall, 0 AS line FROM g WHERE r = 1
+                 UNION ALL
+                 SELECT page, glyph, cx, r, CASE WHEN new THEN cy ELSE mid END, CASE WHEN new THEN height ELSE tall END, line + new::INT
+                 FROM (SELECT g.*, f.mid, f.tall, f.line, abs(g.cy - f.mid) > (g.height + f.tall) / 2.0::DOUBLE / 2 AS new FROM f JOIN g ON g.page = f.page AND g.r = f.r + 1))
+           SELECT page, glyph, row_number() OVER (PARTITION BY page ORDER BY line, cx, glyph)::INT AS place FROM f""")
 def reading_order(spark, sf_dir):
-    return layout.reading_order(_glyphs(spark, sf_dir), ["page"], y="y", x="x", height="height", order="glyph").select("page", "glyph", "place")
+    return layout.reading_order(_glyphs(spark, sf_dir), ["page"], order="glyph").select("page", "glyph", "place")
 
 
 @query("""WITH RECURSIVE g AS MATERIALIZED (SELECT o_custkey AS page, o_orderkey AS crop, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS w,
@@ -254,14 +261,15 @@ def luma_gray(spark, sf_dir):
 PIXELS = "SELECT s_suppkey AS page, i % 150 AS x, i // 150 AS y, ((s_suppkey * 31 + (i % 150) * 7 + (i // 150) * 13 + (i % 150) * (i // 150)) % 200 + (CASE WHEN (i + s_suppkey) % 9 = 0 THEN 0 ELSE 55 END))::BIGINT AS gray FROM supplier, range(15000) t(i)"
 
 
-def _pixels(spark, sf_dir):
-    """A page of 150 x 100 pixels for each supplier; pages are dealt out while they are one row each, so that what goes by page needs no further shuffle."""
-    i, s = F.col("i"), F.col("s_suppkey")
-    x, y = i % 150, F.floor(i / 150)
-    gray = (s * 31 + x * 7 + y * 13 + x * y) % 200 + F.when((i + s) % 9 == 0, 0).otherwise(55)
-    pages = read(spark, sf_dir, "supplier").select("s_suppkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
-    rows = pages.select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(14999))).alias("i"))
-    return rows.select(s.alias("page"), x.cast("long").alias("x"), y.cast("long").alias("y"), gray.cast("long").alias("gray"))
+def _draw(key: int) -> np.ndarray:
+    y, x = np.indices((100, 150))
+    return (key * 31 + x * 7 + y * 13 + x * y) % 200 + np.where((x + 150 * y + key) % 9 == 0, 0, 55)
+
+
+def _rasters(spark, sf_dir):
+    """A picture of 150 x 100 pixels for each supplier; pages are dealt out while they are keys, and stay one row each."""
+    pages = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page")
+    return raster.draw_pages(pages, "page", _draw)
 
 
 LEVELS = f"""SELECT page, tx, ty, CASE WHEN max(floor(a * 0.95)) = 0 THEN 0 ELSE min(gray) FILTER (upto >= floor(a * 0.95)) END::INT AS level FROM (
@@ -271,7 +279,7 @@ LEVELS = f"""SELECT page, tx, ty, CASE WHEN max(floor(a * 0.95)) = 0 THEN 0 ELSE
 
 @query(LEVELS)
 def tile_background_level(spark, sf_dir):
-    return segment.tile_levels(_pixels(spark, sf_dir), ["page"])
+    return raster.tile_levels(_rasters(spark, sf_dir), "page")
 
 
 FLAT = f"""SELECT page, x, y, gray, background, CASE WHEN background = 0 THEN gray ELSE least(255, gray * 255 // background) END::BIGINT AS flat FROM (
@@ -284,8 +292,12 @@ FLAT = f"""SELECT page, x, y, gray, background, CASE WHEN background = 0 THEN gr
 
 @query(f"WITH lv AS MATERIALIZED ({LEVELS}) SELECT page, sum(background)::BIGINT AS background, sum(flat)::BIGINT AS flat, sum(flat * (x + 3 * y))::BIGINT AS mix FROM ({FLAT}) GROUP BY page")
 def normalize_pixels(spark, sf_dir):
-    rows = segment.normalise_background(_pixels(spark, sf_dir), ["page"])
-    return rows.groupBy("page").agg(F.sum("background").alias("background"), F.sum("flat").alias("flat"), F.sum(F.col("flat") * (F.col("x") + 3 * F.col("y"))).alias("mix"))
+    def kernel(gray):
+        flat = raster.flatten_background(gray)
+        y, x = np.indices(gray.shape)
+        return {"background": np.array([raster.background_surface(gray).sum()]), "flat": np.array([flat.sum()]), "mix": np.array([(flat * (x + 3 * y)).sum()])}
+
+    return raster.map_pages(_rasters(spark, sf_dir), "page", kernel, "background long, flat long, mix long")
 
 
 def _otsu_sql(rows: str, value: str) -> str:
@@ -304,17 +316,25 @@ def otsu_threshold(spark, sf_dir):
 
 @query(f"WITH t AS ({_otsu_sql(PIXELS, 'gray')}) SELECT page, round(avg((gray <= threshold)::INT), 9) AS foreground FROM ({PIXELS}) JOIN t USING (page) GROUP BY page")
 def binarize_fraction(spark, sf_dir):
-    rows = _pixels(spark, sf_dir)
-    return segment.binarise(rows, segment.otsu(rows, ["page"]), ["page"]).groupBy("page").agg(F.round(F.avg((F.col("mask") == 0).cast("int")), 9).alias("foreground"))
+    def kernel(gray):
+        return {"foreground": np.array([round(float((gray <= raster.otsu(gray)).mean()), 9)])}
+
+    return raster.map_pages(_rasters(spark, sf_dir), "page", kernel, "foreground double")
 
 
 BLOBS = f"SELECT page, (x // 30 + 5 * (y // 25))::BIGINT AS label, x, y, gray / 255.0::DOUBLE AS p FROM ({PIXELS}) WHERE gray > 76 AND (x % 30) < 5 + page % 20 AND y % 25 > 3"
 
 
 def _blobs(spark, sf_dir):
+    """The pixels that components may be made of, and only these, as rows."""
+
+    def kernel(gray):
+        y, x = np.nonzero(gray > 76)
+        return {"x": x, "y": y, "p": gray[y, x] / 255.0}
+
     x, y = F.col("x"), F.col("y")
-    rows = _pixels(spark, sf_dir).where((F.col("gray") > 76) & (x % 30 < 5 + F.col("page") % 20) & (y % 25 > 3))
-    return rows.select("page", (F.floor(x / 30) + 5 * F.floor(y / 25)).cast("long").alias("label"), "x", "y", (F.col("gray") / 255.0).alias("p"))
+    rows = raster.map_pages(_rasters(spark, sf_dir), "page", kernel, "x long, y long, p double").where((x % 30 < 5 + F.col("page") % 20) & (y % 25 > 3))
+    return rows.select("page", (F.floor(x / 30) + 5 * F.floor(y / 25)).cast("long").alias("label"), "x", "y", "p")
 
 
 @query(f"""SELECT *, floor(area * 1.5 / (2 * (w + h)) + 0.5)::BIGINT AS pad, mean_p >= 0.6 AND w >= 3 AND h >= 3 AS kept FROM (
@@ -365,11 +385,12 @@ def preserve_counts(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", n("<a ").alias("links"), n("<h[1-6]").alias("headings"), n("<img").alias("pictures"))
 
 
-@query("SELECT c_mktsegment, count(*) AS n, CASE WHEN min(c_acctbal) > 0 THEN floor(max(c_acctbal) / min(c_acctbal) * 100) / 100 ELSE 0.0 END AS ratio, CASE WHEN s < 1048576 THEN s ELSE 0 END AS kb FROM (SELECT *, 0 AS s FROM customer) GROUP BY c_mktsegment, s")
+@query("SELECT o_custkey, sum(o_totalprice)::BIGINT AS source, CASE WHEN min(o_totalprice) > 0 THEN floor(max(o_totalprice) / min(o_totalprice) * 100) / 100 ELSE 0.0 END AS ratio FROM (SELECT o_custkey, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE floor(o_totalprice)::BIGINT END AS o_totalprice FROM orders) GROUP BY o_custkey")
 def compression_ratio(spark, sf_dir):
-    """Larger by smaller size, cut to two decimals; 0 unless both are positive."""
-    low, high = F.min("c_acctbal"), F.max("c_acctbal")
-    return read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.when(low > 0, F.floor(high / low * 100) / 100).otherwise(0.0).alias("ratio"), F.lit(0).alias("kb"))
+    """Larger by smaller size, cut to two decimals; 0 unless both are positive. A customer's orders stand for sizes, every 11th unknown."""
+    rows = read(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 11 == 0, 0).otherwise(F.floor("o_totalprice")).alias("size"))
+    low, high = F.min("size"), F.max("size")
+    return rows.groupBy("o_custkey").agg(F.sum("size").alias("source"), F.when(low > 0, F.floor(high / low * 100) / 100).otherwise(0.0).alias("ratio"))
 
 
 @query("""SELECT o_orderpriority, y, round(first_value(s) OVER (PARTITION BY o_orderpriority ORDER BY y) / s, 6) AS speedup, round(n / s, 9) AS per_second
@@ -381,16 +402,18 @@ def speedup(spark, sf_dir):
     return rows.select("o_orderpriority", "y", F.round(first / F.col("s"), 6).alias("speedup"), F.round(F.col("n") / F.col("s"), 9).alias("per_second"))
 
 
-@query(f"""SELECT page, x, y, floor(sum(k * g))::BIGINT AS blurred FROM (
+@query(f"""SELECT page, sum(b)::BIGINT AS total, sum(b * (x + 3 * y))::BIGINT AS mix FROM (SELECT page, x, y, floor(sum(k * g))::BIGINT AS b FROM (
              SELECT p.page, p.x, p.y, d.k, q.gray AS g FROM ({PIXELS}) p, (VALUES (-2, 0.0625::DOUBLE), (-1, 0.25::DOUBLE), (0, 0.375::DOUBLE), (1, 0.25::DOUBLE), (2, 0.0625::DOUBLE)) d(o, k)
-             JOIN ({PIXELS}) q ON q.page = p.page AND q.y = p.y AND q.x = least(149, greatest(0, p.x + d.o))) GROUP BY ALL""")
+             JOIN ({PIXELS}) q ON q.page = p.page AND q.y = p.y AND q.x = least(149, greatest(0, p.x + d.o))) GROUP BY ALL) GROUP BY page""")
 def gaussian_1d(spark, sf_dir):
     """Horizontal pass of a blur with edges clamped: a weighted frame of two pixels to either side."""
-    w = Window.partitionBy("page", "y").orderBy("x")
-    edge = lambda f: f("gray").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    at = lambda o: F.coalesce((F.lag if o < 0 else F.lead)("gray", abs(o)).over(w), edge(F.first if o < 0 else F.last))
-    total = sum((at(o) * k for o, k in ((-2, 0.0625), (-1, 0.25), (1, 0.25), (2, 0.0625))), F.col("gray") * 0.375)
-    return _pixels(spark, sf_dir).select("page", "x", "y", F.floor(total).alias("blurred"))
+    def kernel(gray):
+        wide = np.pad(gray, ((0, 0), (2, 2)), mode="edge")
+        out = np.floor(sum(k * wide[:, i : i + gray.shape[1]] for i, k in enumerate((0.0625, 0.25, 0.375, 0.25, 0.0625)))).astype(np.int64)
+        y, x = np.indices(gray.shape)
+        return {"total": np.array([out.sum()]), "mix": np.array([(out * (x + 3 * y)).sum()])}
+
+    return raster.map_pages(_rasters(spark, sf_dir), "page", kernel, "total long, mix long")
 
 
 @query("SELECT p_partkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.0f KB', floor(n / 1024.0 + 0.5)) ELSE printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) END AS size, CASE WHEN trim(o) <> '' THEN o || ' -> ' || p_brand ELSE p_brand END AS producer FROM (SELECT *, p_partkey * p_partkey * 37 AS n, CASE WHEN p_size % 2 = 0 THEN p_type ELSE ' ' END AS o FROM part)")
@@ -403,23 +426,44 @@ def names_and_sizes(spark, sf_dir):
 @query()
 def connected_components(spark, sf_dir):
     """Components of dark pixels by page, numbered by first appearance; a test holds them against a flood fill."""
-    from inkspan.operators.raster import label_pages
-
-    rows = _pixels(spark, sf_dir)
-    return label_pages(rows.withColumn("on", F.col("gray") <= 90), ["page"]).groupBy("page", "label").agg(F.count("*").alias("area"), F.min("x").alias("min_x"), F.min("y").alias("min_y"))
+    return raster.label_pages(_rasters(spark, sf_dir), "page", 90)
 
 
 @query()
 def segment_raster(spark, sf_dir):
-    """Whole-page kernel: normalise, threshold, mask and inpaint; its mask equals the native operators'."""
-    from inkspan.operators.raster import segment_pages
+    """Whole-page kernel: normalise, threshold, mask and inpaint; a test holds it against the plain rules."""
+    return raster.segment_pages(_rasters(spark, sf_dir), "page")
+
 
-    return segment_pages(_pixels(spark, sf_dir), ["page"])
+@query(f"""WITH p AS MATERIALIZED ({PIXELS}), near AS (
+             SELECT a.page, a.x, a.y, coalesce(min(abs(o.dx) + abs(o.dy)) FILTER (b.gray > 90), 4) AS d
+             FROM (SELECT * FROM p WHERE gray <= 90) a, (SELECT i::BIGINT AS dx, j::BIGINT AS dy FROM range(-3, 4) t(i), range(-3, 4) u(j) WHERE abs(i) + abs(j) <= 3) o
+             LEFT JOIN p b ON b.page = a.page AND b.x = a.x + o.dx AND b.y = a.y + o.dy GROUP BY ALL)
+           SELECT page, count(*) AS ink, count(*) FILTER (d = 1) AS one, count(*) FILTER (d = 2) AS two, count(*) FILTER (d = 3) AS three, count(*) FILTER (d > 3) AS farther FROM near GROUP BY page""")
+def inpaint_distance(spark, sf_dir):
+    """How far each page's ink is from the background that fills it; what is farther than the radius is filled white."""
+    def kernel(gray):
+        ink = gray <= 90
+        d = raster.nearest_background(gray, ink)[0][ink]
+        n = np.bincount(np.minimum(d, 4), minlength=5)
+        return {k: np.array([v]) for k, v in zip(("ink", "one", "two", "three", "farther"), (len(d), *n[1:]))}
+
+    return raster.map_pages(_rasters(spark, sf_dir), "page", kernel, "ink long, one long, two long, three long, farther long").where("ink > 0")
+
+
+@query(f"""WITH lv AS MATERIALIZED ({LEVELS}) SELECT page, count(*) AS ink, round(avg((flat <> gray)::INT), 9) AS changed FROM ({FLAT}) WHERE gray <= 90 GROUP BY page""")
+def changed_under_mask(spark, sf_dir):
+    """Share of each page's ink that flattening changes."""
+    def kernel(gray):
+        ink = gray <= 90
+        return {"ink": np.array([ink.sum()]), "changed": np.array([round(raster.changed_share(gray, raster.flatten_background(gray), ink), 9)])}
+
+    return raster.map_pages(_rasters(spark, sf_dir), "page", kernel, "ink long, changed double").where("ink > 0")
 
 
 @query()
 def pdf_sink(spark, sf_dir):
-    """A searchable document for each benchmark text: its bytes' hash, and the words that reading it back gives."""
+    """A searchable document for each benchmark text, and the words that reading it back gives."""
     from inkspan.sources.pdf import pdf_documents, pdf_words
 
     docs = pdf_documents(_boxes(spark, sf_dir), "item_id")
@@ -475,11 +519,12 @@ def char_blocks(spark, sf_dir):
              JOIN p d ON d.page = a.page AND d.x = least(149, a.x + 1) AND d.y = least(99, a.y + 1)) a GROUP BY a.page""")
 def bilinear_sample(spark, sf_dir):
     """Each page sampled a quarter of a pixel to the right and half a pixel down, edges clamped."""
-    after = lambda c, *by: F.coalesce(F.lead(c).over(Window.partitionBy("page", by[0]).orderBy(by[1])), c)
-    rows = _pixels(spark, sf_dir).withColumn("right", after("gray", "y", "x"))
-    rows = rows.withColumns({"below": after("gray", "x", "y"), "across": after("right", "x", "y")})
-    v = G.bilinear(F.col("gray"), F.col("right"), F.col("below"), F.col("across"), F.lit(0.25), F.lit(0.5))
-    return rows.select("page", "x", "y", v.alias("v")).groupBy("page").agg(F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("x") + 3 * F.col("y"))).alias("mix"))
+    def kernel(gray):
+        y, x = np.indices(gray.shape)
+        out = raster.bilinear(gray, x + 0.25, y + 0.5)
+        return {"total": np.array([out.sum()]), "mix": np.array([(out * (x + 3 * y)).sum()])}
+
+    return raster.map_pages(_rasters(spark, sf_dir), "page", kernel, "total long, mix long")
 
 
 @query(r"""SELECT page_id, length(t)::INT AS n_chars, sha256(t) AS body_sha FROM (
@@ -516,3 +561,105 @@ def pdf_preserve(spark, sf_dir):
     k = F.col("item_id").cast("int")
     docs = made.withColumns({"producer": F.concat(F.lit("bench"), k % 3), "outlines": k % 4 + 1, "notes": k % 5, "files": k % 2})
     return preserved(with_elements(docs, "item_id"), "item_id").drop("content")
+
+
+@query("""SELECT k AS code, (k BETWEEN 19968 AND 40959 OR k BETWEEN 12352 AND 12447 OR k BETWEEN 12448 AND 12543 OR k BETWEEN 44032 AND 55215 OR k BETWEEN 13312 AND 19903) AS cjk
+          FROM (SELECT CASE WHEN p_partkey % 5 = 0 THEN 63744 + p_partkey % 700 ELSE 12200 + p_partkey * 37 % 43000 END AS k FROM part)""")
+def cjk_words(spark, sf_dir):
+    """Words with one sign of many planes: which call for a CJK baseline; compatibility ideographs don't."""
+    k = F.col("p_partkey")
+    code = F.when(k % 5 == 0, 63744 + k % 700).otherwise(12200 + k * 37 % 43000)
+    word = F.concat(F.lit("a"), F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
+    return read(spark, sf_dir, "part").select(code.alias("code"), T.is_cjk(word).alias("cjk"))
+
+
+@query("""SELECT page_id, count(*) AS glyphs, count(*) FILTER (trim(g, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) <> '') AS visible FROM (SELECT page_id, unnest(string_split(html, '')) AS g FROM pages) GROUP BY page_id""")
+def blank_glyphs(spark, sf_dir):
+    """Glyphs of a page with and without blank ones; each sign of a web page stands for a glyph."""
+    glyphs = read(spark, sf_dir, "pages").select("page_id", F.explode(F.split("html", "")).alias("text"))
+    seen = layout.visible_glyphs(glyphs).groupBy("page_id").agg(F.count("*").alias("visible"))
+    return glyphs.groupBy("page_id").agg(F.count("*").alias("glyphs")).join(seen, "page_id", "left").select("page_id", "glyphs", F.coalesce("visible", F.lit(0)).alias("visible"))
+
+
+@query(f"SELECT doc_id, page, count(*) AS n_lines FROM ({PAGED}) WHERE page BETWEEN 1 AND 2 GROUP BY ALL")
+def requested_pages(spark, sf_dir):
+    """Only the pages asked for: the second and the third."""
+    return layout.of_pages(layout.page_lines(read(spark, sf_dir, "documents")), 1, 2).groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"))
+
+
+@query(f"SELECT doc_id, (max(page) + 1)::INT AS pages FROM ({PAGED}) GROUP BY doc_id HAVING max(page) + 1 <= 30")
+def short_documents(spark, sf_dir):
+    """Documents of 30 pages at most."""
+    pages = layout.page_lines(read(spark, sf_dir, "documents")).groupBy("doc_id").agg((F.max("page") + 1).alias("pages"))
+    return layout.short_documents(pages, ["doc_id"])
+
+
+@query("""SELECT conv_id, turn, place, so_far FROM (SELECT conv_id, turn, row_number() OVER w::INT AS place, (sum(length(coalesce(text, ''))) OVER (w ROWS UNBOUNDED PRECEDING))::BIGINT AS so_far FROM (SELECT DISTINCT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, text) = 1) WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""".replace("row_number() OVER w::INT", "(row_number() OVER w)::INT"))
+def restored_page_order(spark, sf_dir):
+    """Pages worked on in any order, put back; the time that each took adds up. A conversation's turns stand for pages, their length for time."""
+    first = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    rows = read(spark, sf_dir, "conversations").withColumn("n", first).where("n = 1").withColumn("took", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    return layout.page_order(rows, ["conv_id"], page="turn").select("conv_id", "turn", "place", "so_far")
+
+
+@query(f"""SELECT doc_id, count(*) FILTER (regexp_full_match(w, '[\\x{{{{20}}}}-\\x{{{{7E}}}}\\x{{{{A0}}}}-\\x{{{{FF}}}}]*')) AS shown, count(*) FILTER (NOT regexp_full_match(w, '[\\x{{{{20}}}}-\\x{{{{7E}}}}\\x{{{{A0}}}}-\\x{{{{FF}}}}]*')) AS skipped
+           FROM (SELECT doc_id, unnest({WORDS.format(t="text")}) AS w FROM documents) GROUP BY doc_id""".replace("{{", "{").replace("}}", "}"))
+def skipped_glyphs(spark, sf_dir):
+    """Words that a font of Latin signs can show, and those that it must skip."""
+    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("word"))
+    return layout.shown_and_skipped(words, ["doc_id"])
+
+
+@query("""SELECT n_nationkey, (starts_with(l, 'chi') OR starts_with(l, 'jpn') OR starts_with(l, 'kor') OR contains(l, 'cjk')) AS cjk,
+                 CASE WHEN n_nationkey % 4 = 0 THEN 'no pages' WHEN n_nationkey % 2 = 0 AND n_nationkey % 3 = 0 THEN 'no text to keep; recognise it first' END AS stopped
+          FROM (SELECT n_nationkey, lower(CASE n_nationkey % 4 WHEN 0 THEN 'chi_sim' WHEN 1 THEN 'Kor' WHEN 2 THEN 'x-CJK' ELSE n_name END) AS l FROM nation)""")
+def guards_and_languages(spark, sf_dir):
+    """What stops a document, and whether its language calls for a CJK font."""
+    k = F.col("n_nationkey")
+    language = F.when(k % 4 == 0, "chi_sim").when(k % 4 == 1, "Kor").when(k % 4 == 2, "x-CJK").otherwise(F.col("n_name"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", T.is_cjk_language(language).alias("cjk"), T.guard(k % 3, k % 4, k % 2 == 0).alias("stopped"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'default' END AS value, CASE WHEN n_nationkey % 2 = 0 THEN '-p|-s|' || n_name ELSE '-p|-s' END AS flags,
+                 CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE '<rdf:Description rdf:about="">' || n_name || '</rdf:Description>' END AS first
+          FROM nation""")
+def settings_and_flags(spark, sf_dir):
+    """A setting or its default, an outside program's flags, and the first of several descriptions."""
+    from inkspan.plans.settings import setting
+
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    settings = F.create_map(F.when(k % 3 == 0, "key").otherwise("other"), name)
+    flags = F.concat(F.lit(" -p  -b out -s -b"), F.when(k % 2 == 0, F.concat(F.lit(" x "), F.regexp_replace(name, " ", ""))).otherwise(""))
+    about = F.concat(F.lit('<rdf:Description rdf:about="">'), name, F.lit("</rdf:Description>"))
+    xmp = F.when(k % 5 == 0, F.lit("<x/>")).otherwise(F.concat(F.lit("<rdf:RDF>"), about, F.lit('<rdf:Description rdf:about="b"/></rdf:RDF>')))
+    return read(spark, sf_dir, "nation").select("n_nationkey", setting(settings, F.lit("key"), F.lit("default")).alias("value"), F.array_join(T.program_flags(flags), "|").alias("flags"), T.first_description(xmp).alias("first"))
+
+
+@query(f"SELECT item_id, nth, word FROM (SELECT item_id, unnest(range(len(w)))::INT AS nth, unnest(w) AS word FROM (SELECT item_id, string_split(text || chr(10) || chr(34) || chr(92) || chr(9), ' ') AS w FROM benchmark))")
+def truth_json(spark, sf_dir):
+    """Ground truth as JSON, with signs that must be escaped, read back."""
+    from inkspan.sources.readers import TRUTH
+    from inkspan.sources.sinks import truth_json as written
+
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("source"), F.lit("t").alias("title"), F.lit(1).alias("page"), F.split(F.concat("text", F.lit('\n"\\\t')), " ").alias("words"))
+    back = written(rows).select(F.from_json("json", TRUTH).alias("t"))
+    return back.select(F.col("t.source").cast("long").alias("item_id"), F.posexplode(F.col("t.pages")[0]["words"]).alias("nth", "word"))
+
+
+@query("SELECT p_partkey, floor(0.299::DOUBLE * (p_partkey % 256) + 0.587::DOUBLE * (p_partkey * 7 % 256) + 0.114::DOUBLE * (p_size * 5 % 256) + 0.5)::BIGINT AS gray FROM part")
+def library_gray(spark, sf_dir):
+    """Gray of recognition's input, by luminance; segmentation has its own integer luma."""
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select("p_partkey", G.luminance(k % 256, k * 7 % 256, F.col("p_size") * 5 % 256).alias("gray"))
+
+
+@query(f"""WITH b AS MATERIALIZED ({BLOBS}), a AS MATERIALIZED (SELECT page, label, avg(x) AS cx, avg(y) AS cy, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS t FROM b GROUP BY ALL HAVING max(x) - min(x) + 1 > 2 * (max(y) - min(y) + 1)),
+           e AS (SELECT page, label, cx, cy, t, min((x - cx) * cos(t) + (y - cy) * sin(t)) - 2 AS u0, max((x - cx) * cos(t) + (y - cy) * sin(t)) + 2 AS u1, min((y - cy) * cos(t) - (x - cx) * sin(t)) - 2 AS v0, max((y - cy) * cos(t) - (x - cx) * sin(t)) + 2 AS v1 FROM b JOIN a USING (page, label) GROUP BY ALL)
+           SELECT page, label, floor((cx + u0 * cos(t) - v0 * sin(t)) * 2.3::DOUBLE + 0.5)::INT AS x0, floor((cy + u0 * sin(t) + v0 * cos(t)) * 1.7::DOUBLE + 0.5)::INT AS y0, floor((cx + u1 * cos(t) - v1 * sin(t)) * 2.3::DOUBLE + 0.5)::INT AS x2, floor((cy + u1 * sin(t) + v1 * cos(t)) * 1.7::DOUBLE + 0.5)::INT AS y2 FROM e""")
+def oriented_polygons(spark, sf_dir):
+    """Corners of components more than twice as wide as high, turned along their axis."""
+    blobs = _blobs(spark, sf_dir)
+    long_ = recognition.component_boxes(blobs, ["page", "label"]).where(recognition.elongated(F.col("w"), F.col("h"))).select("page", "label")
+    box = recognition.oriented_polygon(F.lit(2), 2.3, 1.7)
+    rows = recognition.component_axes(blobs.join(long_, ["page", "label"], "left_semi"), ["page", "label"])
+    return rows.select("page", "label", *(box["px" if c[0] == "x" else "py"][int(c[1])].alias(c) for c in ("x0", "y0", "x2", "y2")))

@@ -17,12 +17,30 @@ def overlay(*columns: str) -> Column:
     return F.coalesce(*columns)
 
 
+def setting(settings: Column, key: Column, default: Column) -> Column:
+    """A map's value, or the default where it has none."""
+    return F.coalesce(F.try_element_at(settings, key), default)
+
+
 def strip_comments(text: str) -> str:
     """JSON text without // and /* */ outside its strings."""
     return re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
 
 
+_ENTRY = re.compile(r'\s*("(?:\\.|[^"\\])*")\s*:\s*("(?:\\.|[^"\\])*"|true|false|null|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*(,|\}|\Z)', re.S)
+
+
+def read_object(text: str) -> dict:
+    """Entries of a flat JSON object up to the first that can't be read."""
+    out, at = {}, m.end() if (m := re.match(r"\s*\{", text)) else len(text)
+    while m := _ENTRY.match(text, at):
+        out[json.loads(m[1], strict=False)] = json.loads(m[2], strict=False)
+        at = m.end()
+        if m[3] != ",":
+            break
+    return out
+
+
 def load(text: str | None, cli: dict | None = None) -> dict:
     """Settings of a file's text (none: no file) over the defaults, and the command line's over both."""
-    own = json.loads(strip_comments(text)) if text and text.strip() else {}
-    return DEFAULTS | own | {k: v for k, v in (cli or {}).items() if v is not None}
+    return DEFAULTS | read_object(strip_comments(text or "")) | {k: v for k, v in (cli or {}).items() if v is not None}

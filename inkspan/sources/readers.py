@@ -33,9 +33,9 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return parse_tsv(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path")), keep=["path"])
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """source, title, page, words: a row a page."""
-    rows = spark.read.schema(TRUTH).option("multiLine", True).json(path)
+def read_truth(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """source, title, page, words: a row a page; a file holds one source's truth, or with ``lines`` one's on each line."""
+    rows = spark.read.schema(TRUTH).option("multiLine", not lines).json(path)
     return rows.select("source", "title", F.explode("pages").alias("p")).select("source", "title", "p.page", "p.words")
 
 
@@ -54,12 +54,18 @@ def read_dictionary(spark: SparkSession, paths: list[str]) -> list[str]:
     return ["", " "]
 
 
-def read_pictures(spark: SparkSession, path: str) -> DataFrame:
-    """path, content of files with a picture's extension."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def read_pictures(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFrame:
+    """path, content of files with a picture's extension whose name matches ``pattern``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*PICTURES)).select("path", "content")
 
 
+def read_rasters(spark: SparkSession, path: str, *, pattern: str = "*") -> DataFrame:
+    """path, width, height, channels, pixels (blue, green, red) of pictures that Spark's image source decodes; what it can't is left out."""
+    files = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
+
+
 def resolution(content: bytes) -> float | None:
     """Dots an inch by a PNG's, JPEG's, BMP's or TIFF's own header; None if it tells none."""
     try:

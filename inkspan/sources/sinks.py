@@ -22,6 +22,21 @@ def box_json(boxes: DataFrame, page: list[str], *, order: str) -> DataFrame:
     return boxes.groupBy(*page).agg(F.to_json(out).alias("json"))
 
 
+def truth_json(pages: DataFrame) -> DataFrame:
+    """source, json: ground truth of each source from rows source, title, page, words (an array)."""
+    of = pages.groupBy("source").agg(F.min("title").alias("title"), F.array_sort(F.collect_list(F.struct("page", "words"))).alias("pages"))
+    return of.select("source", F.to_json(F.struct("source", "title", "pages")).alias("json"))
+
+
+def line_text(lines: DataFrame, page: list[str], *, order: str = "line", words: str = "words") -> DataFrame:
+    """As ``page_text``, from arrays of words by line: words are joined where the line is, so a page gathers its lines only."""
+    line = F.when(F.size(words) > 0, F.concat(F.array_join(words, " "), F.lit(" "))).otherwise("")
+    rows = lines.select(*page, F.col(order).alias("_o"), line.alias("_l"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_l"))), lambda s: s["_l"]), "")
+    head = F.concat(F.lit(PAGE_HEAD), (F.col(page[-1]) + 1).cast("string"), F.lit(RULE))
+    return rows.groupBy(*page).agg(ordered.alias("_t")).select(*page, F.concat(head, "_t", F.lit("\n\n")).alias("text"))
+
+
 def write_text(pages: DataFrame, path: str) -> None:
     """One text file a partition; the writer's own line feed is each page's last."""
     pages.select(F.regexp_replace("text", r"\n\z", "").alias("value")).write.text(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inkspan.functions import geometry as G
 from inkspan.functions import text as T
 from inkspan.operators import layout, metrics, raster, recognition, segment
-from inkspan.plans.queries import QUERIES, _pixels
+from inkspan.plans.queries import QUERIES, _draw, _rasters
 
 
 def one(spark, *cols):
@@ -133,14 +133,83 @@ def test_inpaint():
     assert raster.inpaint(gray, gray < 100, 1)[4, 4] == 255
 
 
-def test_kernels_equal_native_operators(spark, tiny):
-    rows = _pixels(spark, tiny).where("page <= 3")
-    kernel = {r.page: r for r in raster.segment_pages(rows, ["page"]).collect()}
-    flat = segment.normalise_background(rows, ["page"]).withColumn("raw", F.col("gray"))
-    at = segment.otsu(flat, ["page"], value="flat")
-    native = segment.binarise(rows, at, ["page"]).groupBy("page").agg(F.count_if(F.col("mask") == 0).alias("n")).collect()
-    assert {r.page: r.threshold for r in at.collect()} == {p: k.threshold for p, k in kernel.items()}
-    assert {r.page: r.n for r in native} == {p: k.foreground for p, k in kernel.items()}
+def nearest_plainly(ink):
+    """City-block distance to the nearest pixel that isn't ink, by looking at all of them."""
+    ys, xs = np.nonzero(~ink)
+    return np.array([[min((abs(y - a) + abs(x - b) for a, b in zip(ys, xs)), default=1 << 29) for x in range(ink.shape[1])] for y in range(ink.shape[0])])
+
+
+def swept(gray, ink):
+    """The two sweeps, pixel by pixel."""
+    h, w = gray.shape
+    d, c = np.where(ink, 1 << 29, 0), gray.copy()
+    for ys, xs, step in ((range(h), range(w), -1), (range(h - 1, -1, -1), range(w - 1, -1, -1), 1)):
+        for y in ys:
+            for x in xs:
+                if 0 <= y + step < h and d[y + step, x] + 1 < d[y, x]:
+                    d[y, x], c[y, x] = d[y + step, x] + 1, c[y + step, x]
+            for x in xs:
+                if 0 <= x + step < w and d[y, x + step] + 1 < d[y, x]:
+                    d[y, x], c[y, x] = d[y, x + step] + 1, c[y, x + step]
+    return d, c
+
+
+def test_nearest_background():
+    rng = np.random.default_rng(1)
+    for p in (0.2, 0.6, 0.95):
+        gray = rng.integers(0, 256, (17, 23))
+        ink = rng.random(gray.shape) < p
+        d, c = raster.nearest_background(gray, ink)
+        assert (d == nearest_plainly(ink)).all() and (d == swept(gray, ink)[0]).all() and (c == swept(gray, ink)[1]).all()
+
+
+def test_segmented_pages(spark, tiny):
+    """Threshold of the flattened page, applied to the raw one; nearly all ink is filled with something else."""
+    pages = _rasters(spark, tiny)
+    for r in raster.segment_pages(pages, "page").collect():
+        gray = _draw(r.page)
+        at = raster.otsu(raster.flatten_background(gray))
+        d, c = swept(gray, gray <= at)
+        assert (r.threshold, r.foreground) == (at, (gray <= at).sum()) and r.changed > 0.5
+        assert r.background_sum == np.where(d == 0, gray, np.where(d > 3, 255, c)).sum()
+    got = {(r.page, r.label): (r.area, r.min_x, r.min_y) for r in QUERIES["connected_components"](spark, tiny).where("page in (1, 2)").collect()}
+    for p in (1, 2):
+        found = flood(_draw(p) <= 90)
+        for k in range(1, found.max() + 1):
+            y, x = np.nonzero(found == k)
+            assert got.pop((p, k)) == (len(x), x.min(), y.min())
+    assert not got
+
+
+def test_pages_without_ink_and_of_one_pixel(spark):
+    pages = raster.draw_pages(spark.createDataFrame([(1,), (2,), (3,)], "page int"), "page", lambda k: np.full((1, 1), 255) if k == 1 else np.full((70, 3), 9 if k == 2 else 200))
+    out = {r.page: r for r in raster.segment_pages(pages, "page").collect()}
+    assert {k: r.threshold for k, r in out.items()} == {1: 0, 2: 0, 3: 0} and out[3].foreground == 0 and out[3].changed == 0.0
+    assert raster.label_pages(pages, "page", 90).collect() == [(2, 1, 210, 0, 0)]
+
+
+def test_colours():
+    rgba = np.array([[[255, 0, 0, 255], [0, 255, 0, 0]]], np.uint8)
+    assert raster.to_rgb(rgba).tolist() == [[[255, 0, 0], [0, 0, 0]]] and raster.to_rgb(rgba[..., 0]).shape == (1, 2)
+    assert raster.to_gray(rgba).tolist() == [[76, 0]] and raster.to_gray(rgba[..., :1]).shape == (1, 2)
+
+
+def test_reading_order_of_a_slanted_page(spark):
+    """Each box is a little lower than the one before it: lines end where the first box is left behind."""
+    rows = [(1, i, 100 - 10 * i, 4 * i, 8, 10) for i in range(6)]
+    out = layout.reading_order(spark.createDataFrame(rows, "page int, box int, x int, y int, width int, height int"), ["page"])
+    assert [r.box for r in out.orderBy("place").collect()] == [1, 0, 3, 2, 5, 4]
+
+
+def test_sampled_words(spark):
+    for pages in range(1, 25):
+        for some in (0, 1, 61, 299):
+            assert one(spark, T.sampled_words(F.lit(some), F.lit(pages)))[0] == (some if pages <= 10 else some * pages // 10)
+
+
+def test_flags(spark):
+    of = lambda s: one(spark, T.program_flags(F.lit(s)))[0]
+    assert of("-p -s") == ["-p", "-s"] and of(" -b x -s  -b") == ["-s"] and of("-b -b -p") == ["-p"] and of("") == []
 
 
 def test_one_valued_page_has_threshold_zero(spark):

@@ -148,3 +148,36 @@ def test_inbox(spark, tmp_path):
     q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_settings_stop_at_the_first_bad_token():
+    from inkspan.plans.settings import DEFAULTS, load
+
+    own = lambda text: {k: v for k, v in load(text).items() if DEFAULTS.get(k) != v}
+    assert own(r'{"dpi": 200, /* finer */ "engine": "a//b", /* x */ "n": null, "s": "\\u00e9\\"", "f": -1.5e2, "t": true}') == {"dpi": 200, "engine": "a//b", "n": None, "s": 'é"', "f": -150.0, "t": True}
+    assert own('{"dpi": 200, "engine": oops, "tile": 5}') == {"dpi": 200} and own('{"dpi": 200 "tile": 5}') == {}
+    assert own("{}") == own("") == own("[1]") == own('{"a') == own(None) == {}
+
+
+def test_pictures_by_pattern_and_decoded(spark, tmp_path):
+    from inkspan.sources.readers import read_pictures, read_rasters
+
+    def png(w, h, rgb):
+        part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(rgb) * w for _ in range(h)))) + part(b"IEND", b"")
+
+    (tmp_path / "a1.png").write_bytes(png(3, 2, (1, 2, 3)))
+    (tmp_path / "b1.png").write_bytes(png(1, 1, (9, 9, 9)))
+    (tmp_path / "a2.png").write_bytes(b"not a picture")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in read_pictures(spark, str(tmp_path), pattern="a*").collect()) == ["a1.png", "a2.png"]
+    (r,) = read_rasters(spark, str(tmp_path), pattern="a*").collect()
+    assert (r.width, r.height, r.channels, bytes(r.pixels)) == (3, 2, 3, bytes((3, 2, 1)) * 6)
+
+
+def test_truth_round_trip(spark, tmp_path):
+    from inkspan.sources.readers import read_truth
+    from inkspan.sources.sinks import truth_json, write_json
+
+    rows = [("s", "t", 2, ["b\\", 'c"']), ("s", "t", 1, ["a\n", "\t", "é"]), ("q", "u", 1, [])]
+    write_json(truth_json(spark.createDataFrame(rows, "source string, title string, page int, words array<string>")), str(tmp_path / "t"))
+    assert sorted(tuple(r) for r in read_truth(spark, str(tmp_path / "t"), lines=True).collect()) == sorted(rows)
