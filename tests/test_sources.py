@@ -154,7 +154,7 @@ def test_settings_stop_at_the_first_bad_token():
     from inkspan.plans.settings import DEFAULTS, load
 
     own = lambda text: {k: v for k, v in load(text).items() if DEFAULTS.get(k) != v}
-    assert own(r'{"dpi": 200, /* finer */ "engine": "a//b", /* x */ "n": null, "s": "\u00e9\"", "f": -1.5e2, "t": true}') == {"dpi": 200, "engine": "a//b", "n": None, "s": 'é"', "f": -150.0, "t": True}
+    assert own(r'{"dpi": 200, /* finer */ "engine": "a//b", /* x */ "n": null, "s": "\u00e9\"", "f": -1.5e2, "t": true}') == {"dpi": 200, "engine": "a//b", "s": 'é"', "f": -150.0, "t": True}
     assert own('{"dpi": 200, "engine": oops, "tile": 5}') == {"dpi": 200} and own('{"dpi": 200 "tile": 5}') == {}
     assert own("{}") == own("") == own("[1]") == own('{"a') == own(None) == {}
 
