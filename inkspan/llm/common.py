@@ -35,6 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Rows of an Arrow batch, at most, while a table is saved.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Lists that ``scratch`` blocks keep of the tables saved within them, innermost last.
 _OPEN: list[list[DataFrame]] = []
 
@@ -43,10 +46,17 @@ def save(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder, read it back.
 
     A lost executor then costs a re-read and never a recomputation, and values
-    that were made while writing stay as they are.
+    that were made while writing stay as they are. Rows cross to Python in
+    batches of ``BATCH_ROWS`` meanwhile, as texts may be long.
     """
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._inkspan_path = path
     if _OPEN:

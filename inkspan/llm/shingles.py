@@ -10,9 +10,13 @@ meets with a probability of 1 - (1 - s**4 - 4 (1 - s) s**3) ** 4 by default:
 0.999 at 0.8.
 
 Rows of equal shingle sets are searched once, keys of equal rows too. A group's
-verified links are given as a spanning forest, never as pairs; a group of over
-``block`` rows or ``WEIGHT`` hashes is dealt into blocks whose pairs are searched
-in tasks of their own. Texts of any length are compared on all their shingles.
+verified links are given as a spanning forest, never as pairs. A group of over
+``block`` rows or ``WEIGHT`` hashes is dealt into blocks that are searched one by
+one, each with the group's first row. What is tied to that row in its own block
+is tied to all others that are, so only rows that aren't are then compared with
+the other blocks, again block by block: a group of near copies costs a pass over
+it, and a group of unlike rows all pairs of its blocks. Texts of any length are
+compared on all their shingles.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.common import forget, save, spread_join
+from inkspan.llm.common import forget, save
 
-BANDS, PLACES, BLOCK, KEEP = 4, 4, 512, None
+BANDS, PLACES, BLOCK, KEEP = 4, 4, 384, None
 #: Hashes that a block of a group holds, about; longer texts make blocks of fewer rows.
 WEIGHT = 1 << 20
 
@@ -105,36 +109,45 @@ def set_forest(sets: list[np.ndarray], levels: np.ndarray, side: np.ndarray | No
 
 
 def _search(similarity: float, kind: type):
+    """Units of rows (key, i, j, rid, side, rep, level, hashes), sorted, to links (a, b), and loose rows (a, key).
+
+    ``rep`` is null in units of a kind that has no loose rows; else it is the
+    row that stands in each block of its group, and what its unit's links don't
+    tie to it is loose.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         group = None
 
-        def links() -> list[tuple[int, int]]:
+        def links() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
-                return []
-            rid, blk, level, raw = zip(*held)
-            side = np.array(blk) if group[1] != group[2] else None
-            found = set_forest([np.frombuffer(x, kind) for x in raw], np.array(level), side, similarity)
-            return [(rid[a], rid[b]) for a, b in found]
+                return
+            rid, side, rep, level, raw = zip(*held)
+            found = set_forest([np.frombuffer(x, kind) for x in raw], np.array(level), np.array(side) if rep[0] is None else None, similarity)
+            loose: list[int] = []
+            if rep[0] is not None and rep[0] >= 0:
+                up = list(range(len(rid)))
+                for x, y in found:  # a forest: its links come in the order in which rows are reached
+                    up[y] = up[x]
+                root = up[rid.index(rep[0])]
+                loose = [r for r, u in zip(rid, up) if u != root]
+            if found or loose:
+                yield _rows([rid[x] for x, _ in found] + loose, [rid[y] for _, y in found] + [None] * len(loose), [None] * len(found) + [group[0]] * len(loose))
 
         for b in batches:
-            out: list[tuple[int, int]] = []
-            for key, i, j, rid, blk, level, raw in zip(*(b[c].to_pylist() for c in ("key", "i", "j", "rid", "at", "level", "hashes"))):
+            for key, i, j, *row in zip(*(b[c].to_pylist() for c in ("key", "i", "j", "rid", "side", "rep", "level", "hashes"))):
                 if (key, i, j) != group:
-                    out += links()
+                    yield from links()
                     held, group = [], (key, i, j)
-                held.append((rid, blk, level, raw))
-            if out:
-                yield _edges(out)
-        if last := links():
-            yield _edges(last)
+                held.append(row)
+        yield from links()
 
     return run
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs)
-    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _rows(a: list, b: list, key: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "key": pa.array(key, pa.int64())})
 
 
 def shingle_links(texts: DataFrame, shingle_hashes, *, words: int = 5, seed: int = 42, similarity: float = 0.8, bands: int = BANDS, places: int = PLACES, block: int = BLOCK, keep: int | None = KEEP, weight: int = WEIGHT, groups: DataFrame | None = None) -> DataFrame:
@@ -159,8 +172,8 @@ def shingle_links(texts: DataFrame, shingle_hashes, *, words: int = 5, seed: int
             yield pa.RecordBatch.from_arrays([b["rid"], pa.array([l for l, _ in found], pa.int32()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["rid", "level", "hashes"])
 
     made = save(texts.select("rid", "text").mapInArrow(sketch, "rid long, whole long, size long, keys array<long>").where(F.col("whole").isNotNull()), "signatures")
-    first, sketched, n = made.groupBy("whole").agg(F.min("rid").alias("rep")), made, made.count()
-    made = save(spread_join(made, first, ["whole"], "rid", n).select("rid", "rep", "size", F.when(F.col("rid") == F.col("rep"), F.col("keys")).alias("keys")), "represented")
+    first, sketched = made.groupBy("whole").agg(F.min("rid").alias("rep")), made
+    made = save(made.join(first, "whole").select("rid", "rep", "size", F.when(F.col("rid") == F.col("rep"), F.col("keys")).alias("keys")), "represented")
     forget(sketched)
     same = made.where("rid <> rep").select(F.col("rep").alias("a"), F.col("rid").alias("b"))
     keyed = made.where("rid = rep").select("rid", "size", F.explode("keys").alias("key"))
@@ -168,16 +181,28 @@ def shingle_links(texts: DataFrame, shingle_hashes, *, words: int = 5, seed: int
         ends = made.select("rid", "rep").join(groups, "rid").select(F.col("rep").alias("rid"), "key").distinct()
         keyed = keyed.unionByName(ends.join(made.select("rid", "size"), "rid"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("held"), F.min("rid").alias("low"), F.bit_xor(F.xxhash64("rid")).alias("mark")).where("n > 1")
-    shared = save(shared.groupBy("n", "held", "low", "mark").agg(F.min("key").alias("key")).select("key", "n", "held"), "shared")
-    members = save(keyed.join(shared, "key").select("key", "n", "held", "rid"), "members")
+    shared = save(shared.groupBy("n", "held", "low", "mark").agg(F.min("key").alias("key")).select("key", "n", "held", "low"), "shared")
+    members = save(keyed.join(shared, "key").select("key", "n", "held", "low", "rid"), "members")
     asked = save(members.select("rid").distinct(), "asked")
     sets = save(texts.join(asked, "rid", "left_semi").select("rid", "text").mapInArrow(thin, "rid long, level int, hashes binary"), "sets")
     blocks = F.least("n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("held") / weight))).cast("int")
-    dealt = (
-        members.withColumn("at", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "rid", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
-    )
-    ready = dealt.join(sets, "rid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    near = save(ready.select("key", "i", "j", "rid", "at", "level", "hashes").mapInArrow(_search(similarity, np.uint64 if keep is None else np.uint32), "a long, b long"), "similar")
-    return near.unionByName(same)
+    dealt = members.select("key", "rid", "low", blocks.alias("blocks"), F.pmod(F.xxhash64("rid"), blocks).cast("int").alias("at"))
+
+    def searched(units: DataFrame, what: str) -> DataFrame:
+        ready = units.join(sets, "rid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        run = _search(similarity, np.uint64 if keep is None else np.uint32)
+        return save(ready.select("key", "i", "j", "rid", "side", "rep", "level", "hashes").mapInArrow(run, "a long, b long, key long"), what)
+
+    everywhere = F.when(F.col("rid") == F.col("low"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))
+    rep = F.when(F.col("blocks") > 1, F.col("low")).otherwise(-1)
+    near = searched(dealt.select("key", "rid", F.explode(everywhere).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), rep.alias("rep")), "similar")
+    edges = near.where("b is not null").select("a", "b").unionByName(same)
+    loose = near.where("b is null").select("key", F.col("a").alias("rid")).distinct()
+    if loose.isEmpty():
+        return edges
+    counts = loose.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    left = loose.join(counts, "key").join(dealt.select("key", "blocks").distinct(), "key")
+    left = left.select("key", "rid", F.pmod(F.xxhash64("rid"), "parts").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
+    right = dealt.join(counts, "key").select("key", "rid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"))
+    more = searched(left.unionByName(right).withColumn("rep", F.lit(None).cast("long")), "similar-loose")
+    return edges.unionByName(more.where("a <> b").select("a", "b"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkspan.llm.shingles import set_forest, shingle_links, thinned
 from inkspan.llm.simhash import components, shingle_hashes, simhash_dedup
@@ -90,6 +91,25 @@ def test_long_texts_are_compared_whole(spark, tmp_path, weight):
     assert {(max(r.a, r.b), min(r.a, r.b)) for r in edges.collect()} == set(pairs)
 
 
+def test_a_hot_group_of_unlike_rows_loses_no_link(spark, tmp_path):
+    """All rows share one key; the first row is like few of them, and links cross all blocks."""
+    rand = random.Random(9)
+    texts = []
+    for i in range(60):
+        base = [f"g{i}w{rand.randrange(10**6)}" for _ in range(100)]
+        texts += [" ".join(base), " ".join([*base[:-1], "x"]), " ".join(["y", *base[1:]])][: 1 + i % 3]
+    order = list(range(len(texts)))
+    rand.shuffle(order)
+    texts = [texts[i] for i in order]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    rows.write.parquet(str(tmp_path / "t"))
+    groups = rows.select("rid", F.lit(1).cast("long").alias("key"))
+    for block in (4, 16, 1000):
+        edges = shingle_links(spark.read.parquet(str(tmp_path / "t")), shingle_hashes, bands=1, places=64, block=block, groups=groups)
+        root = {r.node: r.root for r in components(edges).collect()}
+        assert {frozenset(c) for c in classes(len(texts), [(i, root[i]) for i in root])} == {frozenset(c) for c in classes(len(texts), similar(texts))}
+
+
 def test_near_copies_of_the_tables_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
