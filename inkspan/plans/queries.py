@@ -663,3 +663,16 @@ def oriented_polygons(spark, sf_dir):
     box = recognition.oriented_polygon(F.lit(2), 2.3, 1.7)
     rows = recognition.component_axes(blobs.join(long_, ["page", "label"], "left_semi"), ["page", "label"])
     return rows.select("page", "label", *(box["px" if c[0] == "x" else "py"][int(c[1])].alias(c) for c in ("x0", "y0", "x2", "y2")))
+
+
+@query(f"""SELECT item_id, (nth // 60 + 1)::INT AS page, count(*)::INT AS words, (100 * (1 + nth // 60))::BIGINT AS background, CASE WHEN nth // 60 % 2 = 0 THEN 26::BIGINT END AS mask, NULL::VARCHAR AS error
+           FROM ({BOXES}) GROUP BY item_id, nth // 60""")
+def pdf_assembly(spark, sf_dir):
+    """Documents of several pages with backgrounds and, on every other page, a mask, assembled from tables and read back; sixty words a page."""
+    from inkspan.sources.pdf import assembled, pdf_pages
+
+    boxes = _boxes(spark, sf_dir).withColumn("page", F.floor(F.col("nth") / 60).cast("int"))
+    picture = lambda w, h, n: F.struct(F.lit(w).alias("width"), h.alias("height"), F.repeat(F.lit("x"), n).cast("binary").alias("data"))
+    k = F.col("page") + 1
+    pages = boxes.select("item_id", "page").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0), "background": picture(10, 10 * k, 100 * k), "mask": F.when(F.col("page") % 2 == 0, picture(16, F.lit(13), F.lit(26)))})
+    return pdf_pages(assembled(boxes, pages, "item_id"), "item_id")

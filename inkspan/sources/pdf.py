@@ -187,23 +187,113 @@ def pdf_documents(boxes: DataFrame, doc: str, *, scale: float = 0.24, height: fl
 
     def run(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r[order])
-        words = []
-        for r in rows:
-            size = max(1.0, r["height"] * scale)
-            natural = len(r["word"]) * size * 0.5
-            words.append((r["word"], r["x"] * scale, height - (r["y"] + 0.75 * r["height"]) * scale, size, r["width"] * scale / natural if natural else 1.0))
+        words = [placed(r, scale, height) for r in rows]
         return pa.table({doc: t[doc].slice(0, 1), "content": pa.array([write_pdf([{"width": width, "height": height, "words": words}])], pa.binary())})
 
     return boxes.select(doc, order, "word", "x", "y", "width", "height").groupBy(doc).applyInArrow(run, f"{doc} {kind}, content binary")
 
 
+def assembled(boxes: DataFrame, pages: DataFrame, doc: str, *, scale: float = 0.24, order: str = "nth") -> DataFrame:
+    """doc, content: a document of each one's pages, in order.
+
+    ``pages``: doc, page, width, height (points), background and mask (each
+    null, or a struct of width, height, data); ``boxes``: doc, page, ``order``,
+    word, x, y, width, height (pixels). A page's background comes first, the
+    mask over it, its words invisibly over both; boxes of pages that aren't
+    there are left out. One document is made in one task, as it is one file.
+    """
+    kind = dict(pages.dtypes)[doc]
+
+    def run(pages: pa.Table, boxes: pa.Table) -> pa.Table:
+        of: dict[int, list] = {}
+        for r in sorted(boxes.to_pylist(), key=lambda r: r[order]):
+            of.setdefault(r["page"], []).append(r)
+        made = []
+        for p in sorted(pages.to_pylist(), key=lambda r: r["page"]):
+            words = [placed(r, scale, p["height"]) for r in of.get(p["page"], ())]
+            picture = lambda x: (x["width"], x["height"], x["data"]) if x else None
+            made.append({"width": p["width"], "height": p["height"], "words": words, "background": picture(p["background"]), "mask": picture(p["mask"])})
+        return pa.table({doc: pages[doc].slice(0, 1) if made else pages[doc], "content": pa.array([write_pdf(made)] if made else [], pa.binary())})
+
+    left = pages.select(doc, "page", "width", "height", "background", "mask").groupBy(doc)
+    return left.cogroup(boxes.select(doc, "page", order, "word", "x", "y", "width", "height").groupBy(doc)).applyInArrow(run, f"{doc} {kind}, content binary")
+
+
+def placed(r: dict, scale: float, height: float) -> tuple[str, float, float, float, float]:
+    """A word's text, place, size and stretch on a page of ``height`` points."""
+    size = max(1.0, r["height"] * scale)
+    natural = len(r["word"]) * size * 0.5
+    return r["word"], r["x"] * scale, height - (r["y"] + 0.75 * r["height"]) * scale, size, r["width"] * scale / natural if natural else 1.0
+
+
+_PAGE = re.compile(rb"/Type\s*/Page(?![A-Za-z])")
+
+
+def opened(raw: bytes | None) -> tuple[dict | None, int | None, str | None]:
+    """What ``read_pdf`` gives, the number of pages, and why there is none of the first.
+
+    The pages of another writer's file are counted where its objects lie open;
+    in compressed or encrypted ones they aren't.
+    """
+    if not raw or not raw.startswith(b"%PDF-"):
+        return None, None, "not a PDF"
+    try:
+        found = read_pdf(raw)
+        return found, len(found["pages"]), None
+    except (TypeError, ValueError, KeyError, IndexError, AttributeError, zlib.error, UnicodeDecodeError) as e:
+        n = 0 if b"/Encrypt" in raw else len(_PAGE.findall(raw))
+        return None, n or None, f"not read: {type(e).__name__}"
+
+
+def pdf_pages(docs: DataFrame, doc: str) -> DataFrame:
+    """doc, page (from 1), words, background and mask (bytes, null without), error: a row a page, or one with the error of a file that isn't read."""
+    kind = dict(docs.dtypes)[doc]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, raw in enumerate(b["content"]):
+                found, n, error = opened(raw.as_py())
+                size = lambda p, k: len(p[k][2]) if k in p else None
+                rows = [(k, len(p["words"]), size(p, "background"), size(p, "mask"), None) for k, p in enumerate(found["pages"], 1)] if found else [(n, None, None, None, error)]
+                cols = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([b[doc].take(pa.array([i] * len(rows))), *cols], names=[doc, "page", "words", "background", "mask", "error"])
+
+    return docs.select(doc, "content").mapInArrow(run, f"{doc} {kind}, page int, words int, background long, mask long, error string")
+
+
+def write_files(docs: DataFrame, folder: str, *, name: str = "name") -> DataFrame:
+    """name, length of files written into ``folder`` (a path or address that all executors reach), each put in place whole.
+
+    A file is written beside its place and then moved there, so a task that is
+    lost or run twice leaves no half a file. Evaluate the result to write.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        for b in batches:
+            for n, raw in zip(b[name].to_pylist(), b["content"]):
+                part = f"{base}/.{n}.{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as f:
+                    f.write(raw.as_buffer())
+                files.move(part, f"{base}/{n}")
+            yield pa.RecordBatch.from_arrays([b[name], pa.array([len(x.as_py()) for x in b["content"]], pa.int64())], names=[name, "length"])
+
+    return docs.select(name, "content").mapInArrow(run, f"{name} string, length long")
+
+
 def pdf_words(docs: DataFrame, doc: str) -> DataFrame:
-    """doc, page (from 1), nth, word, tx, ty, font_size, stretch, read back from documents."""
+    """doc, page (from 1), nth, word, tx, ty, font_size, stretch, read back from documents; those that aren't read give no rows (see ``pdf_pages``)."""
     kind = dict(docs.dtypes)[doc]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, p, i, *w) for d, c in zip(b[doc].to_pylist(), b["content"].to_pylist()) for p, page in enumerate(read_pdf(c)["pages"], 1) for i, w in enumerate(page["words"])]
+            rows = [(d, p, i, *w) for d, c in zip(b[doc].to_pylist(), b["content"].to_pylist()) for p, page in enumerate((opened(c)[0] or {"pages": ()})["pages"], 1) for i, w in enumerate(page["words"])]
             names = (doc, "page", "nth", "word", "tx", "ty", "font_size", "stretch")
             kinds = (b.schema.field(doc).type, pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 4)
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})

@@ -181,3 +181,19 @@ def test_truth_round_trip(spark, tmp_path):
     rows = [("s", "t", 2, ["b\\", 'c"']), ("s", "t", 1, ["a\n", "\t", "é"]), ("q", "u", 1, [])]
     write_json(truth_json(spark.createDataFrame(rows, "source string, title string, page int, words array<string>")), str(tmp_path / "t"))
     assert sorted(tuple(r) for r in read_truth(spark, str(tmp_path / "t"), lines=True).collect()) == sorted(rows)
+
+
+def test_files_by_others_give_an_error_and_no_end(spark):
+    ours = pdf.write_pdf([{"width": 10, "height": 10, "words": [("a", 1, 1, 1, 1)]}, {"width": 10, "height": 10}])
+    other = b"%PDF-1.4\n1 0 obj <</Type /Page /Parent 2 0 R>> endobj 3 0 obj <</Type/Page>> endobj 2 0 obj <</Type /Pages>> endobj\ntrailer <<>>\n%%EOF"
+    docs = spark.createDataFrame([(1, bytearray(ours)), (2, bytearray(other)), (3, bytearray(b"text")), (4, None), (5, bytearray(ours[:200]))], "doc int, content binary")
+    out = sorted((r.doc, r.page, r.words, r.error is None) for r in pdf.pdf_pages(docs, "doc").collect() if r.doc != 5)
+    assert out[:3] == [(1, 1, 1, True), (1, 2, 0, True), (2, 2, None, False)] and [r[3] for r in out[3:]] == [False, False]
+    assert [r.word for r in pdf.pdf_words(docs, "doc").collect()] == ["a"]
+
+
+def test_files_are_put_in_place_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("a.pdf", bytearray(b"one")), ("b.pdf", bytearray(b""))], "name string, content binary")
+    for _ in range(2):
+        assert sorted(tuple(r) for r in pdf.write_files(rows, f"file://{tmp_path}/out").collect()) == [("a.pdf", 3), ("b.pdf", 0)]
+    assert {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()} == {"a.pdf": b"one", "b.pdf": b""}
