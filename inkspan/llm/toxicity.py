@@ -171,7 +171,7 @@ class Reader:
         miss = object()
 
         def close() -> None:
-            if score := clause_score(clause):
+            if scored and (score := clause_score(clause)):
                 out.append((score, tuple(clause)))
 
         for line in text.lower().split("\n"):
@@ -182,15 +182,17 @@ class Reader:
             if not any(s[1] for x in some for s in x):
                 continue
             clause: Symbols = []
+            scored = False  # only insults and threats have weights
             for x in found:
                 if x is None:
                     clause.append(("O", 0.0))
                     continue
                 for kind, weight, mark in x:
                     clause.append((kind, weight))
+                    scored = scored or weight > 0
                     if mark and not (mark == ":" and any(k == "R" for k, _ in clause[-3:])):
                         close()
-                        clause = []
+                        clause, scored = [], False
             close()
         return out, n
 
