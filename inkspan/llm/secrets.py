@@ -127,6 +127,10 @@ def _escapes(text: str) -> Iterator[tuple[int, int, int, bool]]:
         at = end
 
 
+def may_escape(text: str) -> bool:
+    return "%" in text or "\\" in text or "&" in text
+
+
 def _value(m: re.Match) -> tuple[int | None, bool]:
     kind = m.lastindex
     if kind <= 2:
@@ -304,7 +308,7 @@ def _base64(layer: Layer) -> Iterator:
 
 def decoded_layers(layer: Layer) -> Iterator:
     """The layers one decoding step below ``layer``, and true wherever a stream is read in parts."""
-    if "%" in layer.text or "\\" in layer.text or "&" in layer.text:
+    if may_escape(layer.text):
         yield from _unescaped(layer)
     yield from _base64(layer)
 
@@ -325,7 +329,7 @@ def find_secrets(text: str | None, *, most_bytes: int = MOST_BYTES) -> dict:
     base = scan(text)
     spans, seen, layers, made, cut = set(base), set(), 0, 0, False
     work: list[Iterator] = []
-    if _BASE64.search(text) or _WRAPPED.search(text) or _ESCAPE.search(text):
+    if _BASE64.search(text) or _WRAPPED.search(text) or may_escape(text) and _ESCAPE.search(text):
         work.append(decoded_layers(Layer(text)))
     while work:
         layer = next(work[-1], None)
