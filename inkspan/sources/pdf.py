@@ -3,9 +3,8 @@
 A document is written in one group: pages with an optional gray background (a
 Flate stream), an optional stencil mask over it and the words as invisible text
 (mode 3). Besides pages it may hold an outline, notes on pages, attached files
-and metadata, which ``preserve`` carries from one document to another. The
-reader walks the same structure; arbitrary documents by others, with object
-streams or encryption, are beyond it, and no page is rendered.
+and metadata, which ``preserve`` carries from one document to another. ``read_pdf``
+walks the same structure; documents by others are read by ``pdf_objects``.
 """
 
 from __future__ import annotations
@@ -14,19 +13,24 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from inkspan.sources.codecs import fax_decode, fax_encode, jpeg_encode, srgb_profile
+from inkspan.sources.pdf_objects import INFO, Document, Name, Stream, carried, said
+
 # fixed values: the fields of the info dictionary and the namespaces of its metadata
 BARE_XMP = (
     '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
     '<rdf:Description rdf:about="" xmlns:pdfaid="http://www.aiim.org/pdfa/ns/id/"></rdf:Description></rdf:RDF></x:xmpmeta>'
 )
-INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer")
+#: Quality of a background's JPEG, without and under a mask.
+QUALITY = (0.85, 0.50)
 
 
-def _text(s: str) -> bytes:
-    return b"<" + s.encode("utf-16-be").hex().encode() + b">"
+def _text(s: str, mark: bytes = b"feff") -> bytes:
+    return b"<" + mark + s.encode("utf-16-be").hex().encode() + b">"
 
 
 def _list(key: bytes, of: list[int]) -> bytes:
@@ -37,13 +41,44 @@ def _number(x: float) -> bytes:
     return f"{x:.4f}".rstrip("0").rstrip(".").encode() or b"0"
 
 
-def write_pdf(pages: list[dict], info: dict[str, str] | None = None, *, outline: list[tuple[str, int]] = (), files: list[tuple[str, bytes]] = (), xmp: str | None = None) -> bytes:
+def _units() -> bytes:
+    """A map of codes to Unicode for text that is written in UTF-16 units: each stands for itself."""
+    rows = [b"<%02x00> <%02xff> <%02x00>" % (k, k, k) for k in range(256)]
+    parts = [b"%d beginbfrange\n" % len(some) + b"\n".join(some) + b"\nendbfrange\n" for some in (rows[k : k + 100] for k in range(0, 256, 100))]
+    return (
+        b"/CIDInit /ProcSet findresource begin\n12 dict begin\nbegincmap\n/CMapName /Units def\n/CMapType 2 def\n1 begincodespacerange\n<0000> <ffff>\nendcodespacerange\n"
+        + b"".join(parts)
+        + b"endcmap\nCMapName currentdict /CMap defineresource pop\nend\nend\n"
+    )
+
+
+def _picture(p: dict, name: str, coded: bool) -> tuple[bytes, bytes]:
+    """Head and data of a page's picture; ``coded``: a JPEG, or fax data for a mask, else packed without loss."""
+    w, h, data = p[name]
+    head = b"/Type /XObject /Subtype /Image /Width %d /Height %d " % (w, h)
+    if name == "background":
+        colors = 3 if w * h and len(data) == 3 * w * h else 1
+        head += b"/ColorSpace /Device%s /BitsPerComponent 8" % (b"RGB" if colors == 3 else b"Gray")
+        if coded and w and h and len(data) == w * h * colors:
+            return head + b" /Filter /DCTDecode", jpeg_encode(np.frombuffer(data, np.uint8).reshape(h, w, colors), QUALITY[bool(p.get("mask"))])
+    else:
+        head += b"/ImageMask true /BitsPerComponent 1"
+        row = -(-w // 8)
+        if coded and w and h and len(data) == row * h:
+            black = np.unpackbits(np.frombuffer(data, np.uint8).reshape(h, row), axis=1)[:, :w] == 0
+            return head + b" /Filter /CCITTFaxDecode /DecodeParms << /K -1 /Columns %d /Rows %d >>" % (w, h), fax_encode(black)
+    return head + b" /Filter /FlateDecode", zlib.compress(data)
+
+
+def write_pdf(pages: list[dict], info: dict[str, str] | None = None, *, outline: list[tuple[str, int]] = (), files: list[tuple[str, bytes]] = (), xmp: str | None = None, coded: bool = False) -> bytes:
     """Bytes of a document.
 
     A page: width, height (points); words: (text, x, y, size, stretch);
-    background, mask: (width, height, bytes); notes: (x, y, width, height,
-    text). ``outline`` holds titles with the page (from 0) that each leads to,
-    ``files`` names with contents.
+    background (gray or three colours), mask (a bit a pixel, 0 is painted):
+    (width, height, bytes); notes: (x, y, width, height, text). ``outline``
+    holds titles with the page (from 0) that each leads to, ``files`` names
+    with contents. ``coded`` writes backgrounds as JPEG and masks as fax data
+    (group 4), else both are packed without loss.
     """
     objects: list[bytes] = []
 
@@ -56,19 +91,18 @@ def write_pdf(pages: list[dict], info: dict[str, str] | None = None, *, outline:
         return add(b"<< " + head + b" /Filter /FlateDecode /Length %d >>\nstream\n" % len(z) + z + b"\nendstream")
 
     catalog, tree = add(b""), add(b"")
-    font = add(b"<< /Type /Font /Subtype /Type0 /BaseFont /Helvetica /Encoding /Identity-H /DescendantFonts [<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Helvetica /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /DW 500 >>] >>")
+    units = stream(b"", _units())
+    font = add(b"<< /Type /Font /Subtype /Type0 /BaseFont /Helvetica /Encoding /Identity-H /ToUnicode %d 0 R /DescendantFonts [<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Helvetica /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /DW 500 >>] >>" % units)
     kids = []
     for p in pages:
         content, pictures = [], []
         for name in ("background", "mask"):
             if p.get(name):
-                w, h, data = p[name]
-                head = b"/Type /XObject /Subtype /Image /Width %d /Height %d " % (w, h)
-                head += b"/ColorSpace /DeviceGray /BitsPerComponent 8" if name == "background" else b"/ImageMask true /BitsPerComponent 1"
-                pictures.append(b"/%s %d 0 R" % (name[:2].encode(), stream(head, data)))
+                head, data = _picture(p, name, coded)
+                pictures.append(b"/%s %d 0 R" % (name[:2].encode(), add(b"<< " + head + b" /Length %d >>\nstream\n" % len(data) + data + b"\nendstream")))
                 content.append(b"q %s 0 0 %s 0 0 cm /%s Do Q" % (_number(p["width"]), _number(p["height"]), name[:2].encode()))
         for text, x, y, size, stretch in p.get("words", ()):
-            content.append(b"BT 3 Tr /F1 %s Tf %s 0 0 1 %s %s Tm %s Tj ET" % (_number(size), _number(stretch), _number(x), _number(y), _text(text)))
+            content.append(b"BT 3 Tr /F1 %s Tf %s 0 0 1 %s %s Tm %s Tj ET" % (_number(size), _number(stretch), _number(x), _number(y), _text(text, b"")))
         body = stream(b"", b"\n".join(content))
         notes = [add(b"<< /Type /Annot /Subtype /Text /Rect [%s] /Contents %s >>" % (b" ".join(map(_number, (x, y, x + w, y + h))), _text(said))) for x, y, w, h, said in p.get("notes", ())]
         kids.append(add(b"<< /Type /Page /Parent %d 0 R /MediaBox [0 0 %s %s] /Resources << /Font << /F1 %d 0 R >> /XObject << %s >> >> /Contents %d 0 R%s >>" % (tree, _number(p["width"]), _number(p["height"]), font, b" ".join(pictures), body, _list(b"Annots", notes))))
@@ -127,7 +161,8 @@ def read_pdf(raw: bytes) -> dict:
         for name in ("background", "mask"):
             if i := ref(name[:2].encode(), page):
                 head, data = own(i)
-                pictures[name] = (*(int(re.search(rb"/%s (\d+)" % side, head)[1]) for side in (b"Width", b"Height")), data)
+                w, h = (int(re.search(rb"/%s (\d+)" % side, head)[1]) for side in (b"Width", b"Height"))
+                pictures[name] = (w, h, np.packbits(~fax_decode(data, w, h), axis=1).tobytes() if b"/CCITTFaxDecode" in head else data)
         pages.append({"width": box[2], "height": box[3], "words": words, "notes": notes} | pictures)
     outline, item = [], (top := ref(b"Outlines", catalog)) and ref(b"First", own(top)[0])
     while item and len(outline) < n:
@@ -142,7 +177,7 @@ def read_pdf(raw: bytes) -> dict:
 
 
 def _plain(hexed: bytes) -> str:
-    return bytes.fromhex(hexed.decode()).decode("utf-16-be")
+    return bytes.fromhex(hexed.decode()).decode("utf-16-be").removeprefix("\ufeff")
 
 
 def _object(raw: bytes, at: int) -> tuple[bytes, bytes]:
@@ -166,19 +201,20 @@ def with_conformance(xmp: str | None, part: str = "2", level: str = "B") -> str:
     return xmp
 
 
+def _intent() -> dict:
+    """The colours that a document's are meant as."""
+    z = zlib.compress(srgb_profile())
+    intent = {"Type": Name("OutputIntent"), "S": Name("GTS_PDFA1")} | {k: b"sRGB IEC61966-2.1" for k in ("Info", "OutputCondition", "OutputConditionIdentifier")}
+    return {"OutputIntents": [intent | {"RegistryName": b"http://www.color.org", "DestOutputProfile": Stream({"N": 3, "Filter": Name("FlateDecode")}, z)}]}
+
+
 def preserve(source: bytes, made: bytes, producer: str) -> bytes:
-    """``made`` with what ``source`` holds beside its pages' contents.
+    """``made`` with what ``source`` holds beside its pages' contents (see ``carried``), whoever wrote it.
 
-    Info fields, outline, attached files and metadata are the source's; notes
-    go to the page of the same number, as far as both have pages; outline
-    entries to pages that aren't there go. The producer joins the source's.
+    Metadata names its archival conformance, and the catalog the colours meant
+    (sRGB).
     """
-    old, new = read_pdf(source), read_pdf(made)
-    pages = [p | {"notes": [*p["notes"], *q["notes"]]} for p, q in zip(new["pages"], old["pages"])] + new["pages"][len(old["pages"]) :]
-    before = old["info"].get("Producer", "").strip()
-    info = new["info"] | old["info"] | {"Producer": f"{before} -> {producer}" if before else producer}
-    outline = [(t, p) for t, p in old["outline"] if p < len(pages)]
-    return write_pdf(pages, info, outline=outline, files=old["files"], xmp=with_conformance(old["xmp"]))
+    return carried(source, made, producer, with_conformance, _intent())[0]
 
 
 def pdf_documents(boxes: DataFrame, doc: str, *, scale: float = 0.24, height: float = 792.0, width: float = 612.0, order: str = "nth") -> DataFrame:
@@ -193,14 +229,15 @@ def pdf_documents(boxes: DataFrame, doc: str, *, scale: float = 0.24, height: fl
     return boxes.select(doc, order, "word", "x", "y", "width", "height").groupBy(doc).applyInArrow(run, f"{doc} {kind}, content binary")
 
 
-def assembled(boxes: DataFrame, pages: DataFrame, doc: str, *, scale: float = 0.24, order: str = "nth") -> DataFrame:
+def assembled(boxes: DataFrame, pages: DataFrame, doc: str, *, scale: float = 0.24, order: str = "nth", coded: bool = False) -> DataFrame:
     """doc, content: a document of each one's pages, in order.
 
     ``pages``: doc, page, width, height (points), background and mask (each
     null, or a struct of width, height, data); ``boxes``: doc, page, ``order``,
     word, x, y, width, height (pixels). A page's background comes first, the
     mask over it, its words invisibly over both; boxes of pages that aren't
-    there are left out. One document is made in one task, as it is one file.
+    there are left out. ``coded`` is that of ``write_pdf``. One document is
+    made in one task, as it is one file.
     """
     kind = dict(pages.dtypes)[doc]
 
@@ -213,7 +250,7 @@ def assembled(boxes: DataFrame, pages: DataFrame, doc: str, *, scale: float = 0.
             words = [placed(r, scale, p["height"]) for r in of.get(p["page"], ())]
             picture = lambda x: (x["width"], x["height"], x["data"]) if x else None
             made.append({"width": p["width"], "height": p["height"], "words": words, "background": picture(p["background"]), "mask": picture(p["mask"])})
-        return pa.table({doc: pages[doc].slice(0, 1) if made else pages[doc], "content": pa.array([write_pdf(made)] if made else [], pa.binary())})
+        return pa.table({doc: pages[doc].slice(0, 1) if made else pages[doc], "content": pa.array([write_pdf(made, coded=coded)] if made else [], pa.binary())})
 
     left = pages.select(doc, "page", "width", "height", "background", "mask").groupBy(doc)
     return left.cogroup(boxes.select(doc, "page", order, "word", "x", "y", "width", "height").groupBy(doc)).applyInArrow(run, f"{doc} {kind}, content binary")
@@ -302,22 +339,27 @@ def pdf_words(docs: DataFrame, doc: str) -> DataFrame:
 
 
 def preserved(docs: DataFrame, doc: str, *, source: str = "source", made: str = "made", producer: str = "inkspan") -> DataFrame:
-    """doc, content, outlines, notes, files, and whether metadata names its conformance: each ``made`` document with its ``source``'s elements."""
+    """doc, content, producer, outlines, notes, files, and whether metadata names its conformance: each ``made`` document with its ``source``'s elements.
+
+    Where either isn't read, content is ``made`` as it is, the numbers are null
+    and no conformance is named.
+    """
     kind = dict(docs.dtypes)[doc]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [preserve(s, m, producer) for s, m in zip(b[source].to_pylist(), b[made].to_pylist())]
-            held = [read_pdf(c) for c in out]
-            yield pa.RecordBatch.from_pydict({
-                doc: b[doc],
-                "content": pa.array(out, pa.binary()),
-                "producer": pa.array([h["info"]["Producer"] for h in held], pa.string()),
-                "outlines": pa.array([len(h["outline"]) for h in held], pa.int32()),
-                "notes": pa.array([sum(len(p["notes"]) for p in h["pages"]) for h in held], pa.int32()),
-                "files": pa.array([len(h["files"]) for h in held], pa.int32()),
-                "archival": pa.array(["<pdfaid:part>" in h["xmp"] for h in held], pa.bool_()),
-            })
+            rows = []
+            for s, m in zip(b[source].to_pylist(), b[made].to_pylist()):
+                try:
+                    content, n = carried(s or b"", m or b"", producer, with_conformance, _intent())
+                    about = Document(content)
+                    name = said(about.part(about.trailer["Info"], "Producer", bytes))
+                    rows.append((content, name, n["outlines"], n["notes"], n["files"], b"<pdfaid:part>" in about.data(about.part(about.catalog, "Metadata", Stream))))
+                except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError):
+                    rows.append((m, None, None, None, None, False))
+            cols = zip(*rows) if rows else [()] * 6
+            kinds = (pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b[doc], *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[doc, "content", "producer", "outlines", "notes", "files", "archival"])
 
     return docs.select(doc, source, made).mapInArrow(run, f"{doc} {kind}, content binary, producer string, outlines int, notes int, files int, archival boolean")
 
