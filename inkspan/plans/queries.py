@@ -461,7 +461,7 @@ def changed_under_mask(spark, sf_dir):
     return raster.map_pages(_rasters(spark, sf_dir), "page", kernel, "ink long, changed double").where("ink > 0")
 
 
-@query()
+@query(f"""SELECT item_id, 1::INT AS page, nth, word, round(x * 0.24::DOUBLE, 4) AS tx, round(792 - (y + 0.75::DOUBLE * height) * 0.24::DOUBLE, 4) AS ty, 2.64::DOUBLE AS font_size, round(width * 0.24::DOUBLE / (length(word) * 2.64::DOUBLE * 0.5), 4) AS stretch FROM ({BOXES})""")
 def pdf_sink(spark, sf_dir):
     """A searchable document for each benchmark text, and the words that reading it back gives."""
     from inkspan.sources.pdf import pdf_documents, pdf_words
@@ -470,6 +470,17 @@ def pdf_sink(spark, sf_dir):
     return pdf_words(docs, "item_id")
 
 
+@query(f"""SELECT item_id, 1::INT AS page, (row_number() OVER (PARTITION BY item_id ORDER BY nth, i) - 1)::INT AS glyph, word[i] AS text, round(x * 0.24::DOUBLE + (i - 1) * 1.32::DOUBLE * 1.2727::DOUBLE, 3) AS x, round((y + 0.75::DOUBLE * height) * 0.24::DOUBLE, 3) AS y
+           FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM ({BOXES}))""")
+def pdf_text_layer(spark, sf_dir):
+    """Positioned text of those documents by the reader of any writer's: a row a glyph, from the top left."""
+    from inkspan.sources.pdf import pdf_documents
+    from inkspan.sources.pdf_objects import document_glyphs
+
+    docs = pdf_documents(_boxes(spark, sf_dir), "item_id")
+    return document_glyphs(docs, "item_id").select("item_id", "page", "glyph", "text", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query("""SELECT p_partkey, w, h, (greatest(32, floor(w * s / 32 + 0.5) * 32))::INT AS det_w, (greatest(32, floor(h * s / 32 + 0.5) * 32))::INT AS det_h, least(3200, greatest(4, ceil(48 * w / h::DOUBLE)))::INT AS rec_w
           FROM (SELECT *, least(1.0::DOUBLE, 960 / greatest(w, h)::DOUBLE) AS s FROM (SELECT p_partkey, p_partkey * 37 % 3000 + 1 AS w, (p_size * 41 + 1)::BIGINT AS h FROM part))""")
 def recogniser_input_sizes(spark, sf_dir):
@@ -676,3 +687,42 @@ def pdf_assembly(spark, sf_dir):
     k = F.col("page") + 1
     pages = boxes.select("item_id", "page").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0), "background": picture(10, 10 * k, 100 * k), "mask": F.when(F.col("page") % 2 == 0, picture(16, F.lit(13), F.lit(26)))})
     return pdf_pages(assembled(boxes, pages, "item_id"), "item_id")
+
+
+@query(f"SELECT item_id, (nth // 60 + 1)::INT AS page, 2550::INT AS width, 3300::INT AS height, sum(length(word))::BIGINT AS glyphs, (CASE WHEN nth // 60 % 2 = 0 THEN 2 ELSE 1 END)::INT AS pictures, NULL::VARCHAR AS error FROM ({BOXES}) GROUP BY item_id, nth // 60")
+def pdf_open(spark, sf_dir):
+    """Pages of documents with JPEG backgrounds and fax masks, by the reader of any writer's."""
+    from inkspan.sources.pdf import assembled
+    from inkspan.sources.pdf_objects import document_pages
+
+    boxes = _boxes(spark, sf_dir).withColumn("page", F.floor(F.col("nth") / 60).cast("int"))
+    picture = lambda w, h, n: F.struct(F.lit(w).alias("width"), F.lit(h).alias("height"), F.repeat(F.lit("x"), n).cast("binary").alias("data"))
+    pages = boxes.select("item_id", "page").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0), "background": picture(10, 10, 100), "mask": F.when(F.col("page") % 2 == 0, picture(16, 13, 26))})
+    return document_pages(assembled(boxes, pages, "item_id", coded=True), "item_id")
+
+
+@query(f"SELECT page, count(*) AS ink, sum(x + 3 * y)::BIGINT AS mix FROM ({PIXELS}) WHERE gray <= 90 GROUP BY page")
+def fax_masks(spark, sf_dir):
+    """Ink of each page coded as a fax mask and decoded."""
+    from inkspan.sources.codecs import fax_decode, fax_encode
+
+    def kernel(gray):
+        y, x = np.nonzero(fax_decode(fax_encode(gray <= 90), gray.shape[1]))
+        return {"ink": np.array([len(x)]), "mix": np.array([(x + 3 * y).sum()])}
+
+    return raster.map_pages(_rasters(spark, sf_dir), "page", kernel, "ink long, mix long")
+
+
+@query("SELECT s_suppkey AS page, 150::INT AS width, 100::INT AS height, 1::INT AS components, TRUE AS whole, TRUE AS narrower FROM supplier")
+def jpeg_backgrounds(spark, sf_dir):
+    """Each page as JPEG at both qualities: what its frame header says, whether it ends as it must and the lower quality is shorter (its samples are tested with another decoder)."""
+    from inkspan.sources.codecs import jpeg_encode
+    from inkspan.sources.pdf import QUALITY
+
+    def kernel(gray):
+        high, low = (jpeg_encode(gray.astype(np.uint8), q) for q in QUALITY)
+        at = high.index(b"\xff\xc0")
+        side = lambda k: np.array([int.from_bytes(high[at + k : at + k + 2], "big")], np.int32)
+        return {"width": side(7), "height": side(5), "components": np.array([high[at + 9]], np.int32), "whole": np.array([high.endswith(b"\xff\xd9")]), "narrower": np.array([len(low) < len(high)])}
+
+    return raster.map_pages(_rasters(spark, sf_dir), "page", kernel, "width int, height int, components int, whole boolean, narrower boolean")
