@@ -10,7 +10,9 @@ Naming is salted. Equal keys first meet in one of ``salts`` parts each, so a
 key that holds a third of all rows is spread; one representative of each part
 then meets the others of its key, at most ``salts`` of them. ``salts`` grows
 with the square root of the table's rows, so neither a part nor the meeting of
-a key's representatives holds more rows than that. Text moves in two shuffles,
+a key's representatives holds more rows than that. Of the blocks only those
+whose hash more than ``salts`` rows have are dealt so; the others meet at once.
+Text moves in one shuffle, representatives of frequent blocks in a second, and
 all else is integers.
 """
 
@@ -25,22 +27,35 @@ from inkspan.llm.common import forget, fresh, quoted, save, spread_join, with_ro
 
 BLOCK_BYTES = 4096
 LEAST_SALTS = 256
+#: Hashes (9 bytes each) of frequent blocks that are broadcast at most; more are joined by a shuffle.
+MOST_OFTEN = 1 << 20
 
 
-def name_keys(rows: DataFrame, key: str, salts: int, what: str) -> DataFrame:
+def name_keys(rows: DataFrame, key: str, salts: int, what: str, *, counted: bool = False) -> DataFrame:
     """``rows`` (with a column ``rid``) with ``key`` replaced by its integer ``name``.
 
     Equal keys get equal names and different keys different ones; names follow
-    the sort order of the keys within each partition.
+    the sort order of the keys within each partition. Keys are dealt into
+    ``salts`` parts, whose own names are then made one by a second sort. With
+    ``counted`` that is only done for keys whose hash more than ``salts`` rows
+    have, so wide keys cross the network once: equal keys have one hash and thus
+    one way, and keys that merely share a hash are still told apart by sorting.
     """
     others = [c for c in rows.columns if c != key]
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts)))
+    mark, often = F.lit(True), None
+    if counted:
+        often = rows.groupBy(F.xxhash64(key).alias("__hash")).count().where(F.col("count") > salts).select("__hash", F.lit(True).alias("__often"))
+        often = save(often, f"{what}-often")
+        few = often.count() <= MOST_OFTEN
+        rows = rows.withColumn("__hash", F.xxhash64(key)).join(F.broadcast(often) if few else often, "__hash", "left")
+        mark = F.col("__often").isNotNull()
+    salted = rows.withColumn("often", mark).withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("rid"), F.lit(salts))).otherwise(0)).select(*others, key, "often", "salt")
     met = (
         salted.repartition(key, "salt")
         .sortWithinPartitions(key, "salt")
         .withColumn("place", F.monotonically_increasing_id())
         .withColumn("local", F.min("place").over(Window.partitionBy(key, "salt")))
-        .select(*others, "local", F.when(F.col("place") == F.col("local"), F.col(key)).alias("shown"))
+        .select(*others, "often", "local", F.when(F.col("often") & (F.col("place") == F.col("local")), F.col(key)).alias("shown"))
     )
     met = save(met, f"{what}-met")
     names = (
@@ -49,8 +64,13 @@ def name_keys(rows: DataFrame, key: str, salts: int, what: str) -> DataFrame:
         .withColumn("name", F.min("local").over(Window.partitionBy("shown")))
         .select("local", "name")
     )
-    out = save(met.select(*others, "local").join(names, "local").select(*others, "name"), f"{what}-named")
+    named = met.where("often").select(*others, "local").join(names, "local").select(*others, "name")
+    if counted:
+        named = named.unionByName(met.where("NOT often").select(*others, F.col("local").alias("name")))
+    out = save(named, f"{what}-named")
     forget(met)
+    if often is not None:
+        forget(often)
     return out
 
 
@@ -84,7 +104,7 @@ def exact_dedup(
             F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("raw"), i * block_bytes + 1, F.lit(block_bytes)))
         ).alias("pos", "block"),
     ).withColumns({"doc_id": F.when(F.col("pos") == 0, F.col("doc_id")), "sha": F.when(F.col("pos") == 0, F.col("sha"))})
-    level = name_keys(blocks, "block", salts, "blocks")
+    level = name_keys(blocks, "block", salts, "blocks", counted=True)
     heads = level.where(F.col("pos") == 0).select("rid", "doc_id", "sha", "last", "name")
 
     single = heads.where(F.col("last") == 0).select("rid", "doc_id", "sha", F.lit(0).alias("kind"), "name")

@@ -33,6 +33,20 @@ def test_odd_rows(odd, block, salts):
     assert all(r.doc_id == r.keep_id for r in kept)
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+@pytest.mark.parametrize("salts", [1, 3, 40])
+def test_frequent_blocks(spark, tmp_path, monkeypatch, salts, most):
+    """Frequent and rare blocks beside each other in one text, frequent ones known to all tasks or joined."""
+    from inkspan.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "MOST_OFTEN", most)
+    rows = [(i, "same" * (i % 4) + (f"own{i // 7:05d}" if i % 3 else "")) for i in range(120)] + [(None, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    out = exact_dedup(spark.read.parquet(str(tmp_path / "t")), block_bytes=4, salts=salts).collect()
+    assert sorted((repr(r.doc_id), repr(r.keep_id), r.group_size, r.text_sha256) for r in out) == brute(rows)
+    assert sum(r.kept for r in out) == len({r[1] or "" for r in rows})
+
+
 def test_empty(empty):
     assert exact_dedup(empty).count() == 0
 
