@@ -32,12 +32,21 @@ def component_boxes(pixels: DataFrame, component: list[str]) -> DataFrame:
 
 
 def component_axes(pixels: DataFrame, component: list[str]) -> DataFrame:
-    """component, cx, cy, theta, min_u, max_u, min_v, max_v: the principal axis by population moments, and extents along and across it."""
+    """component, cx, cy, theta, min_u, max_u, min_v, max_v, min_x, max_x, min_y, max_y: the principal axis by population moments, extents along and across it, and upright ones.
+
+    Pixels of one y reach their extremes along any axis at their least and greatest x, so only
+    these ends are joined to the axis; merged, as sizes estimated before a kernel ran would let the
+    planner broadcast either side. Moments are taken of all pixels as they come: where a
+    component is symmetric, rounding in that order decides the sign of a right angle.
+    """
     axis = pixels.groupBy(*component).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y"))).alias("theta"))
-    rows = pixels.join(axis, component)
-    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    rows = rows.select(*component, "cx", "cy", "theta", (dx * F.cos("theta") + dy * F.sin("theta")).alias("u"), (dy * F.cos("theta") - dx * F.sin("theta")).alias("v"))
-    return rows.groupBy(*component, "cx", "cy", "theta").agg(F.min("u").alias("min_u"), F.max("u").alias("max_u"), F.min("v").alias("min_v"), F.max("v").alias("max_v"))
+    ends = pixels.groupBy(*component, "y").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    rows = ends.join(axis.hint("merge"), component)
+    dx, dy = [F.col(x) - F.col("cx") for x in ("first", "last")], F.col("y") - F.col("cy")
+    u, v = ([d * F.cos("theta") + dy * F.sin("theta") for d in dx], [dy * F.cos("theta") - d * F.sin("theta") for d in dx])
+    rows = rows.select(*component, "cx", "cy", "theta", "first", "last", "y", *(f(*of).alias(f"{n}_{k}") for k, of in (("u", u), ("v", v)) for n, f in (("min", F.least), ("max", F.greatest))))
+    extents = {"u": ("min_u", "max_u"), "v": ("min_v", "max_v"), "x": ("first", "last"), "y": ("y", "y")}
+    return rows.groupBy(*component, "cx", "cy", "theta").agg(*(f(c).alias(f"{n}_{k}") for k, (low, high) in extents.items() for n, f, c in (("min", F.min, low), ("max", F.max, high))))
 
 
 def elongated(w: Column, h: Column) -> Column:

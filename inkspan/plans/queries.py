@@ -669,10 +669,9 @@ def library_gray(spark, sf_dir):
            SELECT page, label, floor((cx + u0 * cos(t) - v0 * sin(t)) * 2.3::DOUBLE + 0.5)::INT AS x0, floor((cy + u0 * sin(t) + v0 * cos(t)) * 1.7::DOUBLE + 0.5)::INT AS y0, floor((cx + u1 * cos(t) - v1 * sin(t)) * 2.3::DOUBLE + 0.5)::INT AS x2, floor((cy + u1 * sin(t) + v1 * cos(t)) * 1.7::DOUBLE + 0.5)::INT AS y2 FROM e""")
 def oriented_polygons(spark, sf_dir):
     """Corners of components more than twice as wide as high, turned along their axis."""
-    blobs = _blobs(spark, sf_dir)
-    long_ = recognition.component_boxes(blobs, ["page", "label"]).where(recognition.elongated(F.col("w"), F.col("h"))).select("page", "label")
+    w, h = F.col("max_x") - F.col("min_x") + 1, F.col("max_y") - F.col("min_y") + 1
     box = recognition.oriented_polygon(F.lit(2), 2.3, 1.7)
-    rows = recognition.component_axes(blobs.join(long_, ["page", "label"], "left_semi"), ["page", "label"])
+    rows = recognition.component_axes(_blobs(spark, sf_dir), ["page", "label"]).where(recognition.elongated(w, h))
     return rows.select("page", "label", *(box["px" if c[0] == "x" else "py"][int(c[1])].alias(c) for c in ("x0", "y0", "x2", "y2")))
 
 

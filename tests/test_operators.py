@@ -216,3 +216,60 @@ def test_one_valued_page_has_threshold_zero(spark):
     rows = spark.createDataFrame([(1, i, 0, 77) for i in range(20)], "page int, x int, y int, gray int")
     assert segment.otsu(rows, ["page"]).first().threshold == 0
     assert raster.otsu(np.full((3, 3), 77)) == 0
+
+
+def test_component_axes_of_any_shape(spark):
+    """Components with gaps, of one pixel, upright, slanted and scattered; extents against all of their pixels."""
+    rand = random.Random(3)
+    shapes = {"dot": {(7, 9)}, "bar": {(4, y) for y in range(12)}, "gaps": {(x, y) for x in range(0, 20, 3) for y in (1, 5)}, "slant": {(x, x // 2) for x in range(30)}}
+    shapes["scattered"] = {(rand.randrange(40), rand.randrange(25)) for _ in range(200)}
+    rows = spark.createDataFrame([(k, x, y) for k, places in shapes.items() for x, y in places] + [(None, 1, 1)], "component string, x long, y long")
+    got = {r.component: r for r in recognition.component_axes(rows, ["component"]).collect()}
+    assert got.keys() == shapes.keys() and abs(got["bar"].theta) == pytest.approx(np.pi / 2)
+    for k, r in got.items():
+        x, y = np.array(sorted(shapes[k])).T
+        assert (r.cx, r.cy) == (pytest.approx(x.mean()), pytest.approx(y.mean()))
+        assert (r.min_x, r.max_x, r.min_y, r.max_y) == (x.min(), x.max(), y.min(), y.max())
+        if k != "bar":
+            assert r.theta == pytest.approx(0.5 * np.arctan2(2 * np.cov(x, y, ddof=0)[0, 1], x.var() - y.var()), abs=1e-9)
+        dx, dy, c, s = x - r.cx, y - r.cy, np.cos(r.theta), np.sin(r.theta)
+        u, v = dx * c + dy * s, dy * c - dx * s
+        assert (r.min_u, r.max_u, r.min_v, r.max_v) == tuple(pytest.approx(e, abs=1e-9) for e in (u.min(), u.max(), v.min(), v.max()))
+
+
+def test_component_axis_broadcasts_no_pixels(spark, tiny):
+    """Sizes estimated before the kernel ran let the planner send every pixel through the driver."""
+    for name, each in (("component_axis", 20), ("oriented_polygons", 0)):
+        out = QUERIES[name](spark, tiny)
+        assert len(out.collect()) == each * spark.read.parquet(f"{tiny}/supplier.parquet").count()
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_oriented_polygons_of_wide_components(spark, tmp_path, monkeypatch):
+    """No component of the tables is wide enough; with a lower bound on both sides there are some."""
+    import duckdb
+
+    from inkspan.plans.queries import ORACLE_SQL
+
+    monkeypatch.setattr(recognition, "elongated", lambda w, h: w > 0.5 * h)
+    spark.createDataFrame([(k,) for k in range(20)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    out = QUERIES["oriented_polygons"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(out.columns)} from ({ORACLE_SQL['oriented_polygons'].replace('> 2 * (', '> 0.5 * (')})").fetchall()
+    assert want and sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_component_axis_of_symmetric_components(spark, tmp_path):
+    """Where the covariance is 0 but for rounding, right angles have the sign that the SQL gives them."""
+    import duckdb
+
+    from inkspan.plans.queries import ORACLE_SQL
+
+    keys = [343, 440, 483, 587, 743, 760, 1040, 1088, 1360, 1760]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    out = QUERIES["component_axis"](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(out.columns)} from ({ORACLE_SQL['component_axis']})").fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(want) and sum(r[2] == -1.570796 for r in want) == 10
