@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspan.llm import toxicity
-from inkspan.llm.common import forget, fresh, quoted, read, save, scratch, with_row_id
+from inkspan.llm.common import forget, fresh, read, save, scratch, with_row_id
 from inkspan.llm.exact_dedup import exact_dedup
 from inkspan.llm.mixing import mix
 from inkspan.llm.packing import pack
@@ -44,10 +44,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rows whose score is below ``toxicity.THRESHOLD``, by a model of this table's labelled rows.
 
     A null or empty text is scored as one without a match and stays. Rows of one
-    text go or stay together.
+    text go or stay together. Only numbers and texts cross to Python, in the
+    batches of ``save``: rows that cross when the caller writes do so 10,000 at
+    a time, which no operator can change.
     """
-    model, column = toxicity.fit(docs, read(spark, sf_dir, "labels")), fresh(docs, "__corpus_score")
-    return toxicity.score(docs, model, score_col=column).where(F.col(column) < toxicity.THRESHOLD).select(*(F.col(quoted(c)) for c in docs.columns))
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    rows, row = _numbered(docs)
+    scored = toxicity.score(rows.select(F.col(row).alias("rid"), "text"), model, score_col="score")
+    kept = save(scored.where(F.col("score") < toxicity.THRESHOLD).select("rid"), "clean")
+    return _joined(rows, row, kept.hint("merge"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -25,24 +25,35 @@ class Encoder:
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.exact = Tokenizer.from_file(json_path)
+        self.json_path = json_path
         self.fast = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         with open(json_path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f).get("added_tokens", [])]
         self.long_run = re.compile(r"\S{%d,}" % LONG_RUN)
-        #: Characters that begin in each token's bytes: all but UTF-8's continuation bytes.
-        self.starts = np.zeros(max(ranks.values()) + 2, np.int32)
+
+    @cached_property
+    def exact(self):
+        """The ``tokenizers`` object; made for the first text that needs it, as it takes more memory than all else here."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Characters that begin in each token's bytes: all but UTF-8's continuation bytes."""
+        ranks = self.fast._mergeable_ranks
+        starts = np.zeros(max(ranks.values()) + 2, np.int32)
         for token, i in ranks.items():
-            self.starts[i] = sum(c & 0xC0 != 0x80 for c in token)
+            starts[i] = sum(c & 0xC0 != 0x80 for c in token)
         for x, i in self.exact.get_vocab(with_added_tokens=True).items():
             if x in self.special:
-                if i >= len(self.starts):
-                    self.starts = np.r_[self.starts, np.zeros(i + 1 - len(self.starts), np.int32)]
-                self.starts[i] = len(x)
+                if i >= len(starts):
+                    starts = np.r_[starts, np.zeros(i + 1 - len(starts), np.int32)]
+                starts[i] = len(x)
+        return starts
 
     def ids(self, text: str) -> np.ndarray:
         """uint32 ids of the whole text."""

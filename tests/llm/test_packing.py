@@ -85,3 +85,9 @@ def test_fast_ids_are_the_exact_ones(spark, tiny):
     texts += ["  a  b\n\n c\t", " x y", "á̀", "<|endoftext|>x", "'S 're don't", "\U0001f600\U0001f601 中文", "x" * 30_000]
     for t in texts:
         assert e.ids(t).tolist() == e.exact.encode(t, add_special_tokens=False).ids
+
+
+def test_the_second_encoder_is_only_made_for_texts_that_need_it():
+    e = encoder.__wrapped__()
+    assert len(e.ids("plain words " * 100)) > 0 and "exact" not in vars(e)
+    assert e.ids("x <|endoftext|> y").tolist() == encoder().exact.encode("x <|endoftext|> y", add_special_tokens=False).ids and "exact" in vars(e)

@@ -91,6 +91,15 @@ def test_stages(spark, tmp_path):
             assert {r.doc_id: r.n for r in after.where("piece = 0").groupBy("doc_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()} == Counter(d for d, _ in a.elements())
 
 
+def test_no_text_crosses_to_python_while_a_caller_writes_clean_rows(spark, tiny):
+    """Arrow batches then have the session's 10,000 rows, which filled executors on larger tables; those of ``save`` have 1,024."""
+    docs = read(spark, tiny, "documents")
+    out = corpus_pipeline.toxicity_stage(spark, docs, tiny)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan and "EvalPython" not in plan
+    assert out.columns == docs.columns and 0 < out.count() < docs.count()
+
+
 def test_odd(spark, odd, empty, tmp_path):
     for i, docs in enumerate((odd, empty)):
         (tmp_path / str(i)).mkdir()
