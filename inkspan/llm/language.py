@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from inkspan.llm.common import crc_mod, fresh, save, unit_hash, with_row_id
 
 BINS, CENTROIDS, PER_LANGUAGE, SHARPNESS = 1 << 14, 4, 400, 25.0
+#: Cosines that differ by no more are equal: means of one text's copies round by their number, products by the machine.
+ROUNDING = 5e-6
 _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
@@ -58,7 +60,7 @@ class Model:
             return "und", 0.0, True
         at, v = weighted(text, self.idf)
         cos = v @ self.centroids[at]
-        best = int(np.argmax(cos))
+        best = int(np.argmax(cos >= cos.max() - ROUNDING))
         of = {}
         for name, c in zip(self.languages, cos.tolist()):
             of[name] = max(of.get(name, -1.0), c)
@@ -144,7 +146,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text, or one without a letter of any alphabet, is ``und`` with score
     0, and so is every text where nothing was learned. Of languages whose
-    centroids are equally near, the first by name wins. Rows that repeat a text
+    centroids are equally near but for rounding, the first by name wins. Rows that repeat a text
     or an id are predicted alike, an empty table gives an empty one, whole texts
     are read however long. lang, source and doc_id are never looked at, nor are
     other columns, whatever their names.

@@ -253,6 +253,21 @@ def test_letters_of_any_plane_and_ties(spark):
     assert model.predict("the cat sat")[0] == "en"
 
 
+def test_ties_are_not_decided_by_rounding():
+    """Means of copies of one text differ in their last bits by the number of copies, products by the machine."""
+    idf = np.random.default_rng(1).random(language.BINS).astype(np.float32)
+    row = np.zeros((1, language.BINS), np.float32)
+    at, row[0, at] = language.weighted("the cat sat on a mat", idf)
+    mean = {n: language.cluster(row.repeat(n, axis=0), 4)[0] for n in range(2, 60)}
+    pairs = [(mean[n], mean[n + 1]) for n in range(2, 59)] + [(row[0], np.nextafter(row[0], np.float32(2))), (np.nextafter(row[0], np.float32(2)), row[0])]
+    for pair in pairs:
+        model = language.Model(idf, ["en", "xx"], np.stack(pair).T.copy(), np.full(2, 0.5))
+        lang, score, rejected = model.predict("the cat sat")
+        assert lang == "en" and score == pytest.approx(0.5, abs=1e-4) and not rejected
+    other = language.cluster(row * (np.arange(language.BINS) % 2), 4)[0]
+    assert language.Model(idf, ["en", "xx"], np.stack((other, row[0])).T.copy(), np.full(2, 0.5)).predict("the cat sat on a mat")[0] == "xx"
+
+
 def test_samples_are_bounded_where_an_id_repeats(spark, tmp_path):
     rows = [(7, f"word{i} you idiot", "en", "a") for i in range(3000)] + [(100 + i, f"plain text {i}", "fr", "b") for i in range(300)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "d"))
